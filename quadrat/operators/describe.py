@@ -104,87 +104,75 @@ def _bin_in(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.coalesce(F.least(pos, F.lit(bins - 1).cast("long")), F.lit(0).cast("long"))
 
 
-def _attach_brackets(base: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of ``base`` that lie inside a bracket of their group, tagged with it."""
-    uniq = brackets.groupBy(*by).agg(F.collect_set(F.struct("lo", "hi")).alias("bs"))
+def _rows_in_brackets(
+    base: DataFrame, brackets: DataFrame, by: list[str], most: int
+) -> DataFrame:
+    """Rows of ``base`` that lie inside a bracket of their group, tagged with it.
+
+    Brackets of a group do not overlap and there are at most ``most`` of them.
+    """
+    entries = F.sort_array(F.collect_list(F.struct("lo", "hi", "below")))
     if by:
-        tagged = base.alias("l").join(uniq.alias("r"), _same(by, "l", "r"))
-        tagged = tagged.select(*[F.col(f"l.{k}") for k in by], "x", "bs")
+        packed = brackets.groupBy(*by, "n").agg(entries.alias("bs"))
+        tagged = base.alias("l").join(packed.alias("r"), _same(by, "l", "r"))
+        tagged = tagged.select(*[F.col(f"l.{k}") for k in by], "x", "n", "bs")
     else:
-        tagged = base.select("x", uniq.scalar().alias("bs"))
-    inside = F.filter("bs", lambda b: F.col("x").between(b["lo"], b["hi"]))
-    return tagged.select(*by, "x", F.explode(inside).alias("b")).select(
-        *by, "x", "b.lo", "b.hi"
-    )
+        packed = brackets.agg(F.struct(F.first("n").alias("n"), entries.alias("bs")))
+        tagged = base.withColumn("s", packed.scalar()).select("x", "s.n", "s.bs")
+    # the last bracket that starts at or before x
+    x, place = F.col("x"), F.lit(-1)
+    for i in range(most):
+        starts = F.coalesce(F.get("bs", F.lit(i))["lo"] <= x, F.lit(False))
+        place = place + starts.cast("int")
+    nearest = F.inline(F.array(F.get("bs", place)))
+    return tagged.select(*by, "n", "x", nearest).where(x <= F.col("hi"))
 
 
 def order_statistics(
     df: DataFrame,
     value: str,
-    ranks: Column,
+    ranks: Sequence[Column],
     by: Sequence[str] = (),
     bins: int = 1024,
     rounds: int = 2,
 ) -> DataFrame:
     """Exact values at 0-based ranks, without sorting or collecting a group.
 
-    ``ranks`` is an array of longs over the per-group count ``n``. Each round
-    counts the rows of the bracket around a rank in ``bins`` bins (a partial
-    aggregate of at most ``bins`` rows per task) and shrinks the bracket to the
-    observed minimum and maximum of the bin holding the rank. What remains is
-    about n / bins**rounds rows per rank; equal values are counted together
-    before they move, so a value held by a third of all rows is one row.
-    Returns ``by``, ``n``, ``rank``, ``x``. A group of a hundred values and one of
-    a trillion take the same path.
+    ``ranks`` are expressions over the per-group count ``n``. Each round counts
+    the rows of the bracket around a rank in ``bins`` bins (a partial aggregate
+    of at most ``bins`` rows per task) and shrinks the bracket to the observed
+    minimum and maximum of the bin holding the rank. What remains is about
+    n / bins**rounds rows per rank; equal values are counted together before they
+    move, so a value held by a third of all rows is one row. Returns ``by``, ``n``,
+    ``rank``, ``x``. A group of a hundred values and one of a trillion take the
+    same path: one scan per round and two more.
     """
     by = list(by)
-    base = df.select(*by, F.col(value).cast("double").alias("x")).where(
-        F.col("x").isNotNull() & ~F.isnan("x")
-    )
-    whole = base.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
+    x, skipped = F.col("x"), F.col("skipped")
+    wanted = F.array_distinct(F.array(*[r.cast("long") for r in ranks]))
+    base = df.select(*by, F.col(value).cast("double").alias("x"))
+    base = base.where(x.isNotNull() & ~F.isnan("x"))
+    brackets = base.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.lit(0).cast("long").alias("below"),
     )
-    brackets = whole.select(
-        *by, "n", "lo", "hi", F.lit(0).cast("long").alias("below"),
-        F.explode(F.array_distinct(ranks)).alias("rank"),
-    )
-    for i in range(rounds):
-        scale = _squash if i == 0 else (lambda c: c)
-        tagged = _attach_brackets(base, brackets, by)
-        counted = (
-            tagged.withColumn(
-                "bin", _bin_in(scale(F.col("x")), scale(F.col("lo")), scale(F.col("hi")), bins)
-            )
-            .groupBy(*by, "lo", "hi", "bin")
-            .agg(F.count("*").alias("c"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi"))
+    for i in range(rounds + 1):
+        tagged = _rows_in_brackets(base, brackets, by, len(ranks) if i else 1)
+        if i < rounds:
+            scale = _squash if i == 0 else (lambda c: c)
+            part = _bin_in(scale(x), scale(F.col("lo")), scale(F.col("hi")), bins)
+        else:
+            part = x
+        counted = tagged.groupBy(*by, "n", "below", part.alias("part")).agg(
+            F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")
         )
-        order = W.partitionBy(*by, "lo", "hi").orderBy("bin")
-        counted = counted.withColumn("skipped", F.sum("c").over(order) - F.col("c"))
-        brackets = _locate(brackets, counted, by, "x_lo", "x_hi")
-    final = _attach_brackets(base, brackets, by)
-    final = final.groupBy(*by, "lo", "hi", "x").agg(F.count("*").alias("c"))
-    order = W.partitionBy(*by, "lo", "hi").orderBy("x")
-    final = final.withColumn("skipped", F.sum("c").over(order) - F.col("c"))
-    return _locate(brackets, final, by, "x", "x").select(*by, "n", "rank", F.col("lo").alias("x"))
-
-
-def _locate(brackets: DataFrame, counted: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:
-    """Replace each bracket by the counted entry that contains its rank."""
-    b, c = brackets.alias("b"), counted.alias("c")
-    position = F.col("b.rank") - F.col("b.below")
-    hit = (
-        _same([*by, "lo", "hi"], "b", "c")
-        & (position >= F.col("c.skipped"))
-        & (position < F.col("c.skipped") + F.col("c.c"))
-    )
-    return b.join(c, hit).select(
-        *[F.col(f"b.{k}") for k in by],
-        F.col("b.n"),
-        F.col(f"c.{lo}").alias("lo"),
-        F.col(f"c.{hi}").alias("hi"),
-        (F.col("b.below") + F.col("c.skipped")).alias("below"),
-        F.col("b.rank"),
-    )
+        order = W.partitionBy(*by, "below").orderBy("part")
+        first = F.col("below") + F.sum("c").over(order) - F.col("c")
+        hit = F.filter(wanted, lambda r: (r >= skipped) & (r < skipped + F.col("c")))
+        brackets = counted.withColumn("skipped", first).select(
+            *by, "n", "lo", "hi", skipped.alias("below"), hit.alias("ranks")
+        ).where(F.size("ranks") > 0)
+    return brackets.select(*by, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("x"))
 
 
 def quantiles(
@@ -217,7 +205,7 @@ def quantiles(
     def at(p: float) -> Column:
         return (F.col("n") - 1) * F.lit(float(p))
 
-    wanted = F.array(*[f(at(p)).cast("long") for p in probs for f in (F.floor, F.ceil)])
+    wanted = [f(at(p)) for p in probs for f in (F.floor, F.ceil)]
     found = order_statistics(df, value, wanted, by)
     per_group = found.groupBy(*by).agg(
         F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("m")

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.operators.prep import keep_present
+
 Term = list[tuple[str, Column]]
 
 INTERCEPT = "intercept"
@@ -56,7 +58,7 @@ def design(
     if response:
         picked.append(F.col(response).alias("y"))
     rows = df.select(*picked, *[cols[n].alias(n) for n in names])
-    return rows.dropna(subset=names + (["y"] if response else []))
+    return keep_present(rows, *names, *(["y"] if response else []))
 
 
 def level_list(df: DataFrame, col: str, max_levels: int = 1000) -> list[str]:
