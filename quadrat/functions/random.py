@@ -63,10 +63,11 @@ def uniform(*keys, seed: int = DEFAULT_SEED, stream: str = "u") -> Column:
 
 
 def std_normal(*keys, seed: int = DEFAULT_SEED, stream: str = "n") -> Column:
-    """Standard normal by the Box-Muller transform of two uniforms."""
-    radius = F.sqrt(F.lit(-2.0) * F.ln(uniform(*keys, seed=seed, stream=stream + ".r")))
-    angle = F.lit(2 * math.pi) * uniform(*keys, seed=seed, stream=stream + ".a")
-    return radius * F.cos(angle)
+    """Standard normal by the Box-Muller transform, radius and angle from one lane each."""
+    first, second = (
+        (_lane(keys, seed, stream, lane) + F.lit(0.5)) / F.lit(float(MODULI[lane])) for lane in (0, 1)
+    )
+    return F.sqrt(F.lit(-2.0) * F.ln(first)) * F.cos(F.lit(2 * math.pi) * second)
 
 
 def normal(mu, sd, *keys, seed: int = DEFAULT_SEED, stream: str = "n") -> Column:

@@ -54,20 +54,36 @@ def intervals(draws: DataFrame, pattern: str | None = None) -> DataFrame:
     return _wide_quantiles(rows, {"ll": 0.05, "l": 0.25, "m": 0.5, "h": 0.75, "hh": 0.95})
 
 
+def _placed(draws: DataFrame) -> DataFrame:
+    """Draws with their place ``i`` in the chain, from 0, its length and its mean.
+
+    Kept draws are evenly spaced, so the place follows from the iteration and no
+    chain needs to be sorted.
+    """
+    chains = ["variable", "chain"]
+    layout = draws.groupBy(*chains).agg(
+        F.count("*").alias("len"),
+        F.avg("value").alias("mu"),
+        F.min("iteration").alias("first"),
+        F.max("iteration").alias("last"),
+    )
+    step = (F.col("last") - F.col("first")) / F.nullif(F.col("len") - 1, F.lit(0))
+    place = F.coalesce(F.round((F.col("iteration") - F.col("first")) / step), F.lit(0.0)).cast("long")
+    return draws.join(layout, chains).select(*chains, place.alias("i"), "len", "mu", "value")
+
+
 def rhat(draws: DataFrame) -> DataFrame:
     """Split R-hat: every chain cut in halves, between against within variance.
 
     The middle draw of an odd chain belongs to neither half.
     """
-    chains = ["variable", "chain"]
-    placed = draws.withColumn("i", F.row_number().over(W.partitionBy(*chains).orderBy("iteration")))
-    placed = placed.withColumn("len", F.count("*").over(W.partitionBy(*chains)))
     half = F.floor(F.col("len") / 2)
-    side = F.when(F.col("i") <= half, 0).when(F.col("i") > F.col("len") - half, 1)
+    side = F.when(F.col("i") < half, 0).when(F.col("i") >= F.col("len") - half, 1)
     halves = (
-        placed.withColumn("side", side)
+        _placed(draws)
+        .withColumn("side", side)
         .where(F.col("side").isNotNull())
-        .groupBy(*chains, "side")
+        .groupBy("variable", "chain", "side")
         .agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     )
     per = halves.groupBy("variable").agg(
@@ -87,33 +103,22 @@ def autocorrelation(draws: DataFrame, max_lag: int = 20, block: int = 65536) ->
     if max_lag >= block:
         raise ValueError("max_lag must be smaller than block")
     chains = ["variable", "chain"]
-    means = draws.groupBy(*chains).agg(F.avg("value").alias("mu"), F.count("*").alias("len"))
-    gap = draws.groupBy(*chains).agg(F.min("iteration").alias("first"), F.max("iteration").alias("last"))
-    layout = means.join(gap, chains)
-    # consecutive position of each draw, from 0: kept draws are evenly spaced
-    space = (F.col("last") - F.col("first")) / F.nullif(F.col("len") - 1, F.lit(0))
-    pos = F.coalesce(F.round((F.col("iteration") - F.col("first")) / space), F.lit(0.0)).cast("long")
-    rows = draws.join(layout, chains).select(
-        *chains, pos.alias("i"), (F.col("value") - F.col("mu")).alias("d")
-    )
     own = F.floor(F.col("i") / block)
     near = (F.col("i") % block < max_lag) & (own > 0)
-    rows = rows.withColumn(
-        "b", F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own)))
+    rows = _placed(draws).select(
+        *chains,
+        "i",
+        (F.col("value") - F.col("mu")).alias("d"),
+        F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own))).alias("b"),
     )
     order = W.partitionBy(*chains, "b").orderBy("i")
-    lags = range(max_lag + 1)
-    rows = rows.select(
-        "*",
-        *[
-            F.when(F.lead("i", k).over(order) == F.col("i") + k, F.lead("d", k).over(order)).alias(f"d{k}")
-            for k in lags
-        ],
-    ).where(F.floor(F.col("i") / block) == F.col("b"))
-    sums = rows.groupBy(*chains).agg(
-        F.array(*[F.coalesce(F.sum(F.col("d") * F.col(f"d{k}")), F.lit(0.0)) for k in lags]).alias("g")
-    )
-    return sums.select(*chains, F.posexplode("g").alias("lag", "c"), F.col("g")[0].alias("c0")).select(
+    ahead = F.collect_list("d").over(order.rowsBetween(0, max_lag))
+    rows = rows.select(*chains, "i", "b", "d", ahead.alias("ahead")).where(own == F.col("b"))
+    pairs = rows.select(*chains, "d", F.posexplode("ahead").alias("lag", "e"))
+    sums = pairs.groupBy(*chains, "lag").agg(F.sum(F.col("d") * F.col("e")).alias("c"))
+    packed = sums.groupBy(*chains).agg(F.collect_list(F.struct("lag", "c")).alias("g"))
+    c0 = F.array_min("g")["c"]
+    return packed.select(*chains, c0.alias("c0"), F.inline("g")).select(
         *chains, "lag", (F.col("c") / F.nullif("c0", F.lit(0.0))).alias("rho")
     )
 

@@ -28,7 +28,7 @@ def factor_code(df: DataFrame, col: str, out: str, max_levels: int = 1000) -> Da
     return df.withColumn(out, F.array_position(sorted_levels(df, col, max_levels), F.col(col)).cast("int"))
 
 
-def dense_codes(df: DataFrame, col: str, splits: int = 1024) -> DataFrame:
+def dense_codes(df: DataFrame, col: str, splits: int = 128) -> DataFrame:
     """Table of (level, code) for any number of levels.
 
     Levels are cut into ranges at a hash-ordered sample of themselves, ranked

@@ -1,8 +1,9 @@
 """Correlations and penalised regressions from distributed sufficient statistics.
 
-Each operator reduces the rows to moments whose size depends only on the number
-of terms, in one aggregate with map-side combine. The small linear algebra on
-that single row runs in a task, so the plan stays lazy.
+Each operator reduces the rows to sums whose number depends only on the number of
+terms: every task folds its rows into one vector, and the vectors are added entry
+by entry across tasks. The small linear algebra on the single row that results
+runs in a task too, so the plan stays lazy.
 """
 
 from __future__ import annotations
@@ -11,77 +12,120 @@ import itertools
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions.expr import ratio
 
 
+def _name(c: str) -> Column:
+    return F.col(f"`{c}`")
+
+
+def _column_means(df: DataFrame, cols: Sequence[str]) -> Column:
+    return df.agg(F.array(*[F.avg(_name(c)) for c in cols])).scalar()
+
+
+def _centred_sums(df: DataFrame, cols: Sequence[str], kernel) -> DataFrame:
+    """One row with ``mean`` and ``sums``, the total of ``kernel`` over all batches.
+
+    ``kernel(np, x)`` turns a matrix of centred values (NaN for null) into a vector
+    that adds up over rows. Centring first keeps the digits of large offsets.
+    """
+    means = _column_means(df, cols)
+    placed = df.select(*[_name(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    placed = placed.withColumn("m", means)
+    centred = placed.select(*[F.col(f"x{i}") - F.col("m")[i] for i in range(len(cols))])
+
+    def fold(batches):
+        import numpy as np
+        import pandas as pd
+
+        total = None
+        for pdf in batches:
+            part = kernel(np, pdf.to_numpy(dtype=float))
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+    entries = centred.mapInPandas(fold, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"])
+    return entries.agg(packed.alias("sums")).withColumn("mean", means)
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson r and count for each pair of columns, over rows where both are present."""
-    pairs = list(itertools.combinations(cols, 2))
-    row = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("a"),
-                    F.lit(b).alias("b"),
-                    F.corr(a, b).alias("r"),
-                    F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"),
-                )
-                for a, b in pairs
-            ]
-        ).alias("p")
-    )
-    return row.select(F.inline("p"))
+    cols = list(cols)
+    k = len(cols)
+
+    def kernel(np, x):
+        there = (~np.isnan(x)).astype(float)
+        x = np.where(there > 0, x, 0.0)
+        return np.concatenate(
+            [m.ravel() for m in (there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x)]
+        )
 
+    def finish(batches):
+        import numpy as np
+        import pandas as pd
 
-def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row: count, means and the upper triangle of the covariance matrix.
+        for pdf in batches:
+            for sums in pdf["sums"]:
+                total = np.asarray(sums, dtype=float)
+                if not len(total):
+                    total = np.zeros(4 * k * k)
+                n, s, ss, xy = total.reshape(4, k, k)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    spread = ss - s * s / n
+                    r = (xy - s * s.T / n) / np.sqrt(spread * spread.T)
+                pairs = list(itertools.combinations(range(k), 2))
+                yield pd.DataFrame(
+                    {
+                        "a": [cols[i] for i, _ in pairs],
+                        "b": [cols[j] for _, j in pairs],
+                        "r": [r[i, j] for i, j in pairs],
+                        "n": [int(n[i, j]) for i, j in pairs],
+                    }
+                )
 
-    Covariances are accumulated around running means, so large offsets lose no digits.
-    """
-    pairs = itertools.combinations_with_replacement(cols, 2)
-    return df.agg(
-        F.count("*").alias("n"),
-        F.array(*[F.avg(c) for c in cols]).alias("mean"),
-        F.array(*[F.covar_samp(a, b) for a, b in pairs]).alias("cov"),
-    )
+    got = _centred_sums(df, cols, kernel).mapInPandas(finish, "a string, b string, r double, n long")
+    return got.select("a", "b", F.nanvl("r", F.lit(None)).alias("r"), "n")
 
 
-def _on_moments(moment_row: DataFrame, terms: Sequence[str], solve, schema: str) -> DataFrame:
-    """Apply ``solve(n, mean, cov, usable)`` to the moment row.
+def _on_moments(df: DataFrame, terms: Sequence[str], response: str | None, solve, schema: str) -> DataFrame:
+    """Apply ``solve(np, n, mean, cross, usable)`` to the centred cross products.
 
-    ``usable`` lists the positions of terms that are not linear combinations of
-    the ones before them.
+    Columns are the terms and then the response. ``usable`` lists the positions of
+    terms that are not linear combinations of the ones before them.
     """
-    p = len(terms)
+    cols = [*terms, *([response] if response else [])]
+    p, size = len(terms), len(cols)
+
+    def kernel(np, x):
+        return np.append((x.T @ x).ravel(), len(x))
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
         for pdf in batches:
-            for n, mean, upper in zip(pdf["n"], pdf["mean"], pdf["cov"], strict=True):
-                if n < 2:
+            for mean, sums in zip(pdf["mean"], pdf["sums"], strict=True):
+                total = np.asarray(sums, dtype=float)
+                if not len(total) or total[-1] < 2:
                     continue
-                size = len(mean)
-                cov = np.zeros((size, size))
-                cov[np.triu_indices(size)] = np.asarray(upper, dtype=float)
-                cov = cov + cov.T - np.diag(np.diag(cov))
+                cross = total[:-1].reshape(size, size)
                 usable: list[int] = []
                 for j in range(p):
-                    own = cov[j, j]
-                    rest = own
+                    own = rest = cross[j, j]
                     if usable:
-                        rest = own - cov[j, usable] @ np.linalg.solve(
-                            cov[np.ix_(usable, usable)], cov[usable, j]
-                        )
+                        inner = np.linalg.solve(cross[np.ix_(usable, usable)], cross[usable, j])
+                        rest = own - cross[j, usable] @ inner
                     if own > 0 and rest > 1e-10 * own:
                         usable.append(j)
-                yield pd.DataFrame(solve(np, int(n), np.asarray(mean, dtype=float), cov, usable))
+                mean = np.asarray(mean, dtype=float)
+                yield pd.DataFrame(solve(np, int(total[-1]), mean, cross, usable))
 
-    return moment_row.mapInPandas(run, schema)
+    return _centred_sums(df, cols, kernel).mapInPandas(run, schema)
 
 
 def vif(design_rows: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -91,19 +135,18 @@ def vif(design_rows: DataFrame, terms: Sequence[str]) -> DataFrame:
     """
     terms = list(terms)
 
-    def solve(np, n, mean, cov, usable):
+    def solve(np, n, mean, cross, usable):
         out = [None] * len(terms)
         if usable:
-            block = cov[np.ix_(usable, usable)]
+            block = cross[np.ix_(usable, usable)]
             sd = np.sqrt(np.diag(block))
             inverse = np.linalg.inv(block / np.outer(sd, sd))
             for place, j in enumerate(usable):
                 out[j] = float(inverse[place, place])
         return {"term": terms, "vif": np.array(out, dtype=float)}
 
-    return _on_moments(moments(design_rows, terms), terms, solve, "term string, vif double").select(
-        "term", F.nanvl("vif", F.lit(None)).alias("vif")
-    )
+    found = _on_moments(design_rows, terms, None, solve, "term string, vif double")
+    return found.select("term", F.nanvl("vif", F.lit(None)).alias("vif"))
 
 
 def gaussian_map(
@@ -124,13 +167,12 @@ def gaussian_map(
     terms = list(terms)
     names = ["intercept", *terms]
 
-    def solve(np, n, mean, cov, usable):
+    def solve(np, n, mean, cross, usable):
         x, y = usable, len(terms)
-        sxx = (n - 1) * cov[np.ix_(x, x)]
-        sxy = (n - 1) * cov[x, y]
+        sxx, sxy = cross[np.ix_(x, x)], cross[x, y]
         ols = np.linalg.solve(sxx, sxy) if x else np.zeros(0)
         left = n - len(x) - 1
-        rss = max((n - 1) * cov[y, y] - ols @ sxy, 0.0)
+        rss = max(cross[y, y] - ols @ sxy, 0.0)
         sigma2 = rss / left if left > 0 else 0.0
         rows = {"prior": [], "term": [], "estimate": [], "std_error": []}
         for prior, s in priors.items():
@@ -151,12 +193,8 @@ def gaussian_map(
             rows["std_error"] += list(error)
         return rows
 
-    found = _on_moments(
-        moments(design_rows, [*terms, response]),
-        terms,
-        solve,
-        "prior string, term string, estimate double, std_error double",
-    )
+    schema = "prior string, term string, estimate double, std_error double"
+    found = _on_moments(design_rows, terms, response, solve, schema)
     return found.select(
         "prior",
         "term",
@@ -292,7 +330,8 @@ def multinomial_map(
     terms = list(terms)
     p, free = len(terms) + 1, k - 1
     size = p * free
-    rows = design_rows.select(F.col(code).cast("int").alias("_code"), *terms)
+    rows = design_rows.select(F.col(code).cast("int").alias("_code"), *[_name(t) for t in terms])
+    rows = rows.where(F.col("_code").isNotNull())
     precision = np.tile(
         [1.0 / intercept_sd**2] + [1.0 / slope_sd**2] * len(terms), free
     )

@@ -174,10 +174,22 @@ def row_mode(cells: DataFrame, row_id: str) -> DataFrame:
     return mode_first(cells, [row_id], "category", "draw_id", out="prediction")
 
 
-def single_draw(cells: DataFrame, row_id: str) -> DataFrame:
-    """Class per row in the first draw."""
-    first = cells.agg(F.min("draw_id")).scalar()
-    return cells.where(F.col("draw_id") == first).select(row_id, F.col("category").alias("prediction"))
+def first_draw(draws: DataFrame) -> DataFrame:
+    """Coefficients of the draw with the smallest id."""
+    return draws.where(F.col("draw_id") == draws.agg(F.min("draw_id")).scalar())
+
+
+def single_draw(
+    rows: DataFrame,
+    row_id: str,
+    draws: DataFrame,
+    k: int,
+    terms: Sequence[str],
+    seed: int = rnd.DEFAULT_SEED,
+) -> DataFrame:
+    """Class per row in the first draw alone; the other draws are never computed."""
+    cells = predict_category(rows, row_id, first_draw(draws), k, terms, 1, seed)
+    return cells.select(row_id, F.col("category").alias("prediction"))
 
 
 def class_frame(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -212,24 +224,29 @@ def category_check(
     terms: Sequence[str],
     n_draws: int,
     seed: int = rnd.DEFAULT_SEED,
-    prediction=row_mode,
+    prediction: str = "mode",
 ) -> DataFrame:
     """Posterior predictive check of a categorical model.
 
     ``classes`` maps raw labels, in code order, to display labels. One row per
     class and source: ``source``, ``category``, ``label``, ``count``, ``lower``,
     ``upper``. "observed" counts the data; "posterior" counts the predicted class of
-    each row (``row_mode`` or ``single_draw``) with the least and greatest class
-    count over the draws as bounds.
+    each row ("mode" over its draws, or "first" draw) with the least and greatest
+    class count over the draws as bounds.
     """
+    if prediction not in ("mode", "first"):
+        raise ValueError(f"unknown prediction: {prediction}")
     k = len(classes)
     wanted = [t for t in terms if t != "intercept"]
-    slim = rows.select(row_id, *wanted, level_code(label, list(classes)).alias("_code"))
-    slim = parallel_rows(slim, row_id)
-    cells = predict_category(slim.drop("_code"), row_id, draws, k, terms, n_draws, seed)
+    slim = parallel_rows(rows.select(row_id, *wanted), row_id)
+    cells = predict_category(slim, row_id, draws, k, terms, n_draws, seed)
     bounds = envelope(counts_per_draw(cells, k), k)
-    observed = slim.select(F.col("_code").alias("category"))
-    predicted = prediction(cells, row_id).select(F.col("prediction").alias("category"))
+    if prediction == "mode":
+        chosen = row_mode(cells, row_id)
+    else:
+        chosen = single_draw(slim, row_id, draws, k, terms, seed)
+    observed = rows.select(level_code(label, list(classes)).alias("category"))
+    predicted = chosen.select(F.col("prediction").alias("category"))
     frame = class_frame(rows, list(classes.values()))
     table = observed_and_predicted(frame, observed, predicted).join(bounds, "category", "left")
     labelled = comparison_long(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import random as rnd
+from quadrat.operators.predictive import cross_draws
 
 
 def normal_draws(df: DataFrame, key: str, mu: float, sd: float, seed: int, stream: str) -> DataFrame:
@@ -64,50 +65,35 @@ def half_student_t3(scale: float, *keys, seed: int, stream: str) -> Column:
     return F.abs(F.lit(scale) * z[0] / F.sqrt(chi2 / 3))
 
 
-def prior_parameters(
-    df: DataFrame,
-    draws: int,
-    parameters: Mapping[str, Column],
-) -> DataFrame:
-    """Long table (draw_id, variable, value) of parameters drawn from their priors.
-
-    Each parameter is an expression over ``draw_id``; ``df`` only names the session.
-    """
-    ids = df.sparkSession.range(1, draws + 1).withColumnRenamed("id", "draw_id")
-    wide = ids.select("draw_id", *[c.alias(n) for n, c in parameters.items()])
-    return wide.unpivot(["draw_id"], list(parameters), "variable", "value")
+def prior_parameters(spark: SparkSession, draws: int, parameters: Mapping[str, Column]) -> DataFrame:
+    """One row per draw with each parameter drawn from its prior, an expression over ``draw_id``."""
+    ids = spark.range(1, draws + 1).withColumnRenamed("id", "draw_id")
+    return ids.select("draw_id", *[c.alias(n) for n, c in parameters.items()])
 
 
 def prior_response(
     rows: DataFrame,
     row_id: str,
     group: str,
-    terms: Sequence[str],
+    slopes: Mapping[str, str],
+    parameters: DataFrame,
     draws: int,
-    intercept: Column,
-    slopes: Mapping[str, Column],
-    group_rate: float = 1.0,
-    residual_scale: float = 2.5,
     seed: int = rnd.DEFAULT_SEED,
 ) -> DataFrame:
     """Responses of a Gaussian model with a random intercept, simulated from priors alone.
 
-    One row per data row and draw: ``row_id``, ``draw_id``, ``mu``, ``y_rep``.
-    ``intercept`` and ``slopes`` are expressions over ``draw_id``; the group sd is
-    exponential and the residual sd half Student t. Every parameter is a function
-    of its draw (and group) key, so no draw table is joined; ``group`` must be an
-    integer key.
+    ``parameters`` has draw_id, intercept, sd_group, sigma and the columns that
+    ``slopes`` maps from covariates. One row per data row and draw: ``row_id``,
+    ``draw_id``, ``mu``, ``y_rep``. The effect of a group depends on draw and group
+    only, so no table of group effects is made; ``group`` must be an integer key.
     """
-    cells = rows.select(
-        row_id, group, *terms, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw_id")
-    )
-    spread = rnd.exponential(group_rate, "draw_id", seed=seed, stream="sd_group")
-    offset = spread * rnd.std_normal("draw_id", group, seed=seed, stream="group")
-    mu = intercept + offset
-    for t in terms:
-        mu = mu + slopes[t] * F.col(t)
-    sigma = half_student_t3(residual_scale, "draw_id", seed=seed, stream="sigma")
-    noise = rnd.std_normal("draw_id", row_id, seed=seed, stream="noise")
-    return cells.select(row_id, "draw_id", mu.alias("mu"), (sigma * noise).alias("e")).select(
-        row_id, "draw_id", "mu", (F.col("mu") + F.col("e")).alias("y_rep")
-    )
+    names = ["intercept", "sd_group", "sigma", *slopes.values()]
+    packed = parameters.select("draw_id", F.array(*names).alias("w"))
+    cells = cross_draws(rows.select(row_id, group, *slopes), packed, row_id, draws, len(names))
+    w = F.col("w")
+    mu = w[0] + w[1] * rnd.std_normal("draw_id", group, seed=seed, stream="group")
+    for i, covariate in enumerate(slopes):
+        mu = mu + w[3 + i] * F.col(covariate)
+    noise = w[2] * rnd.std_normal("draw_id", row_id, seed=seed, stream="noise")
+    cells = cells.select(row_id, "draw_id", F.inline(F.array(F.struct(mu.alias("mu"), noise.alias("e")))))
+    return cells.select(row_id, "draw_id", "mu", (F.col("mu") + F.col("e")).alias("y_rep"))

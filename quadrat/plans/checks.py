@@ -229,7 +229,8 @@ def row_mode(spark, folder):
 
 @query(f"WITH {_CELLS}, {_FIRST} SELECT event_id, prediction FROM m")
 def single_draw(spark, folder):
-    return pp.single_draw(scan_cells(spark, folder), "event_id")
+    rows = scan_rows(spark, folder).drop("event_type")
+    return pp.single_draw(rows, "event_id", coefficient_draws(spark, folder), K, TERMS)
 
 
 @query(
@@ -269,7 +270,7 @@ SELECT 'observed' AS source, category, label, observed AS count, NULL::DOUBLE AS
 UNION ALL SELECT 'posterior', category, label, predicted, lower::DOUBLE, upper::DOUBLE FROM q JOIN b USING (category)"""
 
 
-def scan_check(spark, folder, prediction=pp.row_mode):
+def scan_check(spark, folder, prediction="mode"):
     return pp.category_check(
         scan_rows(spark, folder), "event_id", "event_type", {c: DISPLAY[c] for c in EVENT_TYPES},
         coefficient_draws(spark, folder), TERMS, N_DRAWS, prediction=prediction,
@@ -283,7 +284,7 @@ def ppc_table(spark, folder):
 
 @query(_check_sql(_FIRST))
 def ppc_table_single(spark, folder):
-    return scan_check(spark, folder, pp.single_draw)
+    return scan_check(spark, folder, "first")
 
 
 # ------------------------------------------------------------ Gaussian predictive check

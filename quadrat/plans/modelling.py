@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quadrat.functions import random as rnd
 from quadrat.operators import design as de
 from quadrat.operators import models, prep, priors
+from quadrat.operators import predictive as pp
 from quadrat.plans import sqltext as S
 from quadrat.plans.explore import scans
 from quadrat.plans.registry import query, round_all, rounded
@@ -301,6 +302,16 @@ def prior_band(spark, folder):
 PRIOR_DRAWS = 40
 
 
+def prior_columns():
+    """Lognormal intercept, normal slope, exponential group sd, half-t residual sd."""
+    return {
+        "intercept": rnd.lognormal(1.5, 0.4, "draw_id", seed=SEED, stream="intercept"),
+        "b_z": rnd.normal(0.0, 1.0, "draw_id", seed=SEED, stream="slope"),
+        "sd_group": rnd.exponential(1.0, "draw_id", seed=SEED, stream="sd_group"),
+        "sigma": priors.half_student_t3(2.5, "draw_id", seed=SEED, stream="sigma"),
+    }
+
+
 @query(
     f"""WITH z AS (SELECT o_orderkey, o_custkey, (o_totalprice - m) / s AS z
   FROM orders, (SELECT avg(o_totalprice) m, stddev_samp(o_totalprice) s FROM orders)),
@@ -314,13 +325,10 @@ SELECT draw_id, count(*) AS n, round(avg(mu), 5) + 0.0 AS mean_mu, round(avg(mu
 )
 def prior_only(spark, folder):
     orders = tables.given(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    z = prep.zscore(orders, {"z": "o_totalprice"})
-    cells = priors.prior_response(
-        z, "o_orderkey", "o_custkey", ["z"], PRIOR_DRAWS,
-        rnd.lognormal(1.5, 0.4, "draw_id", seed=SEED, stream="intercept"),
-        {"z": rnd.normal(0.0, 1.0, "draw_id", seed=SEED, stream="slope")},
-    )
-    got = cells.groupBy(F.col("draw_id").cast("long").alias("draw_id")).agg(
+    z = pp.parallel_rows(prep.zscore(orders, {"z": "o_totalprice"}), "o_orderkey")
+    parameters = priors.prior_parameters(spark, PRIOR_DRAWS, prior_columns())
+    cells = priors.prior_response(z, "o_orderkey", "o_custkey", {"z": "b_z"}, parameters, PRIOR_DRAWS)
+    got = cells.groupBy("draw_id").agg(
         F.count("*").alias("n"),
         F.avg("mu").alias("mean_mu"),
         F.avg("y_rep").alias("mean_y"),

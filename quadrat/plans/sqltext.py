@@ -5,25 +5,28 @@ from __future__ import annotations
 from quadrat.functions.random import DEFAULT_SEED, MASKS, MODULI, MULTIPLIERS, stream_seed
 
 
-def uniform(*keys: str, seed: int = DEFAULT_SEED, stream: str = "u") -> str:
-    lanes = []
-    for lane in (0, 1):
-        def step(state: str, i: int) -> str:
-            return f"((xor({state}, {MASKS[lane][i]}::BIGINT) * {MULTIPLIERS[lane][i]}) % {MODULI[lane]})"
+def _lane(keys: tuple[str, ...], seed: int, stream: str, lane: int) -> str:
+    def step(state: str, i: int) -> str:
+        return f"((xor({state}, {MASKS[lane][i]}::BIGINT) * {MULTIPLIERS[lane][i]}) % {MODULI[lane]})"
+
+    m = MODULI[lane]
+    state = f"{stream_seed(seed, stream, lane)}::BIGINT"
+    for key in keys:
+        state = f"({state} + ((({key})::BIGINT % {m}) + {m}) % {m})"
+        state = step(step(state, 0), 1)
+    return step(step(state, 2), 3)
 
-        state = f"{stream_seed(seed, stream, lane)}::BIGINT"
-        for key in keys:
-            m = MODULI[lane]
-            state = f"({state} + ((({key})::BIGINT % {m}) + {m}) % {m})"
-            state = step(step(state, 0), 1)
-        lanes.append(step(step(state, 2), 3))
-    return f"(({lanes[0]} + ({lanes[1]} + 0.5::DOUBLE) / {MODULI[1]}::DOUBLE) / {MODULI[0]}::DOUBLE)"
+
+def uniform(*keys: str, seed: int = DEFAULT_SEED, stream: str = "u") -> str:
+    high, low = (_lane(keys, seed, stream, lane) for lane in (0, 1))
+    return f"(({high} + ({low} + 0.5::DOUBLE) / {MODULI[1]}::DOUBLE) / {MODULI[0]}::DOUBLE)"
 
 
 def std_normal(*keys: str, seed: int = DEFAULT_SEED, stream: str = "n") -> str:
-    r = uniform(*keys, seed=seed, stream=stream + ".r")
-    a = uniform(*keys, seed=seed, stream=stream + ".a")
-    return f"(sqrt(-2.0::DOUBLE * ln({r})) * cos(2 * pi() * {a}))"
+    first, second = (
+        f"(({_lane(keys, seed, stream, lane)} + 0.5::DOUBLE) / {MODULI[lane]}::DOUBLE)" for lane in (0, 1)
+    )
+    return f"(sqrt(-2.0::DOUBLE * ln({first})) * cos(2 * pi() * {second}))"
 
 
 def exponential(rate: float, *keys: str, seed: int = DEFAULT_SEED, stream: str = "e") -> str:
