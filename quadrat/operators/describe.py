@@ -9,15 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadrat.functions.expr import ratio
-
-
-def _same(keys: Sequence[str], left: str, right: str) -> Column:
-    """Null-safe equality on all keys; true for no keys."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return cond
+from quadrat.operators.groups import attach_group_values, few_groups
 
 
 def ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -105,7 +97,7 @@ def _bin_in(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def _rows_in_brackets(
-    base: DataFrame, brackets: DataFrame, by: list[str], most: int
+    base: DataFrame, brackets: DataFrame, by: list[str], most: int, few: bool
 ) -> DataFrame:
     """Rows of ``base`` that lie inside a bracket of their group, tagged with it.
 
@@ -114,8 +106,7 @@ def _rows_in_brackets(
     entries = F.sort_array(F.collect_list(F.struct("lo", "hi", "below")))
     if by:
         packed = brackets.groupBy(*by, "n").agg(entries.alias("bs"))
-        tagged = base.alias("l").join(packed.alias("r"), _same(by, "l", "r"))
-        tagged = tagged.select(*[F.col(f"l.{k}") for k in by], "x", "n", "bs")
+        tagged = attach_group_values(base, packed, by, few)
     else:
         packed = brackets.agg(F.struct(F.first("n").alias("n"), entries.alias("bs")))
         tagged = base.withColumn("s", packed.scalar()).select("x", "s.n", "s.bs")
@@ -156,8 +147,9 @@ def order_statistics(
         F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
         F.lit(0).cast("long").alias("below"),
     )
+    few = bool(by) and few_groups(base, by)
     for i in range(rounds + 1):
-        tagged = _rows_in_brackets(base, brackets, by, len(ranks) if i else 1)
+        tagged = _rows_in_brackets(base, brackets, by, len(ranks) if i else 1, few)
         if i < rounds:
             scale = _squash if i == 0 else (lambda c: c)
             part = _bin_in(scale(x), scale(F.col("lo")), scale(F.col("hi")), bins)
@@ -250,7 +242,10 @@ def summary6(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
         packed = q.select(F.struct("q1", "median", "q3")).scalar()
         base = base.withColumn("q", packed).select("*", "q.*")
         return base.select(*cols)
-    joined = base.alias("l").join(q.alias("r"), _same(by, "l", "r"), "left")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    joined = base.alias("l").join(q.alias("r"), same, "left")
     return joined.select(*[F.col(f"l.{k}") for k in by], *cols)
 
 
@@ -383,8 +378,7 @@ def density_layout(
         .agg((F.max("value") - F.min("value")).alias("iqr"))
     )
     if by:
-        joined = stats.alias("l").join(quart.alias("r"), _same(by, "l", "r"))
-        joined = joined.select(*[F.col(f"l.{k}") for k in by], "n", "sd", "lo", "hi", "iqr")
+        joined = attach_group_values(stats, quart, by, few=False)
     else:
         joined = stats.withColumn("iqr", quart.scalar())
     bw = _bandwidth(F.col("n"), F.col("sd"), F.col("iqr"), adjust)
@@ -414,9 +408,8 @@ def smooth(mass: DataFrame, by: Sequence[str], points: int = 512) -> DataFrame:
     x = F.col("from") + F.col("j") * F.col("by_x")
     z = (x - F.col("start") - F.col("i") * F.col("step")) / F.col("bw")
     kernel = F.exp(F.lit(-0.5) * z * z) / (F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
-    return (
-        at.groupBy(*by, "j", x.alias("x"))
-        .agg((F.sum(F.col("mass") * kernel) / F.first("n")).alias("density"))
+    return at.groupBy(*by, "j").agg(
+        F.max(x).alias("x"), (F.sum(F.col("mass") * kernel) / F.max("n")).alias("density")
     )
 
 
@@ -429,8 +422,8 @@ def density(
     layout = density_layout(df, value, by, points, adjust, cut, rows_per_group)
     base = df.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     if by:
-        placed = base.alias("l").join(layout.alias("r"), _same(by, "l", "r"))
-        placed = placed.select(*[F.col(f"l.{k}").alias(k) for k in by], "v", *[f"r.{c}" for c in LAYOUT])
+        few = rows_per_group is None and few_groups(base, by)
+        placed = attach_group_values(base, layout, by, few)
         mass = bin_mass(placed, "v", [*by, *LAYOUT], F.col("start"), F.col("step"))
     else:
         spec = layout.select(F.struct(*LAYOUT)).scalar()
@@ -444,10 +437,3 @@ def mixed_pairs(df: DataFrame, number: str, category: str) -> DataFrame:
     kept = df.where(F.col(category).isNotNull() & F.col(number).isNotNull())
     counts = kept.groupBy(category).agg(F.count("*").alias("n"))
     return summary6(kept, number, [category]).drop("n_null").join(counts, category)
-
-
-__all__ = [
-    "bin_mass", "contingency", "contingency_wide", "count_by", "density", "density_layout",
-    "head", "histogram", "levels", "mixed_pairs", "order_statistics", "quantiles", "ranges",
-    "ratio", "smooth", "summary6",
-]

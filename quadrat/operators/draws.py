@@ -6,14 +6,13 @@ iterations), not by the size of the data; the number of variables is not bounded
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrat.functions import random as rnd
 from quadrat.operators.describe import density, quantiles
+from quadrat.operators.groups import attach_group_values
 
 # Largest number of draws of one variable that is summarised as one group.
 MAX_DRAWS = 1_000_000
@@ -69,7 +68,8 @@ def _placed(draws: DataFrame) -> DataFrame:
     )
     step = (F.col("last") - F.col("first")) / F.nullif(F.col("len") - 1, F.lit(0))
     place = F.coalesce(F.round((F.col("iteration") - F.col("first")) / step), F.lit(0.0)).cast("long")
-    return draws.join(layout, chains).select(*chains, place.alias("i"), "len", "mu", "value")
+    rows = attach_group_values(draws, layout, chains, few=False)
+    return rows.select(*chains, place.alias("i"), "len", "mu", "value")
 
 
 def rhat(draws: DataFrame) -> DataFrame:
@@ -178,9 +178,3 @@ def pick_draws(draws: DataFrame, n: int, seed: int = rnd.DEFAULT_SEED) -> DataFr
     ids = draws.select("draw_id").distinct()
     order = rnd.uniform("draw_id", seed=seed, stream="pick")
     return ids.orderBy(order, "draw_id").limit(n)
-
-
-__all__: Sequence[str] = [
-    "autocorrelation", "effective_size", "intervals", "keep_draws", "marginal_density",
-    "pick_draws", "rhat", "select_variables", "summarise", "trace",
-]

@@ -16,7 +16,6 @@ from quadrat.functions import random as rnd
 from quadrat.functions.expr import level_code
 from quadrat.operators.describe import LAYOUT, bin_mass, density_layout, smooth
 from quadrat.operators.draws import pick_draws
-from quadrat.operators.factors import mode_first
 from quadrat.operators.reshape import comparison_long
 
 # Coefficients (draws x terms x classes) that may travel as one array with each task.
@@ -77,7 +76,7 @@ def cross_draws(
     keyed = keyed.withColumn(
         "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     )
-    met = keyed.join(sides, ["_b", "_s"]).withColumn("_d", F.explode("_ds"))
+    met = keyed.join(sides.hint("merge"), ["_b", "_s"]).withColumn("_d", F.explode("_ds"))
     return met.select(*rows.columns, "_d.draw_id", "_d.w")
 
 
@@ -108,21 +107,30 @@ def predict_category(
     terms = list(terms)
     packed = pack_draws(draws, range(2, k + 1), terms)
     cells = cross_draws(rows, packed, row_id, n_draws, (k - 1) * len(terms))
-    etas = [f"_eta{c}" for c in range(2, k + 1)]
+    classes = range(1, k + 1)
     cells = cells.select(
-        row_id, "draw_id", *[_linear(terms, c).alias(e) for c, e in enumerate(etas)],
+        "draw_id",
+        row_id,
+        F.lit(0.0).alias("_e1"),
+        *[_linear(terms, c - 2).alias(f"_e{c}") for c in classes[1:]],
         rnd.uniform("draw_id", row_id, seed=seed, stream="class").alias("_u"),
     )
     # subtracting the largest predictor keeps every exponential finite
-    cells = cells.withColumn("_top", F.greatest(F.lit(0.0), *etas) if etas else F.lit(0.0))
-    sums = [f"_s{c}" for c in range(1, k + 1)]
-    weights = [F.exp(-F.col("_top")), *[F.exp(F.col(e) - F.col("_top")) for e in etas]]
-    for i, (name, w) in enumerate(zip(sums, weights, strict=True)):
-        cells = cells.withColumn(name, w if i == 0 else F.col(sums[i - 1]) + w)
-    target = F.col("_u") * F.col(sums[-1])
-    choice = F.lit(k)
-    for c in range(k - 1, 0, -1):
-        choice = F.when(target < F.col(sums[c - 1]), c).otherwise(choice)
+    top = F.greatest(*[f"_e{c}" for c in classes]) if k > 1 else F.col("_e1")
+    cells = cells.select("draw_id", row_id, "_u", top.alias("_top"), *[f"_e{c}" for c in classes])
+    cells = cells.select(
+        "draw_id", row_id, "_u", *[F.exp(F.col(f"_e{c}") - F.col("_top")).alias(f"_w{c}") for c in classes]
+    )
+
+    def reach(c: int) -> Column:
+        total = F.col("_w1")
+        for i in range(2, c + 1):
+            total = total + F.col(f"_w{i}")
+        return total
+
+    target, choice = F.col("_u") * reach(k), F.lit(k)
+    for c in reversed(range(1, k)):
+        choice = F.when(target < reach(c), c).otherwise(choice)
     return cells.select("draw_id", row_id, choice.cast("int").alias("category"))
 
 
@@ -169,9 +177,21 @@ def envelope(per_draw: DataFrame, k: int) -> DataFrame:
     return per_draw.agg(entries.alias("e")).select(F.inline("e"))
 
 
-def row_mode(cells: DataFrame, row_id: str) -> DataFrame:
-    """Most frequent class per row over the draws; the earliest draw wins a tie."""
-    return mode_first(cells, [row_id], "category", "draw_id", out="prediction")
+def row_mode(cells: DataFrame, row_id: str, k: int) -> DataFrame:
+    """Most frequent class 1..k per row over the draws; the earliest draw wins a tie.
+
+    Counts and first draws of all classes are numbers in one hash aggregate per
+    row. Rows already spread by id are aggregated where they are.
+    """
+    stats = cells.groupBy(row_id).agg(
+        *[F.count_if(F.col("category") == c).alias(f"_n{c}") for c in range(1, k + 1)],
+        *[F.min(F.when(F.col("category") == c, F.col("draw_id"))).alias(f"_f{c}") for c in range(1, k + 1)],
+    )
+    entries = [
+        F.struct(F.col(f"_n{c}").alias("n"), (-F.col(f"_f{c}")).alias("f"), F.lit(c).alias("c"))
+        for c in range(1, k + 1)
+    ]
+    return stats.select(row_id, F.array_max(F.array(*entries))["c"].alias("prediction"))
 
 
 def first_draw(draws: DataFrame) -> DataFrame:
@@ -204,14 +224,19 @@ def observed_and_predicted(
 ) -> DataFrame:
     """Counts of observed and predicted classes side by side, paired by code.
 
-    A class missing on either side counts zero; a code outside the frame is kept.
+    A full outer pairing: a class missing on either side counts zero, and a code
+    outside the frame is kept. Both sides are stacked and counted in one aggregate.
     """
-    seen = observed.where(F.col("category").isNotNull()).groupBy("category").agg(F.count("*").alias("o"))
-    pred = predicted.where(F.col("category").isNotNull()).groupBy("category").agg(F.count("*").alias("p"))
-    both = frame.join(seen, "category", "full").join(pred, "category", "full")
-    zero = F.lit(0).cast("long")
-    return both.select(
-        "category", "label", F.coalesce("o", zero).alias("observed"), F.coalesce("p", zero).alias("predicted")
+    def block(rows: DataFrame, label, o: int, p: int) -> DataFrame:
+        return rows.where(F.col("category").isNotNull()).select(
+            "category", label.alias("label"), F.lit(o).alias("o"), F.lit(p).alias("p")
+        )
+
+    none = F.lit(None).cast("string")
+    stacked = block(frame, F.col("label"), 0, 0).unionByName(block(observed, none, 1, 0))
+    stacked = stacked.unionByName(block(predicted, none, 0, 1))
+    return stacked.groupBy("category").agg(
+        F.max("label").alias("label"), F.sum("o").alias("observed"), F.sum("p").alias("predicted")
     )
 
 
@@ -242,18 +267,14 @@ def category_check(
     cells = predict_category(slim, row_id, draws, k, terms, n_draws, seed)
     bounds = envelope(counts_per_draw(cells, k), k)
     if prediction == "mode":
-        chosen = row_mode(cells, row_id)
+        chosen = row_mode(cells, row_id, k)
     else:
         chosen = single_draw(slim, row_id, draws, k, terms, seed)
     observed = rows.select(level_code(label, list(classes)).alias("category"))
     predicted = chosen.select(F.col("prediction").alias("category"))
     frame = class_frame(rows, list(classes.values()))
     table = observed_and_predicted(frame, observed, predicted).join(bounds, "category", "left")
-    labelled = comparison_long(
-        table.withColumn("key", F.struct("category", "label")),
-        "key", "observed", "predicted", "lower", "upper",
-    )
-    return labelled.select("source", "key.category", "key.label", "count", "lower", "upper")
+    return comparison_long(table, ["category", "label"], "observed", "predicted", "lower", "upper")
 
 
 def density_overlay(

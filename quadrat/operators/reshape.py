@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions.expr import missing_double
@@ -35,22 +35,16 @@ def transpose_counts(df: DataFrame, by: str, category: str, k: int) -> DataFrame
 
 
 def comparison_long(
-    counts: DataFrame, category: str, observed: str, predicted: str, lower: str, upper: str
+    counts: DataFrame, ids: Sequence[str], observed: str, predicted: str, lower: str, upper: str
 ) -> DataFrame:
-    """(category, observed, predicted, bounds) to one row per source; observed has no bounds."""
-    return stack_tagged(
-        {
-            "observed": counts.select(
-                category,
-                F.col(observed).alias("count"),
-                missing_double().alias("lower"),
-                missing_double().alias("upper"),
-            ),
-            "posterior": counts.select(
-                category,
-                F.col(predicted).alias("count"),
-                F.col(lower).cast("double").alias("lower"),
-                F.col(upper).cast("double").alias("upper"),
-            ),
-        }
+    """Turn each row into one per source: "observed" without bounds, "posterior" with them."""
+    def entry(source: str, count: str, lo: Column, hi: Column) -> Column:
+        return F.struct(
+            F.lit(source).alias("source"), F.col(count).alias("count"), lo.alias("lower"), hi.alias("upper")
+        )
+
+    both = F.array(
+        entry("observed", observed, missing_double(), missing_double()),
+        entry("posterior", predicted, F.col(lower).cast("double"), F.col(upper).cast("double")),
     )
+    return counts.select(*ids, F.inline(both)).select("source", *ids, "count", "lower", "upper")

@@ -20,9 +20,9 @@ CHAINS, ITERATIONS, WARMUP = 3, 400, 200
 
 def parameter_draws(spark, folder):
     """Draws of one intercept per supplier, autocorrelated, with chains that differ a little."""
+    levels = tables.given(spark, folder, "supplier").select("s_suppkey", "s_acctbal")
     cells = (
-        tables.given(spark, folder, "supplier")
-        .select("s_suppkey", "s_acctbal")
+        pp.parallel_rows(levels, "s_suppkey")
         .withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(CHAINS))))
         .withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(ITERATIONS))))
     )
@@ -224,7 +224,7 @@ _FIRST = "m AS (SELECT event_id, category AS prediction FROM p WHERE draw_id = 1
 
 @query(f"WITH {_CELLS}, {_MODE} SELECT event_id, prediction FROM m")
 def row_mode(spark, folder):
-    return pp.row_mode(scan_cells(spark, folder), "event_id")
+    return pp.row_mode(scan_cells(spark, folder), "event_id", K)
 
 
 @query(f"WITH {_CELLS}, {_FIRST} SELECT event_id, prediction FROM m")
@@ -257,7 +257,7 @@ def obs_vs_pred(spark, folder):
     observed = scan_rows(spark, folder).select(
         F.array_position(F.array(*[F.lit(c) for c in EVENT_TYPES]), F.col("event_type")).cast("int").alias("category")
     )
-    predicted = pp.row_mode(cells, "event_id").select(F.col("prediction").alias("category"))
+    predicted = pp.row_mode(cells, "event_id", K).select(F.col("prediction").alias("category"))
     frame = pp.class_frame(cells, [DISPLAY[c] for c in EVENT_TYPES])
     return pp.observed_and_predicted(frame, observed, predicted)
 
