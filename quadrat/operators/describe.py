@@ -142,7 +142,8 @@ def order_statistics(
     x, skipped = F.col("x"), F.col("skipped")
     wanted = F.array_distinct(F.array(*[r.cast("long") for r in ranks]))
     base = df.select(*by, F.col(value).cast("double").alias("x"))
-    base = base.where(x.isNotNull() & ~F.isnan("x"))
+    # false for NaN, which sorts above infinity, and unknown for null
+    base = base.where(x <= F.lit(math.inf))
     brackets = base.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
         F.lit(0).cast("long").alias("below"),
