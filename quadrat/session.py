@@ -11,17 +11,19 @@ from pyspark.sql import SparkSession
 from quadrat import __name__ as _app
 
 
-def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(_app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    for key, value in conf.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -8,10 +8,11 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from quadrat.session import local_session
 
-    session = local_session(8)
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(8, **{"spark.checkpoint.dir": shared})
     yield session
     session.stop()
 

@@ -200,11 +200,9 @@ def test_declared_schemas_parse(spark):
         assert spark.createDataFrame([], ddl).columns
 
 
-def test_shared_dir_is_read_from_the_session(spark, tmp_path):
-    from quadrat.session import shared_path
-
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_path(spark, "x").startswith(str(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_dir_is_read_from_the_session(spark):
+    from quadrat.session import shared_dir, shared_path
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_path(spark, "x").startswith(shared_dir(spark) + "/x-")
+    assert shared_path(spark, "x") != shared_path(spark, "x")
