@@ -303,7 +303,7 @@ def price_draws(spark, folder):
         F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"),
     )
     s = s.withColumn("b", F.col("sxy") / F.col("sxx"))
-    s = s.withColumn("sigma", F.sqrt((F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("n") - 2)))
+    s = s.withColumn("sigma", F.sqrt(F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0)) / (F.col("n") - 2)))
     d = s.withColumn("draw_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(N_DRAWS).cast("long"))))
     slope = F.col("b") + rnd.std_normal("draw_id", stream="gb") * F.col("sigma") / F.sqrt("sxx")
     level = F.col("my") + rnd.std_normal("draw_id", stream="ga") * F.col("sigma") / F.sqrt("n")
@@ -319,7 +319,7 @@ def price_draws(spark, folder):
 
 _REPLICATES = f"""r AS (SELECT p_partkey, p_retailprice / 100 AS price, p_partkey / 1000.0::DOUBLE AS x FROM part),
 s AS (SELECT count(*) n, avg(x) mx, avg(price) my, regr_sxx(price, x) sxx, regr_sxy(price, x) sxy, regr_syy(price, x) syy FROM r),
-c AS (SELECT *, sxy / sxx AS b, sqrt((syy - sxy / sxx * sxy) / (n - 2)) AS sigma FROM s),
+c AS (SELECT *, sxy / sxx AS b, sqrt(greatest(syy - sxy / sxx * sxy, 0) / (n - 2)) AS sigma FROM s),
 w AS (SELECT draw_id::BIGINT AS draw_id, b + {S.std_normal('draw_id', stream='gb')} * sigma / sqrt(sxx) AS slope,
   my + {S.std_normal('draw_id', stream='ga')} * sigma / sqrt(n) AS centre, mx, sigma FROM c, generate_series(1, {N_DRAWS}) t(draw_id)),
 y AS (SELECT draw_id, p_partkey, centre - slope * mx + slope * x + sigma * {S.std_normal('draw_id', 'p_partkey', stream='replicate')} AS y_rep FROM r, w)"""

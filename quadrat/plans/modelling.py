@@ -74,7 +74,7 @@ def design(spark, folder):
     """WITH s AS (SELECT count(*) n, avg(p_partkey / 1000.0) mx, avg(p_retailprice / 1000.0) my,
   regr_sxx(p_retailprice / 1000.0, p_partkey / 1000.0) sxx, regr_sxy(p_retailprice / 1000.0, p_partkey / 1000.0) sxy,
   regr_syy(p_retailprice / 1000.0, p_partkey / 1000.0) syy FROM part),
-f AS (SELECT *, sxy / sxx AS b, (syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM s)
+f AS (SELECT *, sxy / sxx AS b, greatest(syy - sxy * sxy / sxx, 0) / (n - 2) AS s2 FROM s)
 SELECT 'intercept' AS term, round(my - b * mx, 8) AS estimate, round(sqrt(s2 * (1.0 / n + mx * mx / sxx)), 8) AS std_error FROM f
 UNION ALL SELECT 'key', round(b, 8), round(sqrt(s2 / sxx), 8) FROM f"""
 )
