@@ -290,15 +290,16 @@ def ppc_table_single(spark, folder):
 # ------------------------------------------------------------ Gaussian predictive check
 
 
-def price_rows(spark, folder):
-    part = tables.given(spark, folder, "part").select("p_partkey", (F.col("p_retailprice") / 100).alias("price"))
-    return part.withColumn("x", F.col("p_partkey") / 1000.0)
+def balance_rows(spark, folder):
+    return tables.given(spark, folder, "customer").select(
+        "c_custkey", (F.col("c_acctbal") / 1000).alias("balance"), (F.col("c_nationkey") / 10.0).alias("x")
+    )
 
 
-def price_draws(spark, folder):
-    """Draws of price ~ x: least squares plus normal error of the stated standard errors."""
-    x, y = F.col("x"), F.col("price")
-    s = price_rows(spark, folder).agg(
+def balance_draws(spark, folder):
+    """Draws of balance ~ x: least squares plus normal error of the stated standard errors."""
+    x, y = F.col("x"), F.col("balance")
+    s = balance_rows(spark, folder).agg(
         F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
         F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"),
     )
@@ -317,17 +318,17 @@ def price_draws(spark, folder):
     return d.select("draw_id", F.inline(entries))
 
 
-_REPLICATES = f"""r AS (SELECT p_partkey, p_retailprice / 100 AS price, p_partkey / 1000.0::DOUBLE AS x FROM part),
-s AS (SELECT count(*) n, avg(x) mx, avg(price) my, regr_sxx(price, x) sxx, regr_sxy(price, x) sxy, regr_syy(price, x) syy FROM r),
+_REPLICATES = f"""r AS (SELECT c_custkey, c_acctbal / 1000 AS balance, c_nationkey / 10.0::DOUBLE AS x FROM customer),
+s AS (SELECT count(*) n, avg(x) mx, avg(balance) my, regr_sxx(balance, x) sxx, regr_sxy(balance, x) sxy, regr_syy(balance, x) syy FROM r),
 c AS (SELECT *, sxy / sxx AS b, sqrt(greatest(syy - sxy / sxx * sxy, 0) / (n - 2)) AS sigma FROM s),
 w AS (SELECT draw_id::BIGINT AS draw_id, b + {S.std_normal('draw_id', stream='gb')} * sigma / sqrt(sxx) AS slope,
   my + {S.std_normal('draw_id', stream='ga')} * sigma / sqrt(n) AS centre, mx, sigma FROM c, generate_series(1, {N_DRAWS}) t(draw_id)),
-y AS (SELECT draw_id, p_partkey, centre - slope * mx + slope * x + sigma * {S.std_normal('draw_id', 'p_partkey', stream='replicate')} AS y_rep FROM r, w)"""
+y AS (SELECT draw_id, c_custkey, centre - slope * mx + slope * x + sigma * {S.std_normal('draw_id', 'c_custkey', stream='replicate')} AS y_rep FROM r, w)"""
 
 
-def price_cells(spark, folder):
-    rows = pp.parallel_rows(price_rows(spark, folder), "p_partkey")
-    return pp.predict_gaussian(rows, "p_partkey", price_draws(spark, folder), ("intercept", "x"), N_DRAWS)
+def balance_cells(spark, folder):
+    rows = pp.parallel_rows(balance_rows(spark, folder), "c_custkey")
+    return pp.predict_gaussian(rows, "c_custkey", balance_draws(spark, folder), ("intercept", "x"), N_DRAWS)
 
 
 @query(
@@ -335,7 +336,7 @@ def price_cells(spark, folder):
   round(min(y_rep), 6) + 0.0 AS lo, round(max(y_rep), 6) + 0.0 AS hi FROM y GROUP BY draw_id"""
 )
 def pp_gaussian(spark, folder):
-    got = price_cells(spark, folder).groupBy("draw_id").agg(
+    got = balance_cells(spark, folder).groupBy("draw_id").agg(
         F.count("*").alias("n"), F.avg("y_rep").alias("mean"), F.stddev_samp("y_rep").alias("sd"),
         F.min("y_rep").alias("lo"), F.max("y_rep").alias("hi"),
     )
@@ -348,12 +349,12 @@ SHOW, GRID = 20, 128
 def _overlay_sql() -> str:
     last = GRID - 1
     return f"""WITH {_REPLICATES},
-h AS (SELECT count(*) n, stddev_samp(price) sd, min(price) lo, max(price) hi,
-  quantile_cont(price, 0.75) - quantile_cont(price, 0.25) iqr FROM r),
+h AS (SELECT count(*) n, stddev_samp(balance) sd, min(balance) lo, max(balance) hi,
+  quantile_cont(balance, 0.75) - quantile_cont(balance, 0.25) iqr FROM r),
 bw AS (SELECT *, 0.9 * least(sd, iqr / 1.34) * pow(n, -0.2) AS bw FROM h),
 l AS (SELECT n, bw, lo - 3 * bw AS x0, (hi - lo + 6 * bw) / {last} AS dx, lo - 7 * bw AS b0, (hi - lo + 14 * bw) / {last} AS db FROM bw),
 o AS (SELECT draw_id FROM w ORDER BY {S.uniform('draw_id', stream='pick')}, draw_id LIMIT {SHOW}),
-v AS (SELECT draw_id, y_rep AS v FROM y WHERE draw_id IN (SELECT draw_id FROM o) UNION ALL SELECT NULL, price FROM r),
+v AS (SELECT draw_id, y_rep AS v FROM y WHERE draw_id IN (SELECT draw_id FROM o) UNION ALL SELECT NULL, balance FROM r),
 q AS (SELECT draw_id, (v - b0) / db AS pos FROM v, l),
 m AS (SELECT draw_id, floor(pos) AS i, sum(1 - (pos - floor(pos))) AS mass FROM q GROUP BY ALL
   UNION ALL SELECT draw_id, floor(pos) + 1, sum(pos - floor(pos)) FROM q GROUP BY ALL)
@@ -365,7 +366,7 @@ FROM m, l, generate_series(0, {last}) g(j) GROUP BY draw_id, j"""
 @query(_overlay_sql())
 def pp_overlay(spark, folder):
     d = pp.density_overlay(
-        price_rows(spark, folder), "p_partkey", "price", price_draws(spark, folder),
+        balance_rows(spark, folder), "c_custkey", "balance", balance_draws(spark, folder),
         ("intercept", "x"), N_DRAWS, SHOW, GRID,
     )
     return d.select("draw_id", "j", rounded("x").alias("x"), rounded("density", 8).alias("density"))
