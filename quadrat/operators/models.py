@@ -11,10 +11,12 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrat.functions import random as rnd
 from quadrat.functions.expr import ratio
 
 
@@ -304,9 +306,63 @@ def random_slope(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return t.select(F.col("group").alias(group), "n", "slope", "shrink", pulled.alias("pulled"))
 
 
+def residuals(design_rows: DataFrame, terms: Sequence[str], fit: DataFrame, response: str = "y") -> DataFrame:
+    """Add ``residual``, response minus fitted value; terms without an estimate count zero."""
+    pairs = fit.agg(F.map_from_entries(F.collect_list(F.struct("term", F.coalesce("estimate", F.lit(0.0))))))
+    rows = design_rows.withColumn("_b", pairs.scalar())
+    fitted = F.col("_b")["intercept"]
+    for t in terms:
+        fitted = fitted + F.col("_b")[t] * _name(t)
+    return rows.withColumn("residual", _name(response) - fitted).drop("_b")
+
+
 # ------------------------------------------------------------- multinomial
 
 
+@dataclass(frozen=True)
+class MultinomialFit:
+    """Estimates of a multinomial logit against class 1, flat in (class, term) order."""
+
+    terms: tuple[str, ...]
+    classes: int
+    estimate: tuple[float, ...]
+    covariance: tuple[tuple[float, ...], ...]
+
+    def keys(self) -> list[tuple[int, str]]:
+        return [(c, t) for c in range(2, self.classes + 1) for t in self.terms]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``class``, ``term``, ``estimate``, ``std_error``."""
+        rows = [
+            (c, t, b, math.sqrt(v[i]))
+            for i, ((c, t), b, v) in enumerate(zip(self.keys(), self.estimate, self.covariance, strict=True))
+        ]
+        return spark.createDataFrame(rows, "class int, term string, estimate double, std_error double")
+
+    def draws(self, spark: SparkSession, n: int, seed: int = rnd.DEFAULT_SEED) -> DataFrame:
+        """``n`` draws from the normal approximation: draw_id, class, term, value.
+
+        The numbers are keyed by draw and coefficient, so any part can be recomputed.
+        """
+        import numpy as np
+
+        root = np.linalg.cholesky(np.asarray(self.covariance))
+        rows = [
+            (i, c, t, b, [float(v) for v in root[i, : i + 1]])
+            for i, ((c, t), b) in enumerate(zip(self.keys(), self.estimate, strict=True))
+        ]
+        schema = "i int, class int, term string, centre double, root array<double>"
+        cells = spark.createDataFrame(rows, schema).withColumn(
+            "draw_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")))
+        )
+        steps = cells.select(
+            "draw_id", "i", "class", "term", "centre", F.posexplode("root").alias("j", "weight")
+        )
+        z = rnd.std_normal("draw_id", "j", seed=seed, stream="posterior")
+        moved = steps.groupBy("draw_id", "i", "class", "term", "centre").agg(F.sum(F.col("weight") * z).alias("move"))
+        return moved.select("draw_id", "class", "term", (F.col("centre") + F.col("move")).alias("value"))
+
+
 def multinomial_map(
     design_rows: DataFrame,
     code: str,
@@ -316,25 +372,28 @@ def multinomial_map(
     intercept_sd: float = math.inf,
     tolerance: float = 1e-9,
     max_steps: int = 50,
-) -> DataFrame:
+) -> MultinomialFit:
     """Multinomial logit against class 1 under normal priors, by Newton steps.
 
     ``code`` holds classes 1..k. A step is one pass: each task folds its rows into
     one gradient and one Hessian, summed by entry across tasks; only those sums,
-    whose size is set by the model, reach the driver. Predictors are used as
-    given, so the intercept prior refers to all predictors at zero: pass centred
-    ones. Returns ``class``, ``term``, ``estimate``, ``std_error``.
+    whose size is set by the model, reach the driver. As usual for these priors,
+    the intercept prior holds at the mean of all predictors; the returned
+    intercept is that at zero.
     """
     import numpy as np
 
     terms = list(terms)
     p, free = len(terms) + 1, k - 1
     size = p * free
-    rows = design_rows.select(F.col(code).cast("int").alias("_code"), *[_name(t) for t in terms])
-    rows = rows.where(F.col("_code").isNotNull())
-    precision = np.tile(
-        [1.0 / intercept_sd**2] + [1.0 / slope_sd**2] * len(terms), free
+    names = [f"x{i}" for i in range(len(terms))]
+    rows = design_rows.where(_name(code).isNotNull())
+    means = [float(v or 0.0) for v in rows.agg(*[F.avg(_name(t)) for t in terms]).first()] if terms else []
+    rows = rows.select(
+        _name(code).cast("int").alias("code"),
+        *[(_name(t) - F.lit(m)).alias(x) for t, m, x in zip(terms, means, names, strict=True)],
     )
+    precision = np.tile([1.0 / intercept_sd**2] + [1.0 / slope_sd**2] * len(terms), free)
 
     def sums_at(beta):
         weights = beta.reshape(free, p).copy()
@@ -345,24 +404,22 @@ def multinomial_map(
 
             total = np.zeros(1 + size + size * size)
             for pdf in batches:
-                x = np.column_stack([np.ones(len(pdf)), pdf[terms].to_numpy(dtype=float)])
-                eta = np.column_stack([np.zeros(len(pdf)), x @ weights.T])
+                n = len(pdf)
+                x = np.column_stack([np.ones(n), pdf[names].to_numpy(dtype=float)])
+                eta = np.column_stack([np.zeros(n), x @ weights.T])
                 eta -= eta.max(axis=1, keepdims=True)
                 prob = np.exp(eta)
                 norm = prob.sum(axis=1, keepdims=True)
                 prob /= norm
-                mine = pdf["_code"].to_numpy() - 1
-                total[0] += float((eta[np.arange(len(pdf)), mine] - np.log(norm[:, 0])).sum())
-                hit = np.zeros_like(prob)
-                hit[np.arange(len(pdf)), mine] = 1.0
+                hit = np.eye(k)[pdf["code"].to_numpy() - 1]
+                total[0] += float((hit * eta).sum() - np.log(norm).sum())
                 total[1 : 1 + size] += ((hit - prob)[:, 1:].T @ x).ravel()
-                hess = np.zeros((size, size))
+                hess = np.zeros((free, p, free, p))
                 for a in range(free):
                     for b in range(a, free):
                         w = prob[:, a + 1] * ((a == b) - prob[:, b + 1])
-                        block = (x * w[:, None]).T @ x
-                        hess[a * p : (a + 1) * p, b * p : (b + 1) * p] = block
-                        hess[b * p : (b + 1) * p, a * p : (a + 1) * p] = block.T
+                        hess[a, :, b, :] = (x * w[:, None]).T @ x
+                        hess[b, :, a, :] = hess[a, :, b, :].T
                 total[1 + size :] += hess.ravel()
             yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
 
@@ -381,22 +438,19 @@ def multinomial_map(
         if float(gradient @ step) < tolerance:
             break
         scale = 1.0
-        while True:
-            trial = sums_at(beta + scale * step)
-            if trial[0] >= objective or scale < 1e-6:
-                break
+        trial = sums_at(beta + step)
+        while trial[0] < objective and scale > 1e-6:
             scale /= 2
+            trial = sums_at(beta + scale * step)
         beta = beta + scale * step
         objective, gradient, curvature = trial
     else:
         raise RuntimeError("no convergence: classes may be separated; use finite priors")
-    error = np.sqrt(np.diag(np.linalg.inv(curvature)))
-    names = ["intercept", *terms]
-    out = [
-        (a + 2, names[j], float(beta[a * p + j]), float(error[a * p + j]))
-        for a in range(free)
-        for j in range(p)
-    ]
-    return design_rows.sparkSession.createDataFrame(
-        out, "class int, term string, estimate double, std_error double"
+    # back from centred predictors
+    shift = np.eye(p)
+    shift[0, 1:] = -np.asarray(means)
+    shift = np.kron(np.eye(free), shift)
+    covariance = shift @ np.linalg.inv(curvature) @ shift.T
+    return MultinomialFit(
+        ("intercept", *terms), k, tuple(map(float, shift @ beta)), tuple(tuple(map(float, r)) for r in covariance)
     )

@@ -85,7 +85,7 @@ def _linear(terms: Sequence[str], group: int, weights: str = "w") -> Column:
     total = None
     for i, t in enumerate(terms):
         w = F.col(weights)[at + i]
-        part = w if t == "intercept" else w * F.col(t)
+        part = w if t == "intercept" else w * F.col(f"`{t}`")
         total = part if total is None else total + part
     return total
 
@@ -263,7 +263,7 @@ def category_check(
         raise ValueError(f"unknown prediction: {prediction}")
     k = len(classes)
     wanted = [t for t in terms if t != "intercept"]
-    slim = parallel_rows(rows.select(row_id, *wanted), row_id)
+    slim = parallel_rows(rows.select(row_id, *[f"`{t}`" for t in wanted]), row_id)
     cells = predict_category(slim, row_id, draws, k, terms, n_draws, seed)
     bounds = envelope(counts_per_draw(cells, k), k)
     if prediction == "mode":

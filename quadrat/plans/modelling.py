@@ -241,7 +241,7 @@ def multinom(spark, folder):
     terms = [de.num("zminutes"), de.squared("zminutes"), de.num("zvalue")]
     d = de.design(rows, terms, "y")
     fit = models.multinomial_map(d, "y", len(SCAN_CLASSES), de.column_names(terms), 1.0, 1.0)
-    return round_all(fit, 5)
+    return round_all(fit.table(spark), 5)
 
 
 @query(
@@ -254,7 +254,7 @@ UNION ALL SELECT class, 'late', round(ln(n1 / r1) - ln(n0 / r0), 5) + 0.0, round
 )
 def multinom_saturated(spark, folder):
     rows = scan_design(spark, folder).select("y", (F.col("minutes") >= 720).cast("double").alias("late"))
-    return round_all(models.multinomial_map(rows, "y", len(SCAN_CLASSES), ["late"]), 5)
+    return round_all(models.multinomial_map(rows, "y", len(SCAN_CLASSES), ["late"]).table(spark), 5)
 
 
 # ------------------------------------------------------------ prior simulation

@@ -159,16 +159,31 @@ def test_multinomial_is_at_the_penalised_optimum(spark):
     rows = [(int(c), float(a), float(b)) for c, (a, b) in zip(y, x, strict=True)]
     df = spark.createDataFrame(rows, "y int, a double, b double").repartition(6)
     fit = models.multinomial_map(df, "y", 3, ["a", "b"], slope_sd=1.0, intercept_sd=2.0)
-    got = {(r["class"], r["term"]): r["estimate"] for r in fit.collect()}
-    beta = np.array([[got[c, t] for t in ("intercept", "a", "b")] for c in (2, 3)])
-    full = np.column_stack([np.ones(500), x])
-    gradient = loglik_gradient(full, y, beta, 3, np.array([0.25, 1.0, 1.0]))
+    got = {(r["class"], r["term"]): r for r in fit.table(spark).collect()}
+    beta = np.array([[got[c, t]["estimate"] for t in ("intercept", "a", "b")] for c in (2, 3)])
+    # the intercept prior holds at the predictor means
+    centred = np.column_stack([np.ones(500), x - x.mean(axis=0)])
+    beta[:, 0] += beta[:, 1:] @ x.mean(axis=0)
+    gradient = loglik_gradient(centred, y, beta, 3, np.array([0.25, 1.0, 1.0]))
     assert np.abs(gradient).max() < 1e-4
-    again = models.multinomial_map(df.coalesce(1), "y", 3, ["a", "b"], 1.0, 2.0).collect()
-    assert [r["estimate"] for r in again] == pytest.approx([r["estimate"] for r in fit.collect()], abs=1e-8)
+    again = models.multinomial_map(df.coalesce(1), "y", 3, ["a", "b"], 1.0, 2.0)
+    assert again.estimate == pytest.approx(fit.estimate, abs=1e-8)
+    drawn = fit.draws(spark, 4000).toPandas().pivot(index="draw_id", columns=["class", "term"], values="value")
+    keys = fit.keys()
+    assert drawn[keys].mean().to_numpy() == pytest.approx(fit.estimate, abs=0.02)
+    assert np.cov(drawn[keys].to_numpy().T) == pytest.approx(np.array(fit.covariance), abs=0.004)
+    assert [got[k]["std_error"] for k in keys] == pytest.approx(np.sqrt(np.diag(fit.covariance)))
 
 
 def test_multinomial_finite_prior_survives_a_missing_class(spark):
     df = spark.createDataFrame([(1, 0.0), (1, 1.0), (2, 2.0), (2, 0.5)], "y int, x double")
     fit = models.multinomial_map(df, "y", 3, ["x"], slope_sd=1.0, intercept_sd=1.0)
-    assert all(math.isfinite(r["estimate"]) for r in fit.collect())
+    assert all(math.isfinite(v) for v in fit.estimate)
+
+
+def test_residuals_sum_to_zero(spark, table):
+    names = de.column_names(terms_of())
+    d = de.design(table, terms_of(), "y")
+    fit = models.least_squares(d, names)
+    got = models.residuals(d, names, fit).agg({"residual": "sum"}).first()[0]
+    assert abs(got) < 1e-6
