@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quadrat.functions.expr import level_code
+
 
 def sorted_levels(df: DataFrame, col: str, max_levels: int = 1000) -> Column:
     """All non-null levels in order, as one array value; fails above ``max_levels``."""
@@ -93,3 +95,8 @@ def mode_first(
     return counted.groupBy(*keys).agg(
         F.max_by(F.col(value), F.struct(F.col("_n"), -F.col("_at"))).alias(out)
     )
+
+
+def explicit_code(df: DataFrame, col: str, levels: Sequence[str], out: str) -> DataFrame:
+    """Code each label by its place in a given level order; other labels get null."""
+    return df.withColumn(out, level_code(col, levels))

@@ -174,7 +174,7 @@ def _coefficient(c: int, p: int) -> str:
     return f"ln(n{c}::DOUBLE / n1) + {z} * sqrt(1.0::DOUBLE / n{c} + 1.0::DOUBLE / n1)"
 
 
-_CELLS = f"""r AS (SELECT * FROM {SCANS}),
+CELLS_SQL = f"""r AS (SELECT * FROM {SCANS}),
 z AS (SELECT event_id, event_type, (minutes - mm) / sm AS zminutes, (value - mv) / sv AS zvalue
   FROM r, (SELECT avg(minutes) mm, stddev_samp(minutes) sm, avg(value) mv, stddev_samp(value) sv FROM r)),
 n AS (SELECT {', '.join(f"count(*) FILTER (event_type = '{v}') AS n{i}" for i, v in enumerate(EVENT_TYPES, 1))} FROM events),
@@ -194,13 +194,13 @@ def scan_cells(spark, folder):
     return pp.predict_category(rows, "event_id", draws, K, TERMS, N_DRAWS)
 
 
-@query(f"WITH {_CELLS} SELECT draw_id, event_id, category FROM p")
+@query(f"WITH {CELLS_SQL} SELECT draw_id, event_id, category FROM p")
 def post_predict(spark, folder):
     return scan_cells(spark, folder)
 
 
 @query(
-    f"WITH {_CELLS} SELECT draw_id, "
+    f"WITH {CELLS_SQL} SELECT draw_id, "
     + ", ".join(f"count(*) FILTER (category = {c}) AS c{c}" for c in range(1, K + 1))
     + " FROM p GROUP BY draw_id"
 )
@@ -209,7 +209,7 @@ def per_draw_counts(spark, folder):
 
 
 @query(
-    f"""WITH {_CELLS}, c AS (SELECT draw_id, k::INT AS category, count(*) FILTER (category = k) AS n
+    f"""WITH {CELLS_SQL}, c AS (SELECT draw_id, k::INT AS category, count(*) FILTER (category = k) AS n
   FROM p, generate_series(1, {K}) g(k) GROUP BY ALL)
 SELECT category, min(n) AS lower, max(n) AS upper FROM c GROUP BY category"""
 )
@@ -217,24 +217,24 @@ def ppc_envelope(spark, folder):
     return pp.envelope(pp.counts_per_draw(scan_cells(spark, folder), K), K)
 
 
-_MODE = """c AS (SELECT event_id, category, count(*) n, min(draw_id) f FROM p GROUP BY ALL),
+MODE_SQL = """c AS (SELECT event_id, category, count(*) n, min(draw_id) f FROM p GROUP BY ALL),
 m AS (SELECT event_id, category AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, f) AS place FROM c) WHERE place = 1)"""
-_FIRST = "m AS (SELECT event_id, category AS prediction FROM p WHERE draw_id = 1)"
+FIRST_SQL = "m AS (SELECT event_id, category AS prediction FROM p WHERE draw_id = 1)"
 
 
-@query(f"WITH {_CELLS}, {_MODE} SELECT event_id, prediction FROM m")
+@query(f"WITH {CELLS_SQL}, {MODE_SQL} SELECT event_id, prediction FROM m")
 def row_mode(spark, folder):
     return pp.row_mode(scan_cells(spark, folder), "event_id", K)
 
 
-@query(f"WITH {_CELLS}, {_FIRST} SELECT event_id, prediction FROM m")
+@query(f"WITH {CELLS_SQL}, {FIRST_SQL} SELECT event_id, prediction FROM m")
 def single_draw(spark, folder):
     rows = scan_rows(spark, folder).drop("event_type")
     return pp.single_draw(rows, "event_id", coefficient_draws(spark, folder), K, TERMS)
 
 
 @query(
-    f"WITH {_CELLS} SELECT event_id, "
+    f"WITH {CELLS_SQL} SELECT event_id, "
     + ", ".join(f"count(*) FILTER (category = {c}) AS c{c}" for c in range(1, K + 1))
     + " FROM p GROUP BY event_id"
 )
@@ -251,7 +251,7 @@ _PAIRED = f"""{_FRAME}, q AS (SELECT f.category, f.label, (SELECT count(*) FROM
   (SELECT count(*) FROM m WHERE prediction = f.category) AS predicted FROM f)"""
 
 
-@query(f"WITH {_CELLS}, {_MODE}, {_PAIRED} SELECT category, label, observed, predicted FROM q")
+@query(f"WITH {CELLS_SQL}, {MODE_SQL}, {_PAIRED} SELECT category, label, observed, predicted FROM q")
 def obs_vs_pred(spark, folder):
     cells = scan_cells(spark, folder)
     observed = scan_rows(spark, folder).select(
@@ -263,7 +263,7 @@ def obs_vs_pred(spark, folder):
 
 
 def _check_sql(choice: str) -> str:
-    return f"""WITH {_CELLS}, {choice}, {_PAIRED},
+    return f"""WITH {CELLS_SQL}, {choice}, {_PAIRED},
 b AS (SELECT k AS category, min(n) AS lower, max(n) AS upper FROM (
   SELECT draw_id, k, count(*) FILTER (category = k) AS n FROM p, generate_series(1, {K}) g(k) GROUP BY ALL) GROUP BY k)
 SELECT 'observed' AS source, category, label, observed AS count, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper FROM q
@@ -277,12 +277,12 @@ def scan_check(spark, folder, prediction="mode"):
     )
 
 
-@query(_check_sql(_MODE))
+@query(_check_sql(MODE_SQL))
 def ppc_table(spark, folder):
     return scan_check(spark, folder)
 
 
-@query(_check_sql(_FIRST))
+@query(_check_sql(FIRST_SQL))
 def ppc_table_single(spark, folder):
     return scan_check(spark, folder, "first")
 
