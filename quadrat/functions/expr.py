@@ -6,7 +6,7 @@ Aggregates skip nulls. Where the statistical convention counts a null instead
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,3 +58,13 @@ def ratio(a, b) -> Column:
 
 def missing_double() -> Column:
     return F.lit(None).cast("double")
+
+
+def computed_once(columns: Mapping[str, Column]) -> Column:
+    """Columns evaluated once per row, for use in a ``select``.
+
+    Left alone, the optimizer copies an expression to every place that uses the
+    column, and a long chain outgrows what the JVM compiles. A generator is not
+    copied.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))

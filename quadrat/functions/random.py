@@ -62,6 +62,29 @@ def uniform(*keys, seed: int = DEFAULT_SEED, stream: str = "u") -> Column:
     return (high + (low + F.lit(0.5)) / F.lit(float(MODULI[1]))) / F.lit(float(MODULI[0]))
 
 
+def array_uniform(seed: int = DEFAULT_SEED, stream: str = "u"):
+    """The same numbers as ``uniform`` for integer arrays that broadcast together.
+
+    Returns a self-contained function of (numpy, *keys) that tasks can carry.
+    """
+    moduli, multipliers, masks = MODULI, MULTIPLIERS, MASKS
+    starts = tuple(stream_seed(seed, stream, lane) for lane in (0, 1))
+
+    def of(np, *keys):
+        def step(state, lane, i):
+            return (state ^ masks[lane][i]) * multipliers[lane][i] % moduli[lane]
+
+        ends = []
+        for lane in (0, 1):
+            state = np.int64(starts[lane])
+            for key in keys:
+                state = step(step(state + key % moduli[lane], lane, 0), lane, 1)
+            ends.append(step(step(state, lane, 2), lane, 3))
+        return (ends[0] + (ends[1] + 0.5) / float(moduli[1])) / float(moduli[0])
+
+    return of
+
+
 def std_normal(*keys, seed: int = DEFAULT_SEED, stream: str = "n") -> Column:
     """Standard normal by the Box-Muller transform, radius and angle from one lane each."""
     first, second = (

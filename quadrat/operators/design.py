@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.functions.expr import computed_once
 from quadrat.operators.prep import keep_present
 
 Term = list[tuple[str, Column]]
@@ -54,16 +55,28 @@ def design(
     """
     cols = {name: c for term in reversed(terms) for name, c in reversed(term)}
     names = column_names(terms)
-    picked = [F.col(k) for k in keep]
+    values = {n: cols[n] for n in names}
     if response:
-        picked.append(F.col(response).alias("y"))
-    rows = df.select(*picked, *[cols[n].alias(n) for n in names])
-    return keep_present(rows, *names, *(["y"] if response else []))
+        values = {"y": F.col(response), **values}
+    return keep_present(df.select(*keep, computed_once(values)), *values)
+
+
+def level_lists(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list[str]]:
+    """Sorted non-null labels of each column, for building dummies; one scan for all.
+
+    Fails when a column has more than ``max_levels`` labels.
+    """
+    pairs = df.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("level")) for c in cols]))
+    )
+    found = pairs.where(F.col("level").isNotNull()).distinct().limit(len(cols) * max_levels + 1).collect()
+    out = {c: sorted(r["level"] for r in found if r["name"] == c) for c in cols}
+    for c, levels in out.items():
+        if len(levels) > max_levels:
+            raise ValueError(f"more than {max_levels} levels in {c}")
+    return out
 
 
 def level_list(df: DataFrame, col: str, max_levels: int = 1000) -> list[str]:
-    """Sorted non-null levels for building dummies; fails above ``max_levels``."""
-    rows = df.where(F.col(col).isNotNull()).select(col).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"more than {max_levels} levels in {col}")
-    return sorted(r[0] for r in rows)
+    """Sorted non-null labels of one column."""
+    return level_lists(df, [col], max_levels)[col]

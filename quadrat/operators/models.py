@@ -379,7 +379,8 @@ def multinomial_map(
     one gradient and one Hessian, summed by entry across tasks; only those sums,
     whose size is set by the model, reach the driver. As usual for these priors,
     the intercept prior holds at the mean of all predictors; the returned
-    intercept is that at zero.
+    intercept is that at zero. The centred rows stay in memory or on disk between
+    steps; a lost part is computed again.
     """
     import numpy as np
 
@@ -393,6 +394,7 @@ def multinomial_map(
         _name(code).cast("int").alias("code"),
         *[(_name(t) - F.lit(m)).alias(x) for t, m, x in zip(terms, means, names, strict=True)],
     )
+    rows = rows.persist()
     precision = np.tile([1.0 / intercept_sd**2] + [1.0 / slope_sd**2] * len(terms), free)
 
     def sums_at(beta):
@@ -432,20 +434,23 @@ def multinomial_map(
         return objective, gradient, total[1 + size :].reshape(size, size) + np.diag(precision)
 
     beta = np.zeros(size)
-    objective, gradient, curvature = sums_at(beta)
-    for _ in range(max_steps):
-        step = np.linalg.solve(curvature, gradient)
-        if float(gradient @ step) < tolerance:
-            break
-        scale = 1.0
-        trial = sums_at(beta + step)
-        while trial[0] < objective and scale > 1e-6:
-            scale /= 2
-            trial = sums_at(beta + scale * step)
-        beta = beta + scale * step
-        objective, gradient, curvature = trial
-    else:
-        raise RuntimeError("no convergence: classes may be separated; use finite priors")
+    try:
+        objective, gradient, curvature = sums_at(beta)
+        for _ in range(max_steps):
+            step = np.linalg.solve(curvature, gradient)
+            if float(gradient @ step) < tolerance:
+                break
+            scale = 1.0
+            trial = sums_at(beta + step)
+            while trial[0] < objective and scale > 1e-6:
+                scale /= 2
+                trial = sums_at(beta + scale * step)
+            beta = beta + scale * step
+            objective, gradient, curvature = trial
+        else:
+            raise RuntimeError("no convergence: classes may be separated; use finite priors")
+    finally:
+        rows.unpersist()
     # back from centred predictors
     shift = np.eye(p)
     shift[0, 1:] = -np.asarray(means)

@@ -21,6 +21,13 @@ from quadrat.operators.reshape import comparison_long
 # Coefficients (draws x terms x classes) that may travel as one array with each task.
 MAX_ARRAY_VALUES = 4_000_000
 
+# Coefficients per draw up to which predictors are spelled out as column expressions;
+# longer ones outgrow what the JVM compiles and go through a matrix product.
+MAX_SPELLED_OUT = 24
+
+# Cells of a block of rows x draws that a task holds at a time.
+BLOCK_CELLS = 400_000
+
 
 def parallel_rows(rows: DataFrame, row_id: str) -> DataFrame:
     """Spread rows over all tasks by id before each is multiplied by the draws.
@@ -90,6 +97,127 @@ def _linear(terms: Sequence[str], group: int, weights: str = "w") -> Column:
     return total
 
 
+def _category_blocks(packed: DataFrame, k: int, terms: Sequence[str], n_draws: int, seed: int):
+    """Function from (numpy, ids, design matrix) to blocks of predicted classes.
+
+    Brings the coefficients, at most ``MAX_ARRAY_VALUES`` numbers, to the driver to
+    ship them with the function. A block is (index of its first draw, its draw
+    ids, classes as rows x draws).
+    """
+    import numpy as np
+
+    got = packed.orderBy("draw_id").limit(n_draws + 1).toPandas()
+    if len(got) > n_draws:
+        raise ValueError(f"more than the stated {n_draws} draws")
+    draw_ids = got["draw_id"].to_numpy(dtype=np.int64)
+    flat = np.array(got["w"].tolist(), dtype=float)
+    weights = flat.reshape(len(draw_ids), k - 1, len(terms))
+    uniform = rnd.array_uniform(seed, "class")
+    block_cells = BLOCK_CELLS
+
+    def blocks(np, ids, x):
+        step = max(1, block_cells // max(1, len(ids)))
+        for start in range(0, len(draw_ids), step):
+            some = draw_ids[start : start + step]
+            w = weights[start : start + step].reshape(-1, x.shape[1])
+            eta = (x @ w.T).reshape(len(ids), len(some), k - 1)
+            # subtracting the largest predictor keeps every exponential finite
+            top = np.maximum(eta.max(axis=2), 0.0)
+            reach = np.exp(-top)
+            sums = [reach]
+            for c in range(k - 1):
+                reach = reach + np.exp(eta[:, :, c] - top)
+                sums.append(reach)
+            target = uniform(np, some[None, :], ids[:, None]) * sums[-1]
+            category = np.ones(target.shape, dtype=np.int32)
+            for reach in sums[:-1]:
+                category += target >= reach
+            yield start, some, category
+
+    return draw_ids, blocks
+
+
+def _design_columns(row_id: str, terms: Sequence[str]) -> list[Column]:
+    """Row id and one column per term, named by position."""
+    cols = [F.lit(1.0) if t == "intercept" else F.col(f"`{t}`").cast("double") for t in terms]
+    return [F.col(row_id).cast("long").alias("id"), *[c.alias(f"x{i}") for i, c in enumerate(cols)]]
+
+
+def _predict_by_product(rows, row_id, packed, k, terms, n_draws, seed) -> DataFrame:
+    _, blocks = _category_blocks(packed, k, terms, n_draws, seed)
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            ids = pdf["id"].to_numpy()
+            for _, some, category in blocks(np, ids, pdf.iloc[:, 1:].to_numpy(dtype=float)):
+                yield pd.DataFrame(
+                    {"d": np.tile(some, len(ids)), "i": np.repeat(ids, len(some)), "c": category.ravel()}
+                )
+
+    cells = rows.select(*_design_columns(row_id, terms)).mapInPandas(run, "d long, i long, c int")
+    return cells.toDF("draw_id", row_id, "category")
+
+
+def fold_predictions(
+    rows: DataFrame,
+    row_id: str,
+    code: str,
+    draws: DataFrame,
+    k: int,
+    terms: Sequence[str],
+    n_draws: int,
+    seed: int = rnd.DEFAULT_SEED,
+) -> DataFrame:
+    """Counts of classes 1..k over draws x rows, in one pass without moving a cell.
+
+    Each task walks its rows in blocks and keeps three sets of counts: per draw,
+    of the most frequent class of each row (the earliest draw wins a tie), and of
+    the observed ``code``. Returns one row per draw (``kind`` "draw") and one each
+    of kind "mode" and "observed": ``kind``, ``draw_id``, ``c1``..``ck``.
+    """
+    terms = list(terms)
+    packed = pack_draws(draws, range(2, k + 1), terms)
+    draw_ids, blocks = _category_blocks(packed, k, terms, n_draws, seed)
+    names = [f"c{c}" for c in range(1, k + 1)]
+
+    def fold(batches):
+        import numpy as np
+        import pandas as pd
+
+        n = len(draw_ids)
+        per_draw = np.zeros((n, k), dtype=np.int64)
+        modes, observed = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
+        for pdf in batches:
+            known = pdf["code"].dropna().to_numpy(dtype=np.int64)
+            observed += np.bincount(known - 1, minlength=k)[:k]
+            x = pdf.drop(columns=["id", "code"]).to_numpy(dtype=float)
+            counts = np.zeros((len(pdf), k), dtype=np.int64)
+            first = np.full((len(pdf), k), n, dtype=np.int64)
+            for start, some, category in blocks(np, pdf["id"].to_numpy(), x):
+                for c in range(k):
+                    hit = category == c + 1
+                    per_draw[start : start + len(some), c] += hit.sum(axis=0)
+                    found = hit.sum(axis=1)
+                    new = (counts[:, c] == 0) & (found > 0)
+                    first[new, c] = start + hit[new].argmax(axis=1)
+                    counts[:, c] += found
+            # more draws first, then the earlier first draw
+            best = (counts * (n + 1) + (n - first)).argmax(axis=1)
+            modes += np.bincount(best, minlength=k)
+        table = np.vstack([per_draw, modes, observed])
+        out = pd.DataFrame(table, columns=names)
+        out.insert(0, "draw_id", pd.array([*draw_ids, None, None], dtype="Int64"))
+        out.insert(0, "kind", ["draw"] * n + ["mode", "observed"])
+        yield out
+
+    schema = "kind string, draw_id long, " + ", ".join(f"{c} long" for c in names)
+    parts = rows.select(F.col(code).alias("code"), *_design_columns(row_id, terms)).mapInPandas(fold, schema)
+    return parts.groupBy("kind", "draw_id").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def predict_category(
     rows: DataFrame,
     row_id: str,
@@ -106,7 +234,10 @@ def predict_category(
     """
     terms = list(terms)
     packed = pack_draws(draws, range(2, k + 1), terms)
-    cells = cross_draws(rows, packed, row_id, n_draws, (k - 1) * len(terms))
+    width = (k - 1) * len(terms)
+    if width > MAX_SPELLED_OUT and n_draws * width <= MAX_ARRAY_VALUES:
+        return _predict_by_product(rows, row_id, packed, k, terms, n_draws, seed)
+    cells = cross_draws(rows, packed, row_id, n_draws, width)
     classes = range(1, k + 1)
     cells = cells.select(
         "draw_id",
@@ -251,7 +382,7 @@ def category_check(
     seed: int = rnd.DEFAULT_SEED,
     prediction: str = "mode",
 ) -> DataFrame:
-    """Posterior predictive check of a categorical model.
+    """Posterior predictive check of a categorical model; ``row_id`` is an integer key.
 
     ``classes`` maps raw labels, in code order, to display labels. One row per
     class and source: ``source``, ``category``, ``label``, ``count``, ``lower``,
@@ -263,20 +394,49 @@ def category_check(
         raise ValueError(f"unknown prediction: {prediction}")
     k = len(classes)
     wanted = [t for t in terms if t != "intercept"]
-    slim = parallel_rows(rows.select(row_id, *[f"`{t}`" for t in wanted]), row_id)
-    cells = predict_category(slim, row_id, draws, k, terms, n_draws, seed)
-    bounds = envelope(counts_per_draw(cells, k), k)
-    if prediction == "mode":
-        chosen = row_mode(cells, row_id, k)
+    coded = rows.select(row_id, *[f"`{t}`" for t in wanted], level_code(label, list(classes)).alias("_code"))
+    slim = parallel_rows(coded, row_id)
+    if n_draws * (k - 1) * len(terms) <= MAX_ARRAY_VALUES:
+        counts = fold_predictions(slim, row_id, "_code", draws, k, terms, n_draws, seed)
     else:
-        chosen = single_draw(slim, row_id, draws, k, terms, seed)
-    observed = rows.select(level_code(label, list(classes)).alias("category"))
-    predicted = chosen.select(F.col("prediction").alias("category"))
-    frame = class_frame(rows, list(classes.values()))
-    table = observed_and_predicted(frame, observed, predicted).join(bounds, "category", "left")
+        counts = _counts_from_cells(slim, row_id, "_code", draws, k, terms, n_draws, seed)
+    is_draw, first = F.col("kind") == "draw", F.struct("kind", "draw_id")
+
+    def entry(i: int, display: str) -> Column:
+        c = F.col(f"c{i}")
+        if prediction == "mode":
+            predicted = F.max(F.when(F.col("kind") == "mode", c))
+        else:
+            predicted = F.min_by(F.when(is_draw, c), F.when(is_draw, first))
+        return F.struct(
+            F.lit(i).alias("category"),
+            F.lit(display).alias("label"),
+            F.max(F.when(F.col("kind") == "observed", c)).alias("observed"),
+            predicted.alias("predicted"),
+            F.min(F.when(is_draw, c)).alias("lower"),
+            F.max(F.when(is_draw, c)).alias("upper"),
+        )
+
+    table = counts.agg(F.array(*[entry(i, v) for i, v in enumerate(classes.values(), 1)]).alias("t"))
+    table = table.select(F.inline("t"))
     return comparison_long(table, ["category", "label"], "observed", "predicted", "lower", "upper")
 
 
+def _counts_from_cells(slim, row_id, code, draws, k, terms, n_draws, seed) -> DataFrame:
+    """What ``fold_predictions`` returns, for draws too many to ship with a task."""
+    names = [f"c{c}" for c in range(1, k + 1)]
+    cells = predict_category(slim.drop(code), row_id, draws, k, terms, n_draws, seed)
+    none = F.lit(None).cast("long")
+
+    def tally(df: DataFrame, column: str, kind: str) -> DataFrame:
+        counted = df.agg(*[F.count_if(F.col(column) == c).alias(n) for c, n in enumerate(names, 1)])
+        return counted.select(F.lit(kind).alias("kind"), none.alias("draw_id"), *names)
+
+    per_draw = counts_per_draw(cells, k).select(F.lit("draw").alias("kind"), "draw_id", *names)
+    modes = tally(row_mode(cells, row_id, k), "prediction", "mode")
+    return per_draw.unionByName(modes).unionByName(tally(slim, code, "observed"))
+
+
 def density_overlay(
     rows: DataFrame,
     row_id: str,

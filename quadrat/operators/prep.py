@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.functions.expr import ratio
+from quadrat.functions.expr import computed_once, ratio
 
 
 def keep_present(df: DataFrame, *cols: str) -> DataFrame:
     """Rows with no null in the given columns; the test is pushed into the scan."""
     for c in cols:
-        df = df.where(F.col(c).isNotNull())
+        df = df.where(F.col(f"`{c}`").isNotNull())
     return df
 
 
@@ -41,19 +41,19 @@ def filter_then_scale(df: DataFrame, steps: Sequence[tuple[str, ...]]) -> DataFr
             out, src = args
             seen = F.when(alive, F.col(src))
             i = len(scaled)
-            moments += [F.avg(seen).alias(f"m{i}"), F.stddev_samp(seen).alias(f"s{i}")]
+            inverse = ratio(F.lit(1.0), F.stddev_samp(seen))
+            moments += [F.avg(seen).alias(f"m{i}"), inverse.alias(f"w{i}")]
             scaled[out] = src
         else:
             raise ValueError(f"unknown step: {kind}")
     stats = df.agg(F.struct(*moments).alias("s")).scalar()
     rows = keep_present(df, *kept) if kept else df
-    rows = rows.withColumn("_moments", stats)
-    return rows.withColumns(
-        {
-            out: ratio(F.col(src) - F.col(f"_moments.m{i}"), F.col(f"_moments.s{i}"))
-            for i, (out, src) in enumerate(scaled.items())
-        }
-    ).drop("_moments")
+    rows = rows.drop(*scaled).withColumn("_moments", stats)
+    z = {
+        out: (F.col(src) - F.col(f"_moments.m{i}")) * F.col(f"_moments.w{i}")
+        for i, (out, src) in enumerate(scaled.items())
+    }
+    return rows.select(*[c for c in rows.columns if c != "_moments"], computed_once(z))
 
 
 def zscore(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:

@@ -129,7 +129,7 @@ def prepare_scans(df: DataFrame, study: str) -> DataFrame:
 def scan_levels(prepared: DataFrame, study: str) -> dict[str, list[str]]:
     """Sorted labels of the response and of every factor, needed to name design columns."""
     cols = [SCAN_RESPONSE[study], "youngest_off_sex", "community", *(["eldest_off_sex"] if study == "m5" else [])]
-    return {c: de.level_list(prepared, c) for c in cols}
+    return de.level_lists(prepared, cols)
 
 
 def scan_terms(study: str, levels: dict[str, Sequence[str]]) -> list[de.Term]:

@@ -38,10 +38,17 @@ def numpy_cells(rows, draws, u):
     return out
 
 
-@pytest.mark.parametrize("limit", [10**6, 4])
-def test_categories_match_a_direct_computation(spark, rows, monkeypatch, limit):
-    # with the small limit, draws travel in blocks through a salted join
-    monkeypatch.setattr(pp, "MAX_ARRAY_VALUES", limit)
+PATHS = {
+    "expressions": {},
+    "salted join": {"MAX_ARRAY_VALUES": 4},
+    "matrix product": {"MAX_SPELLED_OUT": 0, "BLOCK_CELLS": 100},
+}
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_categories_match_a_direct_computation(spark, rows, monkeypatch, path):
+    for name, value in PATHS[path].items():
+        monkeypatch.setattr(pp, name, value)
     draws = coefficients(spark, 6)
     cells = pp.predict_category(rows.drop("s"), "id", draws, 3, TERMS, 6).collect()
     grid = rows.select("id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("draw_id"))
@@ -80,13 +87,27 @@ def test_extreme_predictors_stay_finite(spark, rows):
 
 
 @pytest.mark.parametrize("prediction", ["mode", "first"])
-def test_check_table(spark, rows, prediction):
+@pytest.mark.parametrize("values", [{}, {"BLOCK_CELLS": 64}, {"MAX_ARRAY_VALUES": 4}], ids=["fold", "blocks", "cells"])
+def test_check_table(spark, rows, prediction, values, monkeypatch):
+    for name, value in values.items():
+        monkeypatch.setattr(pp, name, value)
+    cells = pp.predict_category(rows.drop("s"), "id", coefficients(spark, 5), 3, TERMS, 5)
+    if prediction == "mode":
+        chosen = pp.row_mode(cells, "id", 3)
+    else:
+        chosen = pp.single_draw(rows, "id", coefficients(spark, 5), 3, TERMS)
+    want = dict(chosen.groupBy("prediction").count().collect())
+    bounds = {r["category"]: r for r in pp.envelope(pp.counts_per_draw(cells, 3), 3).collect()}
     classes = {"a": "A", "b": "B", "never": "N"}
     args = (rows, "id", "s", classes, coefficients(spark, 5), TERMS, 5)
     got = {(r["source"], r["label"]): r for r in pp.category_check(*args, prediction=prediction).collect()}
     # "zz" is outside the classes and is not counted as observed
     assert [got["observed", v]["count"] for v in "ABN"] == [150, 75, 0]
-    assert sum(got["posterior", v]["count"] for v in "ABN") == 300
+    for i, v in enumerate("ABN", 1):
+        row = got["posterior", v]
+        assert row["count"] == want.get(i, 0)
+        assert (row["lower"], row["upper"]) == (bounds[i]["lower"], bounds[i]["upper"])
+    assert sum(want.values()) == 300
     assert got["posterior", "N"]["count"] == 0 and got["posterior", "N"]["upper"] == 0
     assert got["observed", "A"]["lower"] is None
     again = pp.category_check(rows.repartition(1), *args[1:], prediction=prediction).collect()

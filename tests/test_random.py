@@ -66,3 +66,9 @@ def test_half_student_t3_quantiles(spark):
     t = draws(spark, 200_000, half_student_t3(2.5, "id", seed=1, stream="t"))
     # quartiles of |t| with 3 degrees of freedom: 0.3492, 0.7649, 1.4226
     assert np.quantile(t, (0.25, 0.5, 0.75)) / 2.5 == pytest.approx((0.3492, 0.7649, 1.4226), rel=0.02)
+
+
+def test_arrays_give_the_same_numbers(spark):
+    u = draws(spark, 2000, rnd.uniform("id", F.col("id") * 977 - 5000, seed=3, stream="s"))
+    ids = np.arange(2000, dtype=np.int64)
+    assert (rnd.array_uniform(3, "s")(np, ids, ids * 977 - 5000) == u).all()
