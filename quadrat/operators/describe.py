@@ -220,12 +220,13 @@ def quantiles(
 
 
 def summary6(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Minimum, quartiles, mean, maximum and number of nulls."""
+    """Minimum, quartiles, mean, maximum, number of values and of nulls."""
     by = list(by)
     base = df.groupBy(*by).agg(
         F.min(value).cast("double").alias("min"),
         F.max(value).cast("double").alias("max"),
         F.avg(value).alias("mean"),
+        F.count(value).alias("n"),
         F.count_if(F.col(value).isNull()).alias("n_null"),
     )
     q = (
@@ -238,7 +239,7 @@ def summary6(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
             ]
         )
     )
-    cols = ["min", "q1", "median", "mean", "q3", "max", "n_null"]
+    cols = ["min", "q1", "median", "mean", "q3", "max", "n", "n_null"]
     if not by:
         packed = q.select(F.struct("q1", "median", "q3")).scalar()
         base = base.withColumn("q", packed).select("*", "q.*")
@@ -436,5 +437,4 @@ def density(
 def mixed_pairs(df: DataFrame, number: str, category: str) -> DataFrame:
     """Quartiles, range and count of a number within each category."""
     kept = df.where(F.col(category).isNotNull() & F.col(number).isNotNull())
-    counts = kept.groupBy(category).agg(F.count("*").alias("n"))
-    return summary6(kept, number, [category]).drop("n_null").join(counts, category)
+    return summary6(kept, number, [category]).drop("n_null")

@@ -24,9 +24,12 @@ FLAGGED = (
 )
 
 
-def scans(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as behaviour scans: minutes of the day, a count and partly missing covariates."""
-    ev = tables.given(spark, folder, "events")
+def scans(spark: SparkSession, folder: str, *more: str, source: DataFrame | None = None) -> DataFrame:
+    """Events as behaviour scans: minutes of the day, a flag and a partly missing covariate.
+
+    ``more`` names further columns of ``source``, the events unless given.
+    """
+    ev = tables.given(spark, folder, "events") if source is None else source
     return ev.select(
         "event_id",
         "user_id",
@@ -34,13 +37,20 @@ def scans(spark: SparkSession, folder: str) -> DataFrame:
         "value",
         X.minutes_of_day("ts").alias("minutes"),
         F.when(F.col("event_type") != "error", F.col("value")).alias("amount"),
-        F.nullif(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0)).alias("k"),
         F.when(F.col("event_type") == "purchase", 1)
         .when(F.col("event_type") == "signup", 0)
         .alias("flag"),
+        *more,
     )
 
 
+def scans_with_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Scans and the number ``k`` from their JSON properties, parsed once per row."""
+    k = F.nullif(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
+    events = tables.given(spark, folder, "events").select("*", X.computed_once({"k": k}))
+    return scans(spark, folder, "k", source=events)
+
+
 SCANS = """(SELECT event_id, user_id, event_type, value,
   hour(ts) * 60 + minute(ts) + second(ts) / 60.0::DOUBLE AS minutes,
   CASE WHEN event_type <> 'error' THEN value END AS amount,
@@ -151,7 +161,7 @@ def level_counts(spark, folder):
 
 @query("SELECT DISTINCT k FROM " + SCANS + " WHERE k IS NOT NULL ORDER BY k")
 def levels_sorted(spark, folder):
-    return describe.levels(scans(spark, folder), "k")
+    return describe.levels(scans_with_k(spark, folder), "k")
 
 
 @query("SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
@@ -200,7 +210,7 @@ def prep_chain(spark, folder):
         ("keep", "k"),
         ("scale", "zk", "k"),
     ]
-    z = prep.filter_then_scale(scans(spark, folder), steps)
+    z = prep.filter_then_scale(scans_with_k(spark, folder), steps)
     z = prep.fill_missing(z, {"flag": 0})
     return round_all(z.select("event_id", "zminutes", "zamount", "zk", "flag"))
 
@@ -222,9 +232,9 @@ def range_all(spark, folder):
 @query(
     f"""SELECT 'price' AS variable, min(o_totalprice) AS min, quantile_cont(o_totalprice, 0.25) AS q1,
   quantile_cont(o_totalprice, 0.5) AS median, round(avg(o_totalprice), 4) AS mean,
-  quantile_cont(o_totalprice, 0.75) AS q3, max(o_totalprice) AS max, count(*) - count(o_totalprice) AS n_null FROM orders
+  quantile_cont(o_totalprice, 0.75) AS q3, max(o_totalprice) AS max, count(o_totalprice) AS n, count(*) - count(o_totalprice) AS n_null FROM orders
 UNION ALL SELECT 'amount', min(amount), quantile_cont(amount, 0.25), quantile_cont(amount, 0.5),
-  round(avg(amount), 4), quantile_cont(amount, 0.75), max(amount), count(*) - count(amount) FROM {SCANS}""".replace(
+  round(avg(amount), 4), quantile_cont(amount, 0.75), max(amount), count(amount), count(*) - count(amount) FROM {SCANS}""".replace(
         "quantile_cont(o_totalprice, 0.25)", "round(quantile_cont(o_totalprice, 0.25), 4)"
     )
     .replace("quantile_cont(o_totalprice, 0.5)", "round(quantile_cont(o_totalprice, 0.5), 4)")
@@ -244,11 +254,11 @@ PROBS = (0.0, 0.025, 0.25, 0.5, 0.975, 1.0)
 
 @query(
     " UNION ALL ".join(
-        f"SELECT {p}::DOUBLE AS prob, round(quantile_cont(o_totalprice, {p}), 4) AS value FROM orders" for p in PROBS
+        f"SELECT {p}::DOUBLE AS prob, round(quantile_cont(o_totalprice, {p}), 6) AS value FROM orders" for p in PROBS
     )
 )
 def quantiles(spark, folder):
-    return round_all(describe.quantiles(tables.given(spark, folder, "orders"), "o_totalprice", PROBS), 4)
+    return round_all(describe.quantiles(tables.given(spark, folder, "orders"), "o_totalprice", PROBS))
 
 
 @query(
@@ -380,7 +390,7 @@ def corr_matrix(spark, folder):
 FROM {SCANS} WHERE k IS NOT NULL GROUP BY event_type"""
 )
 def pair_mixed(spark, folder):
-    return round_all(describe.mixed_pairs(scans(spark, folder), "k", "event_type"), 4)
+    return round_all(describe.mixed_pairs(scans_with_k(spark, folder), "k", "event_type"), 4)
 
 
 # ------------------------------------------------------------ sorting, codes, modes
