@@ -106,7 +106,7 @@ def _rows_in_brackets(
     entries = F.sort_array(F.collect_list(F.struct("lo", "hi", "below")))
     if by:
         packed = brackets.groupBy(*by, "n").agg(entries.alias("bs"))
-        tagged = attach_group_values(base, packed, by, few)
+        tagged = attach_group_values(base, packed, by, few, size="n")
     else:
         packed = brackets.agg(F.struct(F.first("n").alias("n"), entries.alias("bs")))
         tagged = base.withColumn("s", packed.scalar()).select("x", "s.n", "s.bs")
@@ -424,8 +424,10 @@ def density(
     layout = density_layout(df, value, by, points, adjust, cut, rows_per_group)
     base = df.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     if by:
-        few = rows_per_group is None and few_groups(base, by)
-        placed = attach_group_values(base, layout, by, few)
+        if rows_per_group is None:
+            placed = attach_group_values(base, layout, by, few_groups(base, by), size="n")
+        else:
+            placed = attach_group_values(base, layout, by, few=False)
         mass = bin_mass(placed, "v", [*by, *LAYOUT], F.col("start"), F.col("step"))
     else:
         spec = layout.select(F.struct(*LAYOUT)).scalar()

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quadrat.functions import random as rnd
 from quadrat.operators.describe import density, quantiles
 from quadrat.operators.groups import attach_group_values
+from quadrat.session import shared_path
+from quadrat.sources.tables import save
 
 # Largest number of draws of one variable that is summarised as one group.
 MAX_DRAWS = 1_000_000
@@ -93,8 +95,8 @@ def rhat(draws: DataFrame) -> DataFrame:
     return per.select("variable", F.sqrt(pooled / F.nullif("within", F.lit(0.0))).alias("rhat"))
 
 
-def autocorrelation(draws: DataFrame, max_lag: int = 20, block: int = 65536) -> DataFrame:
-    """Autocorrelation per variable, chain and lag 0..max_lag of consecutive draws.
+def _lag_products(draws: DataFrame, max_lag: int, block: int) -> DataFrame:
+    """Sum of products of centred draws per variable, chain and lag, with length and mean.
 
     Chains are cut into blocks that also hold the next ``max_lag`` draws, so each
     window is bounded however long a chain is. Lagged values come from one
@@ -108,14 +110,24 @@ def autocorrelation(draws: DataFrame, max_lag: int = 20, block: int = 65536) ->
     rows = _placed(draws).select(
         *chains,
         "i",
+        "len",
+        "mu",
         (F.col("value") - F.col("mu")).alias("d"),
         F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own))).alias("b"),
     )
     order = W.partitionBy(*chains, "b").orderBy("i")
     ahead = F.collect_list("d").over(order.rowsBetween(0, max_lag))
-    rows = rows.select(*chains, "i", "b", "d", ahead.alias("ahead")).where(own == F.col("b"))
-    pairs = rows.select(*chains, "d", F.posexplode("ahead").alias("lag", "e"))
-    sums = pairs.groupBy(*chains, "lag").agg(F.sum(F.col("d") * F.col("e")).alias("c"))
+    rows = rows.withColumn("ahead", ahead).where(own == F.col("b"))
+    pairs = rows.select(*chains, "len", "mu", "d", F.posexplode("ahead").alias("lag", "e"))
+    return pairs.groupBy(*chains, "lag").agg(
+        F.sum(F.col("d") * F.col("e")).alias("c"), F.max("len").alias("len"), F.max("mu").alias("mu")
+    )
+
+
+def autocorrelation(draws: DataFrame, max_lag: int = 20, block: int = 65536) -> DataFrame:
+    """Autocorrelation per variable, chain and lag 0..max_lag of consecutive draws."""
+    chains = ["variable", "chain"]
+    sums = _lag_products(draws, max_lag, block)
     packed = sums.groupBy(*chains).agg(F.collect_list(F.struct("lag", "c")).alias("g"))
     c0 = F.array_min("g")["c"]
     return packed.select(*chains, c0.alias("c0"), F.inline("g")).select(
@@ -129,7 +141,8 @@ def effective_size(draws: DataFrame) -> DataFrame:
     Autocovariances come from a Fourier transform per chain. They are summed in
     pairs of lags up to the first negative pair, each pair no larger than the one
     before it. One task handles one variable at a time: chains x kept iterations
-    numbers. All chains must have the same length.
+    numbers, at most ``MAX_DRAWS``; for more, use ``effective_size_long``. All
+    chains must have the same length.
     """
 
     def per_variable(key, pdf):
@@ -137,7 +150,7 @@ def effective_size(draws: DataFrame) -> DataFrame:
         import pandas as pd
 
         if len(pdf) > MAX_DRAWS:
-            raise ValueError(f"{key[0]} has more than {MAX_DRAWS} draws")
+            raise ValueError(f"{key[0]} has more than {MAX_DRAWS} draws; use effective_size_long")
         pdf = pdf.sort_values(["chain", "iteration"], kind="stable")
         x = np.stack([g.to_numpy(dtype=float) for _, g in pdf.groupby("chain")["value"]])
         m, n = x.shape
@@ -159,6 +172,62 @@ def effective_size(draws: DataFrame) -> DataFrame:
     return draws.groupBy("variable").applyInPandas(per_variable, "variable string, ess double")
 
 
+def effective_size_long(draws: DataFrame, first_lags: int = 64) -> DataFrame:
+    """``effective_size`` for chains of any length, from bounded windows.
+
+    Lags are computed in growing numbers, and again only for variables whose pair
+    sums have not turned negative yet, so no variable is cut short. Each round is
+    written to the shared folder.
+    """
+    out, todo, lags = None, draws, first_lags
+    while True:
+        done = save(_size_from_lags(todo, lags), shared_path(draws.sparkSession, "ess"))
+        ready = done.where(F.col("complete")).select("variable", "ess")
+        out = ready if out is None else out.unionByName(ready)
+        open_ = done.where(~F.col("complete")).select("variable")
+        if not open_.take(1):
+            return out
+        todo, lags = todo.join(open_, "variable", "left_semi"), lags * 4
+
+
+def _size_from_lags(draws: DataFrame, lags: int) -> DataFrame:
+    """``variable``, ``ess`` and whether the lags below ``lags`` (even) settle it."""
+    n, m = F.col("n"), F.col("m")
+    sums = _lag_products(draws, lags - 1, max(65536, 4 * lags))
+    per = sums.groupBy("variable", "lag").agg(
+        F.avg(F.col("c") / F.col("len")).alias("acov"),
+        F.max("len").alias("n"),
+        F.count("*").alias("m"),
+        F.coalesce(F.var_samp("mu"), F.lit(0.0)).alias("between"),
+    )
+    base = per.where(F.col("lag") == 0).select(
+        "variable", n, m,
+        (F.col("acov") * n / (n - 1)).alias("within"), (F.col("acov") + F.col("between")).alias("total"),
+    )
+    rho = 1 - (F.col("within") - F.col("acov")) / F.nullif("total", F.lit(0.0))
+    pairs = (
+        per.drop("n", "m").join(base, "variable")
+        .select("variable", "n", "m", F.floor(F.col("lag") / 2).alias("k"),
+                F.when(F.col("lag") == 0, 1.0).otherwise(rho).alias("rho"), "total")
+        .groupBy("variable", "k")
+        .agg(F.sum("rho").alias("pair"), F.count("*").alias("terms"), *[F.max(c).alias(c) for c in ("n", "m", "total")])
+        .where(F.col("terms") == 2)
+    )
+    least = F.min("pair").over(W.partitionBy("variable").orderBy("k"))
+    got = pairs.withColumn("least", least).groupBy("variable").agg(
+        F.sum(F.when(F.col("least") >= 0, F.col("least"))).alias("s"),
+        F.min("pair").alias("lowest"),
+        *[F.max(c).alias(c) for c in ("n", "m", "total")],
+    )
+    size = n * m
+    tau = F.greatest(-1 + 2 * F.col("s"), 1 / F.log10(size))
+    return got.select(
+        "variable",
+        F.when(F.col("total") > 0, size / tau).alias("ess"),
+        ((F.col("lowest") < 0) | (n <= lags) | ~(F.col("total") > 0)).alias("complete"),
+    )
+
+
 def trace(draws: DataFrame, every: int = 1) -> DataFrame:
     """Points of a trace plot, every ``every``-th iteration, in plotting order."""
     return (

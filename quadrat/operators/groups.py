@@ -19,8 +19,21 @@ def few_groups(df: DataFrame, by: Sequence[str]) -> bool:
     return df.select(*by).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
 
 
+def _same_keys(by: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return same
+
+
+def _attach(rows: DataFrame, values: DataFrame, by: Sequence[str]) -> DataFrame:
+    picked = [F.col(f"l.{c}").alias(c) for c in rows.columns]
+    picked += [F.col(f"r.{c}").alias(c) for c in values.columns if c not in by]
+    return rows.alias("l").join(values.alias("r"), _same_keys(by)).select(*picked)
+
+
 def attach_group_values(
-    rows: DataFrame, values: DataFrame, by: Sequence[str], few: bool
+    rows: DataFrame, values: DataFrame, by: Sequence[str], few: bool, size: str | None = None
 ) -> DataFrame:
     """Inner join of rows with one row of values per group; null keys match.
 
@@ -28,12 +41,19 @@ def attach_group_values(
     no different. Otherwise both sides are hashed by group, the values being the
     build side: the optimizer cannot tell how much an ``explode`` multiplies rows
     and might broadcast the wrong side if left to choose.
+
+    ``size`` names the column of ``values`` with the rows per group, for groups of
+    unequal size. Groups above a share of 1 / ``FEW_GROUPS`` of all rows, of which
+    there are fewer than ``FEW_GROUPS``, are then broadcast too, and only rows of
+    the small groups are hashed.
     """
-    values = F.broadcast(values) if few else values.hint("shuffle_hash")
-    left, right = rows.alias("l"), values.alias("r")
-    same: Column = F.lit(True)
-    for k in by:
-        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    picked = [F.col(f"l.{c}").alias(c) for c in rows.columns]
-    picked += [F.col(f"r.{c}").alias(c) for c in values.columns if c not in by]
-    return left.join(right, same).select(*picked)
+    if few:
+        return _attach(rows, F.broadcast(values), by)
+    if size is None:
+        return _attach(rows, values.hint("shuffle_hash"), by)
+    share = values.agg(F.sum(size) / FEW_GROUPS).scalar()
+    hot, light = values.where(F.col(size) > share), values.where(F.col(size) <= share)
+    cool = rows.alias("l").join(F.broadcast(hot.select(*by)).alias("r"), _same_keys(by), "left_anti")
+    return _attach(rows, F.broadcast(hot), by).unionByName(
+        _attach(cool, light.hint("shuffle_hash"), by)
+    )

@@ -64,6 +64,10 @@ def zscore(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 def attach_attribute(
     df: DataFrame, attributes: DataFrame, on: str, required: str | None = None
 ) -> DataFrame:
-    """Add per-key attributes; with ``required``, keep rows that got a value."""
+    """Add per-key attributes; with ``required``, keep rows that got a value.
+
+    A plain equi-join: small attributes are broadcast by their measured size, and
+    a hot key of large ones is split by adaptive execution.
+    """
     joined = df.join(attributes, on, "left")
     return keep_present(joined, required) if required else joined

@@ -96,8 +96,7 @@ def acf(spark, folder):
     return round_all(dr.autocorrelation(kept(spark, folder), MAX_LAG))
 
 
-@query(
-    f"""WITH {_draws_sql()}, c AS (SELECT variable, chain, iteration, value - avg(value) OVER w AS e, avg(value) OVER w AS mu,
+ESS_SQL = f"""WITH {_draws_sql()}, c AS (SELECT variable, chain, iteration, value - avg(value) OVER w AS e, avg(value) OVER w AS mu,
   count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY variable, chain)),
 g AS (SELECT a.variable, a.chain, b.iteration - a.iteration AS lag, any_value(a.mu) AS mu, any_value(a.n) AS n, sum(a.e * b.e) / any_value(a.n) AS s
   FROM c a JOIN c b ON b.variable = a.variable AND b.chain = a.chain AND b.iteration >= a.iteration GROUP BY ALL),
@@ -107,11 +106,18 @@ r AS (SELECT variable, lag, n, m, CASE WHEN lag = 0 THEN 1 ELSE 1 - (w - s) / to
 p AS (SELECT variable, lag // 2 AS k, any_value(n) * any_value(m) AS size, sum(rho) AS pair FROM r GROUP BY ALL HAVING count(*) = 2),
 q AS (SELECT *, min(pair) OVER (PARTITION BY variable ORDER BY k) AS least FROM p)
 SELECT variable, round(size / greatest(-1 + 2 * sum(least), 1 / log10(size)), 4) AS ess FROM q WHERE least >= 0 GROUP BY variable, size"""
-)
+
+
+@query(ESS_SQL)
 def ess(spark, folder):
     return round_all(dr.effective_size(kept(spark, folder)), 4)
 
 
+@query(ESS_SQL)
+def ess_long(spark, folder):
+    return round_all(dr.effective_size_long(kept(spark, folder)), 4)
+
+
 @query(
     f"""WITH {_draws_sql()} SELECT variable, chain, iteration, round(value, 6) + 0.0 AS value FROM d WHERE iteration % 10 = 0"""
 )

@@ -113,10 +113,10 @@ def test_few_bins_and_many_rounds_agree(spark):
         assert {r["rank"]: r["x"] for r in got} == {0: 0.0, 17: 17.0, 2500: 2500.0, 4999: 4999.0}
 
 
-@pytest.mark.parametrize("many", [False, True])
-def test_quantiles_by_group_with_null_group(spark, monkeypatch, many):
-    if many:
-        monkeypatch.setattr("quadrat.operators.groups.FEW_GROUPS", 1)
+# 10,000: all groups broadcast; 2: the largest broadcast, the others hashed; 1: all hashed
+@pytest.mark.parametrize("few", [10_000, 2, 1])
+def test_quantiles_by_group_with_null_group(spark, monkeypatch, few):
+    monkeypatch.setattr("quadrat.operators.groups.FEW_GROUPS", few)
     rng = np.random.default_rng(3)
     data = {"a": rng.normal(size=301), None: rng.normal(size=40), "b": np.array([2.0])}
     df = frame(spark, [(k, float(v)) for k, vs in data.items() for v in vs], "g string, x double")
@@ -124,6 +124,28 @@ def test_quantiles_by_group_with_null_group(spark, monkeypatch, many):
     assert got == pytest.approx({(k, p): np.quantile(v, p) for k, v in data.items() for p in (0.3, 0.5)})
 
 
+def test_large_groups_are_broadcast_and_small_ones_hashed(spark, monkeypatch):
+    from quadrat.operators.groups import attach_group_values
+
+    monkeypatch.setattr("quadrat.operators.groups.FEW_GROUPS", 3)
+    key = F.when(F.col("id") < 700, F.lit(None)).otherwise(F.col("id"))
+    rows = spark.range(1000).select(key.alias("k"), F.col("id").alias("v"))
+    values = rows.groupBy("k").agg(F.count("*").alias("n"))
+    got = attach_group_values(rows, values, ["k"], few=False, size="n")
+    assert got.count() == 1000 and got.where("k is null").count() == 700
+    assert got.agg(F.sum("n")).first()[0] == 700 * 700 + 300
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "ShuffledHashJoin" in plan
+
+
+def test_density_by_group_does_not_depend_on_the_join(spark, monkeypatch):
+    df = spark.range(400).select((F.col("id") % 7 % 3).alias("g"), F.sqrt("id").alias("x"))
+    want = describe.density(df, "x", ["g"], 32).orderBy("g", "j").collect()
+    monkeypatch.setattr("quadrat.operators.groups.FEW_GROUPS", 2)
+    got = describe.density(df, "x", ["g"], 32).orderBy("g", "j").collect()
+    assert [tuple(r) for r in got] == [pytest.approx(tuple(r)) for r in want]
+
+
 def test_stated_group_size_is_enforced(spark):
     df = spark.range(10).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("x"))
     assert describe.quantiles(df, "x", (0.5,), ["g"], rows_per_group=10).first()["value"] == 4.5

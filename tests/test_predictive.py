@@ -196,6 +196,16 @@ def test_effective_size(spark, series):
     assert 60 < got["slow"] < 160 and got["white"] > 600 and got["apart"] < 30
 
 
+@pytest.mark.parametrize("first_lags", [4, 512])
+def test_effective_size_of_long_chains_agrees(spark, series, first_lags):
+    df = chain_draws(spark, series)
+    want = {r["variable"]: r["ess"] for r in dr.effective_size(df).collect()}
+    got = {r["variable"]: r["ess"] for r in dr.effective_size_long(df, first_lags).collect()}
+    assert got.keys() == want.keys() and got["flat"] is None
+    for v in ("slow", "white", "apart"):
+        assert got[v] == pytest.approx(want[v], rel=1e-9)
+
+
 def test_summary_and_intervals(spark, series):
     df = chain_draws(spark, series)
     allx = np.concatenate([series["slow", c] for c in (1, 2, 3)])
