@@ -111,12 +111,9 @@ def _rows_in_brackets(
         packed = brackets.agg(F.struct(F.first("n").alias("n"), entries.alias("bs")))
         tagged = base.withColumn("s", packed.scalar()).select("x", "s.n", "s.bs")
     # the last bracket that starts at or before x
-    x, place = F.col("x"), F.lit(-1)
-    for i in range(most):
-        starts = F.coalesce(F.get("bs", F.lit(i))["lo"] <= x, F.lit(False))
-        place = place + starts.cast("int")
-    nearest = F.inline(F.array(F.get("bs", place)))
-    return tagged.select(*by, "n", "x", nearest).where(x <= F.col("hi"))
+    starts = " + ".join(f"int(coalesce(get(bs, {i}).lo <= x, false))" for i in range(most))
+    nearest = F.expr(f"inline(array(get(bs, {starts} - 1)))")
+    return tagged.select(*by, "n", "x", nearest).where("x <= hi")
 
 
 def order_statistics(
@@ -203,20 +200,13 @@ def quantiles(
     per_group = found.groupBy(*by).agg(
         F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("m")
     )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                (
-                    F.col("m")[F.floor(at(p)).cast("long")]
-                    + (at(p) - F.floor(at(p)))
-                    * (F.col("m")[F.ceil(at(p)).cast("long")] - F.col("m")[F.floor(at(p)).cast("long")])
-                ).alias("value"),
-            )
-            for p in probs
-        ]
+    # at rank r = (n - 1) * p, between the values at floor(r) and ceil(r)
+    rows = ", ".join(
+        f"struct(double({float(p)!r}) AS prob, m[floor(r{i})] + (r{i} - floor(r{i})) * (m[ceil(r{i})] - m[floor(r{i})]) AS value)"
+        for i, p in enumerate(probs)
     )
-    return per_group.select(*by, F.inline(rows))
+    per_group = per_group.select(*by, "m", *[at(p).alias(f"r{i}") for i, p in enumerate(probs)])
+    return per_group.select(*by, F.expr(f"inline(array({rows}))"))
 
 
 def summary6(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
