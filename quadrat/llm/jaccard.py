@@ -304,7 +304,7 @@ def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rul
     more = _across(meets.select("key", "cls"), found, sets, rule, tile)
     more = stored(_checked(more.join(to_ends, ["a", "b"], "left_anti"), sets, rule), "jaccard-links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     parts = found.select(F.col("node").alias("cls"), "component")
     classes = members.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
     classes = classes.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontam, jaccard, lines, mixing, rules, sharding
+from quadrat.llm import crf, decontam, jaccard, lines, lm, mixing, passages, rules, sharding, styletree
 from quadrat.llm.common import table
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -24,6 +24,25 @@ def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "documents").select(*columns)
 
 
+def op1_site_style_tree(spark: SparkSession, folder: str) -> DataFrame:
+    importable(spark)
+    out = styletree.extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
+def op2_line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
+    out = crf.scored(_documents(spark, folder, "doc_id", "text"), table(spark, folder, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scored(_documents(spark, folder, "doc_id", "text"))
+
+
+def op4_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.found(_documents(spark, folder, "doc_id", "text"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.grouped(_documents(spark, folder, "doc_id", "text"))
 
@@ -89,7 +108,7 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone
 QUERIES = {
     f.__name__: f
     for f in (
-        op5_ngram_jaccard_join, op6_best_fit_sharding, op7_source_mixing, op8_spaced_seed_decontamination,
+        op1_site_style_tree, op2_line_crf_quality, op3_deleted_interpolation, op4_compact_windows, op5_ngram_jaccard_join, op6_best_fit_sharding, op7_source_mixing, op8_spaced_seed_decontamination,
         op9_line_dedup, op10_quality_rules,
     )
 }
