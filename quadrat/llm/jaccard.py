@@ -46,6 +46,8 @@ CHUNK_TEXTS, CHUNK_OFTEN, OFTEN = 2048, 4, 32
 MOST_FREQUENT = 1_000_000
 #: Classes per tile.
 TILE = 2048
+#: Rows compared in one call, about.
+BATCH_ROWS = 20_000
 #: Bits of the filter that spares texts from being read into sets (sent to every task).
 FILTER_BITS = 1 << 22
 #: Texts turned into sets at a time.
@@ -110,15 +112,24 @@ def _batch(columns: dict, types: dict) -> pa.RecordBatch:
 
 
 def _classes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``id, n, cls`` per text, and with null ``n`` the often seen shingles of chunks as ``cls, times``."""
-    kinds = {"id": pa.int64(), "n": pa.int32(), "cls": pa.int64(), "times": pa.int32()}
+    """``id, n, cls, bits`` per text, and with null ``n`` the often seen shingles of chunks as ``cls, times``.
+
+    A class gets its bitmap once in a task.
+    """
+    kinds = {"id": pa.int64(), "n": pa.int32(), "cls": pa.int64(), "times": pa.int32(), "bits": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]):
         seen: dict[int, np.ndarray] = {}
+        done: set[int] = set()
         for batch in batches:
             sets = _sets(batch.column(1), rule)
             ids = [class_id(s) if len(s) else 0 for s in sets]
-            yield _batch({"id": batch.column(0), "n": [len(s) for s in sets], "cls": ids, "times": [None] * len(ids)}, kinds)
+            bits = []
+            for cls, s in zip(ids, sets, strict=True):
+                bits.append(None if cls in done or not len(s) else bitmap(s))
+                done.add(cls)
+            none = [None] * len(ids)
+            yield _batch({"id": batch.column(0), "n": [len(s) for s in sets], "cls": ids, "times": none, "bits": bits}, kinds)
             for cls, s in zip(ids, sets, strict=True):
                 if len(s):
                     seen[cls] = s
@@ -132,9 +143,9 @@ def _classes(docs: DataFrame, rule: Rule) -> DataFrame:
         key, times = np.unique(np.concatenate(list(seen.values())), return_counts=True)
         key, times = key[times >= CHUNK_OFTEN], times[times >= CHUNK_OFTEN]
         none = [None] * len(key)
-        return _batch({"id": none, "n": none, "cls": signed(key), "times": times}, kinds)
+        return _batch({"id": none, "n": none, "cls": signed(key), "times": times, "bits": none}, kinds)
 
-    return docs.mapInArrow(run, "id long, n int, cls long, times int")
+    return docs.mapInArrow(run, "id long, n int, cls long, times int, bits binary")
 
 
 def _prefixes(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
@@ -165,12 +176,12 @@ def _prefixes(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
-    """``cls, n, bits, items`` of the wanted classes (``cls``), one row each."""
+    """``cls, items`` of the wanted classes (``cls``), one row each."""
     spots = wanted.select(F.pmod("cls", F.lit(FILTER_BITS)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()
     mask = np.zeros(FILTER_BITS, bool)
     mask[spots] = True
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(mask))
-    kinds = {"cls": pa.int64(), "n": pa.int32(), "bits": pa.binary(), "items": pa.binary()}
+    kinds = {"cls": pa.int64(), "items": pa.binary()}
 
     def run(batches):
         open_, seen = np.unpackbits(sent.value), set()
@@ -181,25 +192,27 @@ def _sets_of(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
                     cls = class_id(s) if len(s) else None
                     if cls is not None and cls not in seen and open_[cls % FILTER_BITS]:
                         seen.add(cls)
-                        rows.append((cls, len(s), bitmap(s), s.tobytes()))
+                        rows.append((cls, s.tobytes()))
                 if rows:
                     yield _batch(dict(zip(kinds, zip(*rows, strict=True), strict=True)), kinds)
 
-    found = docs.mapInArrow(run, "cls long, n int, bits binary, items binary")
+    found = docs.mapInArrow(run, "cls long, items binary")
     # classes that several tasks have made are dropped to one; the filter lets some others through
     return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs ``a, b`` that link: sizes, then bitmaps, then exact overlaps."""
+def _sides(table: DataFrame, name: str) -> DataFrame:
+    return table.withColumnsRenamed({c: name if c == "cls" else f"{c}_{name}" for c in table.columns})
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    fits = 100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")
+def _close(pairs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs ``a, b`` that may link by their sizes, then by their bitmaps."""
+    sizes = marks.select("cls", "n")
+    near = pairs.join(_sides(sizes, "a"), "a").join(_sides(sizes, "b"), "b")
+    near = near.where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")).select("a", "b")
+    near = near.join(_sides(marks, "a"), "a").join(_sides(marks, "b"), "b")
 
-    def by_bits(batches):
+    def run(batches):
         for pdf in batches:
             ok = [
                 bool(rule.links(most_overlap(na, nb, x, y), na, nb))
@@ -207,9 +220,16 @@ def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             ]
             yield pdf.loc[ok, ["a", "b"]]
 
-    near = near.where(fits).mapInPandas(by_bits, "a long, b long")
+    return near.mapInPandas(run, "a long, b long")
+
 
-    def by_items(batches):
+def _linked(docs: DataFrame, close: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs ``a, b`` whose exact overlap makes a link; only their texts are read into sets."""
+    close = stored(close, "jaccard-close")
+    wanted = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = stored(_sets_of(docs, rule, wanted), "jaccard-sets")
+
+    def run(batches):
         for pdf in batches:
             ok = []
             for x, y in zip(pdf["items_a"], pdf["items_b"], strict=True):
@@ -217,57 +237,73 @@ def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 ok.append(bool(rule.links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield pdf.loc[ok, ["a", "b"]]
 
-    full = near.join(side("a", "items"), "a").join(side("b", "items"), "b")
-    return full.mapInPandas(by_items, "a long, b long")
+    full = close.join(_sides(sets, "a"), "a").join(_sides(sets, "b"), "b")
+    return stored(full.mapInPandas(run, "a long, b long"), "jaccard-links")
+
 
+def _across(meets: DataFrame, found: DataFrame, marks: DataFrame, rule: Rule, tile: int) -> DataFrame:
+    """Pairs of classes that share a shingle, lie in different components, and may link by size and bitmap.
 
-def _across(meets: DataFrame, found: DataFrame, sets: DataFrame, rule: Rule, tile: int) -> DataFrame:
-    """Pairs of classes that share a shingle, lie in different components, and may link by size and bitmap."""
+    Of up to three classes under a shingle all pairs have been checked before.
+    """
     parts = found.select(F.col("node").alias("cls"), "component")
-    rows = meets.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     by_key = W.partitionBy("key")
+    rows = meets.withColumn("g", F.count("*").over(by_key)).where("g > 3")
+    rows = rows.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     rows = rows.select(
-        "key", "cls", "component", F.min("component").over(by_key).alias("lo"), F.max("component").over(by_key).alias("hi"),
-        F.count("*").over(by_key).alias("g"),
-    ).where("lo < hi")
-    rows = rows.join(sets.select("cls", "n", "bits"), "cls")
+        "key", "cls", "component", "g", F.min("component").over(by_key).alias("lo"), F.max("component").over(by_key).alias("hi")
+    ).where("lo < hi")
+    rows = stored(rows.join(marks.select("cls", "n", "bits"), "cls"), "jaccard-across")
     cuts = F.ceil(F.col("g") / F.lit(tile)).cast("int")
     rows = rows.withColumn("cuts", cuts).withColumn("cut", F.pmod("cls", F.col("cuts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    rows = rows.withColumn("other", other).select(
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    rows = rows.select(
         "key", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut", "cls", "component", "n", "bits"
     )
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable").reset_index(drop=True)
-        n, part, cls = pdf["n"].to_numpy(np.int64), pdf["component"].to_numpy(), pdf["cls"].to_numpy()
-        cut, bits = pdf["cut"].to_numpy(), pdf["bits"].tolist()
-        crossing = bool((pdf["i"] != pdf["j"]).any())
+    # small tiles share a call; a call has about BATCH_ROWS rows, or one tile
+    batches = -(-rows.count() // BATCH_ROWS) or 1
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "i", "j"), F.lit(batches)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "i", "j", "n"], kind="stable")
+        key, i, j = (pdf[c].to_numpy() for c in ("key", "i", "j"))
+        n, part, cls, cut = (pdf[c].to_numpy(np.int64) for c in ("n", "component", "cls", "cut"))
+        bits = pdf["bits"].tolist()
+        ends = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         left, right = [], []
-        # a band: sizes from one value to the greatest that may still link with it
-        ends = np.searchsorted(n, 100 * n // rule.percent, side="right")
-        at = 0
-        while at < len(n):
-            top = ends[at]  # all rows of the block start below ``top``; partners reach the end of the last one's band
-            stop = ends[top - 1]
+        for a, b in zip([0, *ends], [*ends, len(key)], strict=True):
+            s = slice(a, b)
+            for x, y in _tile_pairs(n[s], part[s], cut[s] if i[a] != j[a] else None, bits[s], rule):
+                left.append(np.full(len(y), cls[a + x]))
+                right.append(cls[a + y])
+        a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (left, right))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("batch").applyInPandas(run, "a long, b long").distinct()
+
+
+def _tile_pairs(n, part, cut, bits, rule: Rule):
+    """For each row of a tile, in order of size, the later rows of other components that may link with it.
+
+    With ``cut``, only rows of different cuts are compared.
+    """
+    ends = np.searchsorted(n, 100 * n // rule.percent, side="right")
+    at = 0
+    while at < len(n):
+        top = ends[at]  # a band: rows from the first to the largest that may link with it
+        stop = ends[top - 1]  # partners of the band's last row
+        if top - at > 1 or stop > top:
             width = min(8 * len(b) for b in bits[at:stop])
             block = np.stack([folded(b, width) for b in bits[at:stop]])
             for x in range(at, top):
                 y = np.arange(x + 1, ends[x])
-                y = y[(part[y] != part[x]) & ((cut[y] != cut[x]) if crossing else True)]
-                if not len(y):
-                    continue
-                differ = np.bitwise_count(block[y - at] ^ block[x - at]).sum(axis=1, dtype=np.int64)
-                y = y[rule.links((n[x] + n[y] - differ) // 2, n[x], n[y])]
-                left.append(np.full(len(y), cls[x]))
-                right.append(cls[y])
-            at = top
-        if not left:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+                y = y[(part[y] != part[x]) & (cut[y] != cut[x] if cut is not None else True)]
+                if len(y):
+                    differ = np.bitwise_count(block[y - at] ^ block[x - at]).sum(axis=1, dtype=np.int64)
+                    y = y[rule.links((n[x] + n[y] - differ) // 2, n[x], n[y])]
+                    if len(y):
+                        yield x, y
+        at = top
 
 
 def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule(), tile: int = TILE,
@@ -292,17 +328,19 @@ def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rul
         .where("lo < hi").distinct(),
         "jaccard-meets",
     )
-    sets = stored(_sets_of(docs, rule, meets.select("cls").distinct()), "jaccard-sets")
+    wanted = meets.select("cls").distinct()
+    marks = first.where("bits is not null").select("cls", "n", "bits").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    marks = stored(marks, "jaccard-marks")
     ends = F.explode(
         F.array(
             F.struct(F.col("lo").alias("a"), F.col("cls").alias("b")), F.struct(F.col("cls").alias("a"), F.col("hi").alias("b"))
         )
     )
     to_ends = meets.select(ends.alias("p")).select("p.a", "p.b").where("a < b").distinct()
-    links = stored(_checked(to_ends, sets, rule), "jaccard-links")
+    links = _linked(docs, _close(to_ends, marks, rule), rule)
     found = components(links)
-    more = _across(meets.select("key", "cls"), found, sets, rule, tile)
-    more = stored(_checked(more.join(to_ends, ["a", "b"], "left_anti"), sets, rule), "jaccard-links")
+    more = _across(meets.select("key", "cls"), found, marks, rule, tile).join(to_ends, ["a", "b"], "left_anti")
+    more = _linked(docs, more, rule)
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     parts = found.select(F.col("node").alias("cls"), "component")
