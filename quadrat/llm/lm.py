@@ -38,7 +38,7 @@ from quadrat.llm.words import GOLDEN, mix, signed, word_hashes
 #: Words that tasks may hold (20 bytes each).
 VOCABULARY = 8_000_000
 #: Buckets of pairs: at least so many, and more if a bucket would have more pairs than that.
-BUCKETS, BUCKET_PAIRS = 48, 4_000_000
+BUCKETS, BUCKET_PAIRS = 64, 2_500_000
 #: Context-frequency buckets, and steps of the ratio histogram per power of two.
 POWERS, STEPS = 40, 16
 #: Tokens packed together.
@@ -87,20 +87,24 @@ def _counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            words, kinds = [], []
+            words, kinds, n = [], [], 0
             for k in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(k, _SLICE)
                 items, bounds = tokens(part.column(1))
                 words.append(items)
-                kinds.append(np.repeat(part.column(2).to_numpy(), np.diff(bounds)))
-            if not words:
-                continue
-            words, kinds = np.concatenate(words), np.concatenate(kinds)
-            words, kinds = words[kinds > 0], kinds[kinds > 0]
-            known, back = np.unique(words, return_inverse=True)
-            rest = np.bincount(back, weights=kinds == 1, minlength=len(known)).astype(np.int64)
-            fold = np.bincount(back, weights=kinds == 2, minlength=len(known)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(known)), pa.array(rest), pa.array(fold)], ["word", "rest", "fold"])
+                kinds.append(np.repeat(part.column(2).to_numpy().astype(np.int8), np.diff(bounds)))
+                n += len(items)
+                if n >= 3 * PACK:
+                    yield counted(np.concatenate(words), np.concatenate(kinds))
+                    words, kinds, n = [], [], 0
+            if n:
+                yield counted(np.concatenate(words), np.concatenate(kinds))
+
+    def counted(words, kinds):
+        columns = [np.unique(words[kinds == k], return_counts=True) for k in (1, 2)]
+        known = np.concatenate([c[0] for c in columns])
+        rest, fold = (np.concatenate([c[1] if i == j else np.zeros(len(c[0]), np.int64) for i, c in enumerate(columns)]) for j in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(signed(known)), pa.array(rest), pa.array(fold)], ["word", "rest", "fold"])
 
     each = docs.mapInArrow(run, "word long, rest long, fold long")
     return each.groupBy("word").agg(F.sum("rest").alias("rest"), F.sum("fold").alias("fold"))
@@ -141,7 +145,7 @@ def _packed(docs: DataFrame, buckets: int, look) -> DataFrame:
                 each = np.bincount(text[at], minlength=len(idents))
                 has = each > 0
                 rows.append((
-                    b, idents[has].tobytes(), kinds[has].astype(np.uint8).tobytes(), each[has].astype(np.uint32).tobytes(),
+                    b, idents[has].tobytes(), kinds[has].astype(np.uint8).tobytes(), _planes(each[has].astype(np.uint32)),
                     _planes(first[at]) + _planes(second[at]), _planes(counts[at]) if counts is not None else b"",
                 ))
         types = [pa.int32()] + [pa.binary()] * 5
@@ -227,7 +231,7 @@ def _power(counts: np.ndarray) -> np.ndarray:
 def _ratios(rows: pd.DataFrame, sizes: Sizes, counts) -> pd.DataFrame:
     """One bucket: count its pairs; per text the ratio and power of each, and the histogram for the weights."""
     texts = [np.frombuffer(b, np.int64) for b in rows["texts"]]
-    each = [np.frombuffer(b, np.uint32) for b in rows["sizes"]]
+    each = [_unplaned(b, np.uint32) for b in rows["sizes"]]
     kind = np.concatenate([np.repeat(np.frombuffer(k, np.uint8), e) for k, e in zip(rows["kinds"], each, strict=True)])
     width = np.uint32 if counts is not None else np.uint64
     halves = [(b[: len(b) // 2], b[len(b) // 2 :]) for b in rows["pairs"]]
@@ -242,9 +246,16 @@ def _ratios(rows: pd.DataFrame, sizes: Sizes, counts) -> pd.DataFrame:
         cv, cv_rest, cw, cw_rest = (four[:, k].astype(np.int64) for k in range(4))
         with np.errstate(over="ignore"):
             key = mix(first * GOLDEN + second)
-    _, back = np.unique(key, return_inverse=True)
+    # pairs in order; each gets its counts in all training texts and in those not held out
+    order = np.argsort(key)
+    key = key[order]
+    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
     del key, first, second
-    pair = np.bincount(back, weights=kind > 0)[back]
+    sorted_kind = kind[order]
+    pair, pair_rest = np.empty(len(order), np.int32), np.empty(len(order), np.int32)
+    pair[order] = np.bincount(group[sorted_kind > 0], minlength=group[-1] + 1)[group]
+    pair_rest[order] = np.bincount(group[sorted_kind == 1], minlength=group[-1] + 1)[group]
+    del order, group, sorted_kind
     ratio = (pair / cv * ((sizes.n + sizes.v + 1) / (cw + 1))).astype(np.float32)
     power = _power(cv).astype(np.uint8)
     cuts = np.concatenate([[0], np.cumsum([e.sum() for e in each], dtype=np.int64)])
@@ -254,8 +265,7 @@ def _ratios(rows: pd.DataFrame, sizes: Sizes, counts) -> pd.DataFrame:
     ]
     fold = (kind == 2) & (cv_rest > 0)
     if fold.any():
-        pair = np.bincount(back, weights=kind == 1)[back][fold]
-        r = pair / cv_rest[fold] * ((sizes.n_rest + sizes.v + 1) / (cw_rest[fold] + 1))
+        r = pair_rest[fold] / cv_rest[fold] * ((sizes.n_rest + sizes.v + 1) / (cw_rest[fold] + 1))
         step = np.where(r > 0, np.round(STEPS * np.log2(np.where(r > 0, r, 1))), -(10**6)).astype(np.int64)
         cell, n = np.unique(np.stack([_power(cv_rest[fold]), step]), axis=1, return_counts=True)
         out += [(None, None, None, None, int(b), int(s), int(k)) for b, s, k in zip(cell[0], cell[1], n, strict=True)]
@@ -358,7 +368,7 @@ def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: i
         for pdf in batches:
             ids, sums = [], []
             for t, s, r, p in zip(pdf["texts"], pdf["sizes"], pdf["ratios"], pdf["powers"], strict=True):
-                each = np.frombuffer(s, np.uint32).astype(np.int64)
+                each = _unplaned(s, np.uint32).astype(np.int64)
                 value = np.log10(1 + gain[np.frombuffer(p, np.uint8)] * _unplaned(r, np.float32))
                 ids.append(np.frombuffer(t, np.int64))
                 sums.append(np.add.reduceat(value, np.concatenate([[0], np.cumsum(each)[:-1]])))
