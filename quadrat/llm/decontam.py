@@ -29,6 +29,8 @@ from quadrat.llm.common import SPACE, free_names
 
 #: Seeds sent to every task at a time; each carries up to ``2 * window`` words of 8 bytes.
 SEEDS = 200_000
+#: Words of a text that a row carries.
+PIECE = 256
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,22 +59,44 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(plain, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: str, tier: Tier) -> Column:
-    """The mask's hash at every position where it fits."""
-    h, n = F.col(hashes), F.size(hashes)
-    at = F.when(n >= len(tier.mask), F.sequence(F.lit(0), n - len(tier.mask))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in tier.ones]))
+def _seed(hashes: str, at: str, tier: Tier) -> Column:
+    """The mask's hash at a position."""
+    return F.xxhash64(F.lit(tier.window), *[F.get(hashes, F.col(at) + k) for k in tier.ones])
 
 
-def _item_seeds(benchmark: DataFrame, item_id: str, text: str, tier: Tier, below: int | None) -> DataFrame:
-    """``seed, item, at, iw, il`` (position in the item, its words, their number) for items of a tier."""
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item"), word_hashes(F.col(f"`{text}`")).alias("iw"))
-    n = F.size("iw")
-    items = items.where((n >= tier.window) & (n < below if below else F.lit(True)))
-    lead = tier.shifts - 1
-    seeds = items.select("item", "iw", n.alias("il"), F.posexplode(_seeds("iw", tier)).alias("at", "seed"))
-    around = F.transform(F.sequence(F.lit(-lead), F.lit(tier.window - 1)), lambda k: F.get("iw", F.col("at") + k))
-    return seeds.select("seed", "item", "at", "il", around.alias("iw"))
+def _item_seeds(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """``seed, item, window, at, il, iw`` (position in the item, number of its words, words around) for all items."""
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item"), word_hashes(F.col(f"`{text}`")).alias("h"))
+    items = items.withColumn("il", F.size("h"))
+    out, below = None, None
+    for tier in TIERS:
+        some = items.where((F.col("il") >= tier.window) & (F.col("il") < below if below else F.lit(True)))
+        below = tier.window
+        seeds = some.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("il") - len(tier.mask))))
+        around = F.array(*[F.get("h", F.col("at") + k) for k in range(1 - tier.shifts, tier.window)])
+        seeds = seeds.select(_seed("h", "at", tier).alias("seed"), "item", F.lit(tier.window).alias("window"), "at", "il", around.alias("iw"))
+        out = seeds if out is None else out.unionByName(seeds)
+    return out
+
+
+def _positions(texts: DataFrame, names: list[str]) -> DataFrame:
+    """``_pos`` of every word in its piece ``_h`` of the text, which begins at word ``_base``, and ``seed`` per tier.
+
+    Pieces overlap by what a window needs, so each row carries a bounded number of words however long the text is.
+    """
+    lead, tail = max(t.shifts for t in TIERS) - 1, max(t.window for t in TIERS)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_h") - 1, F.lit(0)), F.lit(PIECE))
+
+    def piece(s: Column) -> Column:
+        base = F.greatest(s - lead, F.lit(0))
+        return F.struct(base.alias("base"), (s - base).alias("own"), F.slice("_h", base + 1, s - base + PIECE + tail).alias("h"))
+
+    # the outer form spares Spark from computing the pieces twice, once to see whether there are any
+    pieces = texts.select(*names, F.explode_outer(F.transform(starts, piece)).alias("_p"))
+    pieces = pieces.select(*names, F.col("_p.base").alias("_base"), F.col("_p.own").alias("_own"), F.col("_p.h").alias("_h"))
+    rows = pieces.select(*names, "_base", "_own", "_h", F.posexplode("_h").alias("_pos", "_w"))
+    rows = rows.where((F.col("_pos") >= F.col("_own")) & (F.col("_pos") < F.col("_own") + PIECE))
+    return rows.select(*names, "_base", "_h", "_pos", F.explode(F.array(*[_seed("_h", "_pos", t) for t in TIERS])).alias("seed"))
 
 
 def hits(df: DataFrame, benchmark: DataFrame, key: list[str], text: str = "text", item_id: str = "item_id",
@@ -81,45 +105,38 @@ def hits(df: DataFrame, benchmark: DataFrame, key: list[str], text: str = "text"
 
     One row per window that qualifies and seed that found it.
     """
-    out = None
-    below = None
     names = [f"_k{i}" for i in range(len(key))]
     texts = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(key, names, strict=True)], word_hashes(F.col(f"`{text}`")).alias("_h"))
-    for tier in TIERS:
-        seeds = _item_seeds(benchmark, item_id, item_text, tier, below)
-        below = tier.window
-        n = seeds.count()
-        portions = -(-n // seeds_at_once)
-        for p in range(portions):
-            part = seeds if portions == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(portions)) == p)
-            found = _matches(texts, part, names, tier)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        kind = benchmark.schema[item_id].dataType
-        empty = {"item": F.lit(None).cast(kind), "first": F.lit(0), "window": F.lit(0), "equal": F.lit(0)}
-        out = texts.where(F.lit(False)).select(*names, *[c.alias(n) for n, c in empty.items()])
+    seeds = _item_seeds(benchmark, item_id, item_text)
+    portions = -(-seeds.count() // seeds_at_once) or 1
+    out = None
+    for p in range(portions):
+        part = seeds if portions == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(portions)) == p)
+        found = _matches(_positions(texts, names), part, names)
+        out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed(dict(zip(names, key, strict=True)))
 
 
-def _matches(texts: DataFrame, seeds: DataFrame, names: list[str], tier: Tier) -> DataFrame:
-    positions = texts.select(*names, "_h", F.posexplode(_seeds("_h", tier)).alias("_pos", "seed"))
+def _matches(positions: DataFrame, seeds: DataFrame, names: list[str]) -> DataFrame:
     met = positions.join(F.broadcast(seeds), "seed")
-    lead = tier.shifts - 1
-    equal = [
-        F.coalesce((F.get("_h", F.col("_pos") + k) == F.get("iw", F.lit(k + lead))).cast("int"), F.lit(0))
-        for k in range(-lead, tier.window)
-    ]
-    windows = []
-    for s in range(tier.shifts):
-        start = F.col("_pos") - s
-        inside = (F.col("at") - s >= 0) & (F.col("at") - s + tier.window <= F.col("il"))
-        inside = inside & (start >= 0) & (start + tier.window <= F.size("_h"))
-        total = sum(equal[lead - s : lead - s + tier.window], F.lit(0))
-        windows.append(F.struct(F.when(inside, total).otherwise(-1).alias("equal"), start.alias("first")))
-    met = met.select(*names, "item", F.explode(F.array(*windows)).alias("w"))
-    return met.where(F.col("w.equal") >= tier.window - tier.substitutions).select(
-        *names, "item", F.col("w.first").alias("first"), F.lit(tier.window).alias("window"), F.col("w.equal").alias("equal")
-    )
+    windows = None
+    for tier in TIERS:
+        lead, some = tier.shifts - 1, []
+        equal = [
+            F.coalesce((F.get("_h", F.col("_pos") + k) == F.get("iw", F.lit(k + lead))).cast("int"), F.lit(0))
+            for k in range(-lead, tier.window)
+        ]
+        for s in range(tier.shifts):
+            start = F.col("_pos") - s
+            inside = (F.col("at") - s >= 0) & (F.col("at") - s + tier.window <= F.col("il"))
+            inside = inside & (start >= 0) & (start + tier.window <= F.size("_h"))
+            total = sum(equal[lead - s : lead - s + tier.window], F.lit(0))
+            enough = total >= tier.window - tier.substitutions
+            some.append(F.struct(F.when(inside & enough, total).alias("equal"), (F.col("_base") + start).alias("first")))
+        hit = F.col("window") == tier.window
+        windows = F.when(hit, F.array(*some)) if windows is None else windows.when(hit, F.array(*some))
+    met = met.select(*names, "item", "window", F.explode_outer(windows).alias("w")).where("w.equal is not null")
+    return met.select(*names, "item", F.col("w.first").alias("first"), "window", F.col("w.equal").alias("equal"))
 
 
 def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
