@@ -102,7 +102,7 @@ def _category_blocks(packed: DataFrame, k: int, terms: Sequence[str], n_draws: i
 
     Brings the coefficients, at most ``MAX_ARRAY_VALUES`` numbers, to the driver to
     ship them with the function. A block is (index of its first draw, its draw
-    ids, classes as rows x draws).
+    ids, classes as rows x draws, 0 where a covariate is missing).
     """
     import numpy as np
 
@@ -132,6 +132,7 @@ def _category_blocks(packed: DataFrame, k: int, terms: Sequence[str], n_draws: i
             category = np.ones(target.shape, dtype=np.int32)
             for reach in sums[:-1]:
                 category += target >= reach
+            category[np.isnan(target)] = 0
             yield start, some, category
 
     return draw_ids, blocks
@@ -158,7 +159,16 @@ def _predict_by_product(rows, row_id, packed, k, terms, n_draws, seed) -> DataFr
                 )
 
     cells = rows.select(*_design_columns(row_id, terms)).mapInPandas(run, "d long, i long, c int")
-    return cells.toDF("draw_id", row_id, "category")
+    known = F.when(F.col("c") > 0, F.col("c"))
+    return cells.select(F.col("d").alias("draw_id"), F.col("i").alias(row_id), known.alias("category"))
+
+
+def _complete(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """The rows that have a prediction: no covariate is null or NaN."""
+    for t in terms:
+        if t != "intercept":
+            rows = rows.where(F.col(f"`{t}`").isNotNull() & ~F.isnan(F.col(f"`{t}`").cast("double")))
+    return rows
 
 
 def fold_predictions(
@@ -176,9 +186,11 @@ def fold_predictions(
     Each task walks its rows in blocks and keeps three sets of counts: per draw,
     of the most frequent class of each row (the earliest draw wins a tie), and of
     the observed ``code``. Returns one row per draw (``kind`` "draw") and one each
-    of kind "mode" and "observed": ``kind``, ``draw_id``, ``c1``..``ck``.
+    of kind "mode" and "observed": ``kind``, ``draw_id``, ``c1``..``ck``. Rows with
+    a null (or NaN) covariate count nowhere.
     """
     terms = list(terms)
+    rows = _complete(rows, terms)
     packed = pack_draws(draws, range(2, k + 1), terms)
     draw_ids, blocks = _category_blocks(packed, k, terms, n_draws, seed)
     names = [f"c{c}" for c in range(1, k + 1)]
@@ -230,7 +242,8 @@ def predict_category(
     """Predicted class 1..k for every row and draw of a multinomial logit.
 
     Class 1 is the reference. A class is chosen by inverting the softmax
-    distribution at a uniform that depends on (draw, row) only.
+    distribution at a uniform that depends on (draw, row) only. A row with a null
+    (or NaN) covariate has a null class, whatever way the product is computed.
     """
     terms = list(terms)
     packed = pack_draws(draws, range(2, k + 1), terms)
@@ -262,7 +275,8 @@ def predict_category(
     target, choice = F.col("_u") * reach(k), F.lit(k)
     for c in reversed(range(1, k)):
         choice = F.when(target < reach(c), c).otherwise(choice)
-    return cells.select("draw_id", row_id, choice.cast("int").alias("category"))
+    known = target.isNotNull() & ~F.isnan(target)
+    return cells.select("draw_id", row_id, F.when(known, choice).cast("int").alias("category"))
 
 
 def predict_gaussian(
@@ -311,7 +325,7 @@ def envelope(per_draw: DataFrame, k: int) -> DataFrame:
 def row_mode(cells: DataFrame, row_id: str, k: int) -> DataFrame:
     """Most frequent class 1..k per row over the draws; the earliest draw wins a tie.
 
-    Counts and first draws of all classes are numbers in one hash aggregate per
+    A row without any class has a null mode. Counts and first draws of all classes are numbers in one hash aggregate per
     row. Rows already spread by id are aggregated where they are.
     """
     stats = cells.groupBy(row_id).agg(
@@ -322,7 +336,8 @@ def row_mode(cells: DataFrame, row_id: str, k: int) -> DataFrame:
         F.struct(F.col(f"_n{c}").alias("n"), (-F.col(f"_f{c}")).alias("f"), F.lit(c).alias("c"))
         for c in range(1, k + 1)
     ]
-    return stats.select(row_id, F.array_max(F.array(*entries))["c"].alias("prediction"))
+    best = F.array_max(F.array(*entries))
+    return stats.select(row_id, F.when(best["n"] > 0, best["c"]).alias("prediction"))
 
 
 def first_draw(draws: DataFrame) -> DataFrame:
@@ -425,6 +440,7 @@ def category_check(
 def _counts_from_cells(slim, row_id, code, draws, k, terms, n_draws, seed) -> DataFrame:
     """What ``fold_predictions`` returns, for draws too many to ship with a task."""
     names = [f"c{c}" for c in range(1, k + 1)]
+    slim = _complete(slim, terms)
     cells = predict_category(slim.drop(code), row_id, draws, k, terms, n_draws, seed)
     none = F.lit(None).cast("long")
 

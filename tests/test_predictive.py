@@ -58,6 +58,29 @@ def test_categories_match_a_direct_computation(spark, rows, monkeypatch, path):
     assert {(r["draw_id"], r["id"]): r["category"] for r in cells} == want
 
 
+@pytest.mark.parametrize("path", PATHS)
+def test_missing_covariates_give_null_classes(spark, rows, monkeypatch, path):
+    full = pp.predict_category(rows.drop("s"), "id", coefficients(spark, 5), 3, TERMS, 5).collect()
+    for name, value in PATHS[path].items():
+        monkeypatch.setattr(pp, name, value)
+    gaps = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("x"))
+    cells = pp.predict_category(rows.drop("s").withColumn("x", gaps), "id", coefficients(spark, 5), 3, TERMS, 5)
+    want = {(r["draw_id"], r["id"]): r["category"] if r["id"] % 3 == 2 else None for r in full}
+    assert {(r["draw_id"], r["id"]): r["category"] for r in cells.collect()} == want
+    modes = {r["id"]: r["prediction"] for r in pp.row_mode(cells, "id", 3).collect()}
+    assert all((modes[i] is None) == (i % 3 != 2) for i in range(300))
+
+
+@pytest.mark.parametrize("values", [{}, {"MAX_ARRAY_VALUES": 4}], ids=["fold", "cells"])
+def test_check_table_leaves_missing_covariates_out(spark, rows, values, monkeypatch):
+    for name, value in values.items():
+        monkeypatch.setattr(pp, name, value)
+    gaps = rows.withColumn("x", F.when(F.col("id") % 3 > 0, F.col("x")))
+    args = ("id", "s", {"a": "A", "b": "B", "never": "N"}, coefficients(spark, 5), TERMS, 5)
+    got, want = (sorted(map(tuple, pp.category_check(r, *args).collect()), key=str) for r in (gaps, rows.where("id % 3 > 0")))
+    assert got == want
+
+
 def test_stated_number_of_draws_is_enforced(spark, rows):
     with pytest.raises(Exception, match="more than the stated 3 draws"):
         pp.predict_category(rows.drop("s"), "id", coefficients(spark, 6), 3, TERMS, 3).collect()
