@@ -14,8 +14,9 @@ sizes alone forbid a link, go. The exact overlap of the rest comes from their so
 
 Skew. The classes under one shingle are not paired with each other. First each is checked against the
 least and the greatest of them only, which joins up a large group of copies in as many checks as it
-has members. Then, where a shingle still has classes of several components, these are cut by size into
-tiles of bounded size, and bitmaps are compared between components within a size band. So every
+has members. Then, where a shingle still has classes of several components, these are cut into
+tiles of bounded size, and bitmaps are compared between components within a size band. At first each class
+is compared with a few others so, and components are joined up, until the rest is compared in full. So every
 pair that shares a shingle is either in one component already or has been compared: no link is lost.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with
@@ -46,6 +47,8 @@ CHUNK_TEXTS, CHUNK_OFTEN, OFTEN = 2048, 4, 32
 MOST_FREQUENT = 1_000_000
 #: Classes per tile.
 TILE = 2048
+#: Others that a class is compared with per tile in a turn, and turns before all that remain are compared.
+PARTNERS, TURNS = 8, 4
 #: Rows compared in one call, about.
 BATCH_ROWS = 20_000
 #: Bits of the filter that spares texts from being read into sets (sent to every task).
@@ -78,8 +81,8 @@ def class_id(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Shingles hashed on bits, half as many again as shingles at least, in whole powers of two."""
-    width = 1 << max(6, math.ceil(math.log2(1.5 * len(shingles) + 1)))
+    """Shingles hashed on bits, six for each shingle at least, in whole powers of two."""
+    width = 1 << max(6, math.ceil(math.log2(6 * len(shingles) + 1)))
     bits = np.zeros(width, np.uint8)
     bits[(shingles >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -241,9 +244,10 @@ def _linked(docs: DataFrame, close: DataFrame, rule: Rule) -> DataFrame:
     return stored(full.mapInPandas(run, "a long, b long"), "jaccard-links")
 
 
-def _across(meets: DataFrame, found: DataFrame, marks: DataFrame, rule: Rule, tile: int) -> DataFrame:
-    """Pairs of classes that share a shingle, lie in different components, and may link by size and bitmap.
+def _across(meets: DataFrame, found: DataFrame, marks: DataFrame, rule: Rule, tile: int, turn: int | None) -> DataFrame:
+    """Pairs ``a, b`` of classes that share a shingle, lie in different components, and may link by size and bitmap.
 
+    With a ``turn``, every class names at most ``PARTNERS`` others per tile, and ``more`` tells that it had more.
     Of up to three classes under a shingle all pairs have been checked before.
     """
     parts = found.select(F.col("node").alias("cls"), "component")
@@ -253,16 +257,14 @@ def _across(meets: DataFrame, found: DataFrame, marks: DataFrame, rule: Rule, ti
     rows = rows.select(
         "key", "cls", "component", "g", F.min("component").over(by_key).alias("lo"), F.max("component").over(by_key).alias("hi")
     ).where("lo < hi")
-    rows = stored(rows.join(marks.select("cls", "n", "bits"), "cls"), "jaccard-across")
+    rows = stored(rows.drop("lo", "hi"), "jaccard-across")
     cuts = F.ceil(F.col("g") / F.lit(tile)).cast("int")
     rows = rows.withColumn("cuts", cuts).withColumn("cut", F.pmod("cls", F.col("cuts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    rows = rows.select(
-        "key", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut", "cls", "component", "n", "bits"
-    )
+    rows = rows.select("key", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut", "cls", "component")
     # small tiles share a call; a call has about BATCH_ROWS rows, or one tile
     batches = -(-rows.count() // BATCH_ROWS) or 1
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "i", "j"), F.lit(batches)))
+    rows = rows.join(marks.select("cls", "n", "bits"), "cls").withColumn("batch", F.pmod(F.xxhash64("key", "i", "j"), F.lit(batches)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "i", "j", "n"], kind="stable")
@@ -270,22 +272,30 @@ def _across(meets: DataFrame, found: DataFrame, marks: DataFrame, rule: Rule, ti
         n, part, cls, cut = (pdf[c].to_numpy(np.int64) for c in ("n", "component", "cls", "cut"))
         bits = pdf["bits"].tolist()
         ends = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        left, right = [], []
+        left, right, over = [], [], []
         for a, b in zip([0, *ends], [*ends, len(key)], strict=True):
             s = slice(a, b)
-            for x, y in _tile_pairs(n[s], part[s], cut[s] if i[a] != j[a] else None, bits[s], rule):
+            for x, y, differ in _tile_pairs(n[s], part[s], cut[s] if i[a] != j[a] else None, bits[s], rule):
+                more = turn is not None and len(y) > PARTNERS
+                if more:
+                    # on the first turn the nearest, later others, the same under every shingle
+                    order = differ if turn == 0 else mix((cls[a + x] ^ cls[a + y]).view(np.uint64) + np.uint64(turn))
+                    y = y[np.argpartition(order, PARTNERS)[:PARTNERS]]
                 left.append(np.full(len(y), cls[a + x]))
                 right.append(cls[a + y])
+                over.append(np.full(len(y), more))
         a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (left, right))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        more = np.concatenate(over) if over else np.empty(0, bool)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": more}).drop_duplicates(["a", "b"])
 
-    return rows.groupBy("batch").applyInPandas(run, "a long, b long").distinct()
+    pairs = rows.groupBy("batch").applyInPandas(run, "a long, b long, more boolean")
+    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _tile_pairs(n, part, cut, bits, rule: Rule):
     """For each row of a tile, in order of size, the later rows of other components that may link with it.
 
-    With ``cut``, only rows of different cuts are compared.
+    With ``cut``, only rows of different cuts are compared. The number of bits that differ comes along.
     """
     ends = np.searchsorted(n, 100 * n // rule.percent, side="right")
     at = 0
@@ -300,13 +310,35 @@ def _tile_pairs(n, part, cut, bits, rule: Rule):
                 y = y[(part[y] != part[x]) & (cut[y] != cut[x] if cut is not None else True)]
                 if len(y):
                     differ = np.bitwise_count(block[y - at] ^ block[x - at]).sum(axis=1, dtype=np.int64)
-                    y = y[rule.links((n[x] + n[y] - differ) // 2, n[x], n[y])]
-                    if len(y):
-                        yield x, y
+                    ok = rule.links((n[x] + n[y] - differ) // 2, n[x], n[y])
+                    if ok.any():
+                        yield x, y[ok], differ[ok]
         at = top
 
 
-def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule(), tile: int = TILE,
+def _all_linked(docs: DataFrame, meets: DataFrame, links: DataFrame, asked: DataFrame, marks: DataFrame, rule: Rule,
+                tile: int, turns: int) -> DataFrame:
+    """Components of all links among the classes that meet, of which the pairs ``asked`` have been compared.
+
+    In a turn every class is compared with a few of other components only, which joins up most of a large group
+    of near copies. A turn that left no pair out is the last. After ``turns`` of them, or one that joined nothing,
+    all pairs that still lie in different components are compared.
+    """
+    found, turn = components(links), 0 if turns else None
+    while True:
+        near = stored(_across(meets, found, marks, rule, tile, turn), "jaccard-turn")
+        pairs = near.select("a", "b").join(asked, ["a", "b"], "left_anti")
+        new = _linked(docs, pairs, rule)
+        joined = not new.isEmpty()
+        if joined:
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+        if turn is None or near.where("more").isEmpty():
+            return found
+        asked = asked.unionByName(pairs)
+        turn = turn + 1 if joined and turn + 1 < turns else None
+
+
+def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule(), tile: int = TILE, turns: int = TURNS,
             often: int = OFTEN, n_shingles: str = "n_shingles", component_id: str = "component_id") -> DataFrame:
     """``doc_id``, the number of shingles, and the least id of the documents reachable by links.
 
@@ -338,11 +370,7 @@ def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rul
     )
     to_ends = meets.select(ends.alias("p")).select("p.a", "p.b").where("a < b").distinct()
     links = _linked(docs, _close(to_ends, marks, rule), rule)
-    found = components(links)
-    more = _across(meets.select("key", "cls"), found, marks, rule, tile).join(to_ends, ["a", "b"], "left_anti")
-    more = _linked(docs, more, rule)
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    found = _all_linked(docs, meets.select("key", "cls"), links, to_ends, marks, rule, tile, turns)
     parts = found.select(F.col("node").alias("cls"), "component")
     classes = members.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
     classes = classes.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -85,6 +85,22 @@ def jaccard_groups(rows):
     return {i: (len(s), parts[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("turns", [0, 1, 4])
+def test_jaccard_families_of_near_copies(spark, turns):
+    rng, rows = random.Random(5), []
+    for family in range(2):
+        base = [f"f{family}w{i}" for i in range(70)]
+        for i in range(60):
+            own = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                own[rng.randrange(70)] = f"x{family}y{i}z{rng.random()}"
+            rows.append((1000 * family + i, " ".join(own)))
+    want = jaccard_groups(rows)
+    assert len({c for _, c in want.values()}) > 2
+    got = jaccard.grouped(spark.createDataFrame(rows, DOC), turns=turns)
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("tile,often", [(2048, 32), (3, 4)])
 def test_jaccard(spark, tile, often):
     rng = random.Random(4)
