@@ -2,12 +2,13 @@
 
 A value depends only on the seed, the stream name and the key columns, never on
 partitioning, task order or retries, so a lost executor recomputes the same
-draws. Every step uses its input once, so the expression stays small and runs
-inside whole-stage codegen on primitive longs.
+draws. Steps run inside whole-stage codegen on primitive longs.
 
 Two lanes work modulo two primes just below 2**31. A non-negative key below
-2**62 is told apart by its pair of residues, so trillions of row ids do not
-share a stream.
+2**62 is told apart by its pair of residues. After each key both lanes take up
+each other, so keys that agree in one residue only give unrelated numbers, and
+the streams of two draws are not shifted copies. The expression doubles with
+each key; keys are few.
 """
 
 from __future__ import annotations
@@ -48,17 +49,20 @@ def _step(state: Column, lane: int, i: int) -> Column:
     return (masked * F.lit(MULTIPLIERS[lane][i]).cast("long")) % F.lit(MODULI[lane]).cast("long")
 
 
-def _lane(keys, seed: int, stream: str, lane: int) -> Column:
-    state = F.lit(stream_seed(seed, stream, lane)).cast("long")
+def _lanes(keys, seed: int, stream: str) -> tuple[Column, Column]:
+    states = [F.lit(stream_seed(seed, stream, lane)).cast("long") for lane in (0, 1)]
     for key in keys:
-        state = state + F.pmod(_as_key(key), F.lit(MODULI[lane]).cast("long"))
-        state = _step(_step(state, lane, 0), lane, 1)
-    return _step(_step(state, lane, 2), lane, 3)
+        a, b = (
+            _step(_step(states[lane] + F.pmod(_as_key(key), F.lit(MODULI[lane]).cast("long")), lane, 0), lane, 1) for lane in (0, 1)
+        )
+        # each lane takes up the other, by a map that loses nothing
+        states = [(a + b) % F.lit(MODULI[0]).cast("long"), (a + a + b) % F.lit(MODULI[1]).cast("long")]
+    return tuple(_step(_step(state, lane, 2), lane, 3) for lane, state in enumerate(states))
 
 
 def uniform(*keys, seed: int = DEFAULT_SEED, stream: str = "u") -> Column:
     """Uniform on (0, 1), one value per distinct key tuple."""
-    high, low = (_lane(keys, seed, stream, lane) for lane in (0, 1))
+    high, low = _lanes(keys, seed, stream)
     return (high + (low + F.lit(0.5)) / F.lit(float(MODULI[1]))) / F.lit(float(MODULI[0]))
 
 
@@ -74,12 +78,11 @@ def array_uniform(seed: int = DEFAULT_SEED, stream: str = "u"):
         def step(state, lane, i):
             return (state ^ masks[lane][i]) * multipliers[lane][i] % moduli[lane]
 
-        ends = []
-        for lane in (0, 1):
-            state = np.int64(starts[lane])
-            for key in keys:
-                state = step(step(state + key % moduli[lane], lane, 0), lane, 1)
-            ends.append(step(step(state, lane, 2), lane, 3))
+        states = [np.int64(s) for s in starts]
+        for key in keys:
+            a, b = (step(step(states[lane] + key % moduli[lane], lane, 0), lane, 1) for lane in (0, 1))
+            states = [(a + b) % moduli[0], (a + a + b) % moduli[1]]
+        ends = [step(step(state, lane, 2), lane, 3) for lane, state in enumerate(states)]
         return (ends[0] + (ends[1] + 0.5) / float(moduli[1])) / float(moduli[0])
 
     return of
@@ -88,7 +91,7 @@ def array_uniform(seed: int = DEFAULT_SEED, stream: str = "u"):
 def std_normal(*keys, seed: int = DEFAULT_SEED, stream: str = "n") -> Column:
     """Standard normal by the Box-Muller transform, radius and angle from one lane each."""
     first, second = (
-        (_lane(keys, seed, stream, lane) + F.lit(0.5)) / F.lit(float(MODULI[lane])) for lane in (0, 1)
+        (lane + F.lit(0.5)) / F.lit(float(m)) for lane, m in zip(_lanes(keys, seed, stream), MODULI, strict=True)
     )
     return F.sqrt(F.lit(-2.0) * F.ln(first)) * F.cos(F.lit(2 * math.pi) * second)
 

@@ -5,26 +5,28 @@ from __future__ import annotations
 from quadrat.functions.random import DEFAULT_SEED, MASKS, MODULI, MULTIPLIERS, stream_seed
 
 
-def _lane(keys: tuple[str, ...], seed: int, stream: str, lane: int) -> str:
-    def step(state: str, i: int) -> str:
+def _lanes(keys: tuple[str, ...], seed: int, stream: str) -> tuple[str, str]:
+    def step(state: str, lane: int, i: int) -> str:
         return f"((xor({state}, {MASKS[lane][i]}::BIGINT) * {MULTIPLIERS[lane][i]}) % {MODULI[lane]})"
 
-    m = MODULI[lane]
-    state = f"{stream_seed(seed, stream, lane)}::BIGINT"
+    states = [f"{stream_seed(seed, stream, lane)}::BIGINT" for lane in (0, 1)]
     for key in keys:
-        state = f"({state} + ((({key})::BIGINT % {m}) + {m}) % {m})"
-        state = step(step(state, 0), 1)
-    return step(step(state, 2), 3)
+        own = []
+        for lane, m in enumerate(MODULI):
+            state = f"({states[lane]} + ((({key})::BIGINT % {m}) + {m}) % {m})"
+            own.append(step(step(state, lane, 0), lane, 1))
+        states = [f"(({own[0]} + {own[1]}) % {MODULI[0]})", f"((2 * {own[0]} + {own[1]}) % {MODULI[1]})"]
+    return tuple(step(step(state, lane, 2), lane, 3) for lane, state in enumerate(states))
 
 
 def uniform(*keys: str, seed: int = DEFAULT_SEED, stream: str = "u") -> str:
-    high, low = (_lane(keys, seed, stream, lane) for lane in (0, 1))
+    high, low = _lanes(keys, seed, stream)
     return f"(({high} + ({low} + 0.5::DOUBLE) / {MODULI[1]}::DOUBLE) / {MODULI[0]}::DOUBLE)"
 
 
 def std_normal(*keys: str, seed: int = DEFAULT_SEED, stream: str = "n") -> str:
     first, second = (
-        f"(({_lane(keys, seed, stream, lane)} + 0.5::DOUBLE) / {MODULI[lane]}::DOUBLE)" for lane in (0, 1)
+        f"(({lane} + 0.5::DOUBLE) / {m}::DOUBLE)" for lane, m in zip(_lanes(keys, seed, stream), MODULI, strict=True)
     )
     return f"(sqrt(-2.0::DOUBLE * ln({first})) * cos(2 * pi() * {second}))"
 

@@ -72,3 +72,20 @@ def test_arrays_give_the_same_numbers(spark):
     u = draws(spark, 2000, rnd.uniform("id", F.col("id") * 977 - 5000, seed=3, stream="s"))
     ids = np.arange(2000, dtype=np.int64)
     assert (rnd.array_uniform(3, "s")(np, ids, ids * 977 - 5000) == u).all()
+
+
+def test_no_period_and_no_shifted_streams():
+    of = rnd.array_uniform()
+    r = np.arange(200_000, dtype=np.int64)
+    base = of(np, np.int64(1), r)
+    for period in rnd.MODULI:
+        for times in (1, 2, 1000):
+            assert abs(np.corrcoef(base, of(np, np.int64(1), r + times * period))[0, 1]) < 0.01
+            assert abs(np.corrcoef(of(np, r), of(np, r + times * period))[0, 1]) < 0.01
+    # of every two of 3,000 draws: no value comes again anywhere in the other stream
+    u = np.sort(of(np, np.arange(3000, dtype=np.int64)[:, None], r[None, :400]).ravel())
+    assert (np.diff(u) > 1e-16).all()
+    assert (np.diff(u) < 2e-9).mean() < 0.01
+    few = of(np, np.arange(1, 40, dtype=np.int64)[:, None], r[None, :20_000])
+    between = np.corrcoef(few)[np.triu_indices(39, 1)]
+    assert np.abs(between).max() < 0.035
