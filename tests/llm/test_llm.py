@@ -296,6 +296,29 @@ def test_passages(spark):
     assert all(r.n_words >= 50 and r.n_words == r.last_word - r.first_word + 1 for r in got)
 
 
+def test_passages_with_phrases_repeated_in_the_other_text():
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    cat, p = lambda *x: np.concatenate(x), fresh(70)
+    changed = p.copy()
+    changed[36] += 1
+    earlier = [p[35:40], p[:35], p[20:58], cat(p[35:40], fresh(3), p[10:15])]
+    for body in (p, changed):
+        for part in earlier:
+            for space in (0, 2, 20, 300):
+                q = cat(fresh(9), part, fresh(space), body, fresh(9))
+                at = 9 + len(part) + space
+                got = passages.shared(cat(fresh(4), p, fresh(4)), q, 50, 80)
+                assert any(a <= 4 and b >= 74 and c <= at and d >= at + 70 for a, b, c, d, *_ in got), (len(part), space)
+    # texts that repeat one line: the same blocks, written out at once or diagonal by diagonal
+    line = fresh(7)
+    x, y = np.tile(line, 40), cat(fresh(5), np.tile(line, 30), fresh(5))
+    want = passages.shared(x, y, 50, 80)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(passages, "EXPANDED", 0)
+        assert passages.shared(x, y, 50, 80) == want != []
+
+
 def test_quality_rules(spark):
     rows = [(i, t) for i, t in enumerate(["", None, "a b c a b c", "x\nx\n\n \n x\ny x", "#a $b |c| d d d d", "one"] + invented(7, 60, 20, 90))]
     rows += [(1000 + i, "Junk### " * (60 + i)) for i in range(30)] + [(2000 + i, t) for i, t in enumerate(invented(8, 60, 5000, 200))]
