@@ -296,6 +296,21 @@ def test_passages(spark):
     assert all(r.n_words >= 50 and r.n_words == r.last_word - r.first_word + 1 for r in got)
 
 
+@pytest.mark.parametrize("tile, partners", [(1000, 2), (40, 1)])
+def test_passages_of_variants_of_a_template(spark, tile, partners):
+    rng = random.Random(1)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    phrases, rows = [fresh(9) for _ in range(12)], []
+    for i in range(100):
+        body = sum(rng.sample(phrases, 8), [])
+        other = list(body)
+        other[rng.randrange(25, 45)] = f"zz{i}"
+        rows += [(2 * i + k, " ".join(fresh(15) + b + fresh(15))) for k, b in enumerate((body, other))]
+    got = passages.found(spark.createDataFrame(rows, DOC), tile=tile, partners=partners).collect()
+    classes = {i: {r.class_id for r in got if r.doc_id == i} for i, _ in rows}
+    assert all(classes[2 * i] & classes[2 * i + 1] for i in range(100))
+
+
 def test_passages_with_phrases_repeated_in_the_other_text():
     rng = np.random.default_rng(3)
     fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
