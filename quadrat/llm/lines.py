@@ -9,8 +9,8 @@ These keys are split into shards by hash. Each shard gets a minimal perfect hash
 bit arrays; keys that collide on one level go to the next) and, in its order, an array of fingerprints
 (the full hash, so a line that is not a key is recognised) and one of the least documents. Lines probe
 the arrays; they are never joined. While all arrays together are small, every task holds them
-and texts are not shuffled; beyond ``ARRAY_BYTES`` the hashes of the lines go to the shards, dealt
-evenly so that a frequent line is no hot spot, and only the verdicts return.
+and texts are not shuffled; beyond ``ARRAY_BYTES`` the hashes of the lines go to the shards, in pieces
+of about ``PROBE_ROWS`` hashes counted beforehand, so that a frequent line is no hot spot, and only the verdicts return.
 
 Defined results: a null or empty text is one empty line. All lines of a key go except those in the
 least document, where all stay. Rows with one id are one document for counting; rows without id are
@@ -37,6 +37,8 @@ LEAST = 10
 SHARD_KEYS = 200_000
 #: All arrays up to this size go to every task.
 ARRAY_BYTES = 96 << 20
+#: Line hashes that one call of the shards gets, about.
+PROBE_ROWS = 1_000_000
 #: Stands for a missing id.
 NO_ID = -(2**63)
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -152,7 +154,7 @@ def _bounds(split) -> np.ndarray:
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", array_bytes: int = ARRAY_BYTES,
-                 shard_keys: int = SHARD_KEYS, keep_text: bool = True) -> DataFrame:
+                 shard_keys: int = SHARD_KEYS, keep_text: bool = True, probe_rows: int = PROBE_ROWS) -> DataFrame:
     """Append ``n_lines``, ``n_dropped``, ``kept_text`` (unless not wanted) and ``kept_sha256``."""
     kept = df.columns
     if clash := {c.lower() for c in kept} & {"n_lines", "n_dropped", "kept_text", "kept_sha256"}:
@@ -164,8 +166,9 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", arra
     # rows without id come before all others and so lose nothing
     number = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID))
     rows = df.select(*[F.col(f"`{c}`") for c in kept], number.alias(sid), F.col(f"`{text}`").alias(sdoc))
-    probe = _probed_at_home if n * 24 <= array_bytes else _probed_at_shards
-    return probe(rows, found, shards, sid, sdoc, keep_text)
+    if n * 24 <= array_bytes:
+        return _probed_at_home(rows, found, shards, sid, sdoc, keep_text)
+    return _probed_at_shards(rows, found, shards, sid, sdoc, keep_text, probe_rows)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -200,19 +203,32 @@ def _probed_at_home(rows, found, shards, sid, sdoc, keep_text):
     return appended(rows, make, _schema(keep_text), [sid, sdoc], [sid, sdoc])
 
 
-def _probed_at_shards(rows, found, shards, sid, sdoc, keep_text):
-    """Line hashes go to the arrays; documents get back the hashes that they must drop."""
-    pieces = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+def dealt(rows, found, shards, sid, sdoc, probe_rows):
+    """Line hashes (``key, id``) and arrays (``key, least``), both with ``shard`` and ``piece``.
+
+    A shard has a piece for each ``probe_rows`` of its line hashes, and its arrays come once per piece.
+    """
+    texts = rows.where(F.col(sid) != NO_ID).select(F.col(sid).alias("id"), F.col(sdoc).alias("text"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(shards, np.int64)
+        for pdf in _hashes(batches):
+            total += np.bincount(shard_of(pdf["key"].to_numpy().view(np.uint64), shards).astype(np.int64), minlength=shards)
+        yield pd.DataFrame({"shard": np.flatnonzero(total).astype(np.int32), "n": total[total > 0]})
+
+    counts = texts.mapInPandas(count, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    pieces = stored(counts.select("shard", F.ceil(F.col("n") / F.lit(probe_rows)).cast("int").alias("pieces")), "line-pieces")
     shard = F.shiftrightunsigned("key", 40).bitwiseAND(F.lit(shards - 1)).cast("int")
-    asked = (
-        rows.where(F.col(sid) != NO_ID)
-        .select(F.col(sid).alias("id"), F.col(sdoc).alias("text"))
-        .mapInPandas(_hashes, "key long, id long")
-        .select("key", "id", shard.alias("shard"), F.pmod(F.xxhash64("key", "id"), F.lit(pieces)).cast("int").alias("piece"))
-    )
-    arrays = found.select("key", "least", shard.alias("shard")).withColumn(
-        "piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
-    )
+    asked = texts.mapInPandas(_hashes, "key long, id long").withColumn("shard", shard).join(F.broadcast(pieces), "shard")
+    asked = asked.withColumn("piece", F.pmod(F.xxhash64("key", "id"), F.col("pieces")).cast("int")).select("key", "id", "shard", "piece")
+    arrays = found.select("key", "least", shard.alias("shard")).join(F.broadcast(pieces), "shard")
+    arrays = arrays.select("key", "least", "shard", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    return asked, arrays
+
+
+def _probed_at_shards(rows, found, shards, sid, sdoc, keep_text, probe_rows):
+    """Line hashes go to the arrays; documents get back the hashes that they must drop."""
+    asked, arrays = dealt(rows, found, shards, sid, sdoc, probe_rows)
 
     def probe(lines: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         if not len(lines) or not len(table):

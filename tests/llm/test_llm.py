@@ -144,6 +144,17 @@ def test_line_dedup(spark):
     assert lines.deduplicated(df.limit(0)).collect() == []
 
 
+def test_line_pieces_have_bounded_rows(spark):
+    rows = [(i, f"a line that every document has\nsome line of its own {i}\nline shared by a few {i % 300}") for i in range(3000)]
+    df = spark.createDataFrame(rows, DOC)
+    asked, arrays = lines.dealt(df, lines.repeated_keys(df), 4, "doc_id", "text", 100)
+    assert asked.count() == 9000
+    assert asked.groupBy("shard", "piece").count().agg({"count": "max"}).first()[0] < 200
+    assert arrays.groupBy("shard", "piece").count().agg({"count": "max"}).first()[0] <= 301
+    got = [lines.deduplicated(df, array_bytes=b, shard_keys=100, probe_rows=100).collect() for b in (1 << 20, 0)]
+    assert sorted(got[0]) == sorted(got[1])
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64))
     numbers = lines.PerfectHash.build(keys)(keys)
