@@ -7,7 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import crf, decontam, jaccard, lines, lm, mixing, passages, rules, sharding, styletree
+from quadrat.llm import (
+    alignment,
+    copies,
+    crf,
+    decontam,
+    jaccard,
+    lines,
+    lm,
+    mixing,
+    passages,
+    rules,
+    sharding,
+    spelling,
+    styletree,
+)
 from quadrat.llm.common import table
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -73,6 +87,20 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", *rules.BASE, "base_failed", "kept")
 
 
+def op11_content_sort(spark: SparkSession, folder: str) -> DataFrame:
+    out = copies.judged(_documents(spark, folder, "doc_id", "text"))
+    return out.select("doc_id", *copies.OUT)
+
+
+def op12_interval_coalescing(spark: SparkSession, folder: str) -> DataFrame:
+    out = alignment.aligned(_documents(spark, folder, "doc_id", "text"), keep_text=False, keep_groups=False)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_frequency_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_documents(spark, folder, "doc_id", "text"))
+
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -105,11 +133,18 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY row
 """
 
+OP11_SQL = """
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents),
+g AS (SELECT *, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+  row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept FROM d)
+SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM g
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_site_style_tree, op2_line_crf_quality, op3_deleted_interpolation, op4_compact_windows, op5_ngram_jaccard_join, op6_best_fit_sharding, op7_source_mixing, op8_spaced_seed_decontamination,
-        op9_line_dedup, op10_quality_rules,
+        op9_line_dedup, op10_quality_rules, op11_content_sort, op12_interval_coalescing, op13_frequency_trie,
     )
 }
-ORACLES = {"op7_source_mixing": OP7_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES = {"op7_source_mixing": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_content_sort": OP11_SQL}
