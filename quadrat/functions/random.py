@@ -5,10 +5,13 @@ partitioning, task order or retries, so a lost executor recomputes the same
 draws. Steps run inside whole-stage codegen on primitive longs.
 
 Two lanes work modulo two primes just below 2**31. A non-negative key below
-2**62 is told apart by its pair of residues. After each key both lanes take up
+2**62 is told apart by its pair of residues. After the last key both lanes take up
 each other, so keys that agree in one residue only give unrelated numbers, and
-the streams of two draws are not shifted copies. The expression doubles with
-each key; keys are few.
+the streams of two draws are not shifted copies. The expression grows by the same
+length with each key.
+
+A generator or a pushed-down filter evaluates an expression as often as it is
+written out, a projection once. ``once`` keeps a drawn column in its projection.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lane moduli, multipliers and masks of the generator.
@@ -50,14 +53,31 @@ def _step(state: Column, lane: int, i: int) -> Column:
 
 
 def _lanes(keys, seed: int, stream: str) -> tuple[Column, Column]:
-    states = [F.lit(stream_seed(seed, stream, lane)).cast("long") for lane in (0, 1)]
-    for key in keys:
-        a, b = (
-            _step(_step(states[lane] + F.pmod(_as_key(key), F.lit(MODULI[lane]).cast("long")), lane, 0), lane, 1) for lane in (0, 1)
-        )
-        # each lane takes up the other, by a map that loses nothing
-        states = [(a + b) % F.lit(MODULI[0]).cast("long"), (a + a + b) % F.lit(MODULI[1]).cast("long")]
-    return tuple(_step(_step(state, lane, 2), lane, 3) for lane, state in enumerate(states))
+    states = []
+    for lane, modulus in enumerate(MODULI):
+        state = F.lit(stream_seed(seed, stream, lane)).cast("long")
+        for key in keys:
+            state = _step(_step(state + F.pmod(_as_key(key), F.lit(modulus).cast("long")), lane, 0), lane, 1)
+        states.append(state)
+    a, b = states
+    # each lane takes up the other, by a map that loses nothing
+    mixed = (a + b) % F.lit(MODULI[0]).cast("long"), (a * F.lit(2).cast("long") + b) % F.lit(MODULI[1]).cast("long")
+    return tuple(_step(_step(state, lane, 2), lane, 3) for lane, state in enumerate(mixed))
+
+
+def text_key(text) -> Column:
+    """Integer key of a string, from its md5 digest; it has 60 bits."""
+    return F.conv(F.substring(F.md5(F.col(text) if isinstance(text, str) else text), 1, 15), 16, 10).cast("long")
+
+
+def as_key(df: DataFrame, name: str) -> Column:
+    """Key of a column by its type: strings by ``text_key``, integers as they are."""
+    return text_key(f"`{name}`") if df.schema[name].dataType.typeName() == "string" else F.col(f"`{name}`")
+
+
+def once(value: Column) -> Column:
+    """The same number, evaluated where it is projected: filters above do not repeat its expression."""
+    return value + F.monotonically_increasing_id() * F.lit(0.0)
 
 
 def uniform(*keys, seed: int = DEFAULT_SEED, stream: str = "u") -> Column:
@@ -80,9 +100,10 @@ def array_uniform(seed: int = DEFAULT_SEED, stream: str = "u"):
 
         states = [np.int64(s) for s in starts]
         for key in keys:
-            a, b = (step(step(states[lane] + key % moduli[lane], lane, 0), lane, 1) for lane in (0, 1))
-            states = [(a + b) % moduli[0], (a + a + b) % moduli[1]]
-        ends = [step(step(state, lane, 2), lane, 3) for lane, state in enumerate(states)]
+            states = [step(step(states[lane] + key % moduli[lane], lane, 0), lane, 1) for lane in (0, 1)]
+        a, b = states
+        mixed = (a + b) % moduli[0], (2 * a + b) % moduli[1]
+        ends = [step(step(state, lane, 2), lane, 3) for lane, state in enumerate(mixed)]
         return (ends[0] + (ends[1] + 0.5) / float(moduli[1])) / float(moduli[0])
 
     return of

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -9,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadrat.operators.groups import attach_group_values, few_groups
+from quadrat.operators import groups
+from quadrat.operators.groups import attach_group_values
+from quadrat.session import shared_path
+from quadrat.sources.tables import save
 
 
 def ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -86,9 +90,17 @@ def contingency_wide(df: DataFrame, a: str, b: str, b_levels: Sequence) -> DataF
 # ---------------------------------------------------------------- quantiles
 
 
-def _squash(x: Column) -> Column:
-    """Monotone map that keeps far outliers from emptying all but one bin."""
-    return F.signum(x) * F.log1p(F.abs(x))
+#: Rows that one bracket may bring to a window: bins of a count or distinct values, never a group.
+MOST_ROWS = 4096
+#: Bins into which a larger bracket is cut.
+BINS = 1024
+
+
+def _magnitude(x: Column) -> Column:
+    """Number of the two octaves around x, monotone over all doubles: at most 2,100 different ones."""
+    octaves = F.floor(F.log2(F.abs(x)) / 2) + 600
+    sign = F.signum(x).cast("long")
+    return F.when(x == 0, F.lit(0).cast("long")).when(F.abs(x) == math.inf, sign * 5000).otherwise(sign * octaves)
 
 
 def _bin_in(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -103,7 +115,7 @@ def _rows_in_brackets(
 
     Brackets of a group do not overlap and there are at most ``most`` of them.
     """
-    entries = F.sort_array(F.collect_list(F.struct("lo", "hi", "below")))
+    entries = F.sort_array(F.collect_list(F.struct("lo", "hi", "below", "c")))
     if by:
         packed = brackets.groupBy(*by, "n").agg(entries.alias("bs"))
         tagged = attach_group_values(base, packed, by, few, size="n")
@@ -121,76 +133,65 @@ def order_statistics(
     value: str,
     ranks: Sequence[Column],
     by: Sequence[str] = (),
-    bins: int = 1024,
-    rounds: int = 2,
+    bins: int = BINS,
+    most: int = MOST_ROWS,
 ) -> DataFrame:
-    """Exact values at 0-based ranks, without sorting or collecting a group.
-
-    ``ranks`` are expressions over the per-group count ``n``. Each round counts
-    the rows of the bracket around a rank in ``bins`` bins (a partial aggregate
-    of at most ``bins`` rows per task) and shrinks the bracket to the observed
-    minimum and maximum of the bin holding the rank. What remains is about
-    n / bins**rounds rows per rank; equal values are counted together before they
-    move, so a value held by a third of all rows is one row. Returns ``by``, ``n``,
-    ``rank``, ``x``. A group of a hundred values and one of a trillion take the
-    same path: one scan per round and two more.
+    """Exact values at 0-based ranks by radix selection, without sorting or collecting a group.
+
+    ``ranks`` are expressions over the per-group count ``n``. The first scan counts the rows of every
+    group by their magnitude (sign and pair of octaves, so tiny values and far outliers do not share a
+    bin with the rest) and keeps the brackets that hold a rank. A bracket of more than ``most`` rows is
+    cut into ``bins`` equal parts between its observed minimum and maximum by another scan; of a smaller one the
+    distinct values are counted. That is repeated until all brackets are single values. Counts are added
+    up in tasks before they move, so a value or a group with a third of all rows is a few rows per task,
+    and no window orders more than ``max(bins, most)`` rows, or the 2,100 magnitudes. Brackets are written to the shared
+    folder after each scan; the last scan is part of the result. A group of a hundred values takes two scans, one of
+    a trillion evenly spread ones four. Nulls and NaN are skipped. Returns ``by``, ``n``, ``rank``, ``x``.
     """
     by = list(by)
     x, skipped = F.col("x"), F.col("skipped")
     wanted = F.array_distinct(F.array(*[r.cast("long") for r in ranks]))
+
+    def inside(start: Column) -> Column:
+        return F.filter(wanted, lambda r: (r >= start) & (r < start + F.col("c")))
+
     base = df.select(*by, F.col(value).cast("double").alias("x"))
     # false for NaN, which sorts above infinity, and unknown for null
     base = base.where(x <= F.lit(math.inf))
-    brackets = base.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-        F.lit(0).cast("long").alias("below"),
+    sums = [F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+    group = W.partitionBy(*by)
+    placed = base.groupBy(*by, _magnitude(x).alias("part")).agg(*sums)
+    placed = placed.withColumn("n", F.sum("c").over(group))
+    placed = placed.withColumn("skipped", F.sum("c").over(group.orderBy("part")) - F.col("c"))
+    small = F.col("n") <= most
+    start = F.when(small, F.lit(0).cast("long")).otherwise(skipped)
+    brackets = placed.where(small | (F.size(inside(skipped)) > 0)).groupBy(*by, "n", start.alias("below")).agg(
+        F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
-    few = bool(by) and few_groups(base, by)
-    for i in range(rounds + 1):
-        tagged = _rows_in_brackets(base, brackets, by, len(ranks) if i else 1, few)
-        if i < rounds:
-            scale = _squash if i == 0 else (lambda c: c)
-            part = _bin_in(scale(x), scale(F.col("lo")), scale(F.col("hi")), bins)
-        else:
-            part = x
-        counted = tagged.groupBy(*by, "n", "below", part.alias("part")).agg(
-            F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")
-        )
+    found = []
+    while True:
+        brackets = save(brackets, shared_path(df.sparkSession, "brackets"))
+        found.append(brackets.where("lo = hi"))
+        open_ = brackets.where("lo < hi")
+        size = open_.agg(F.max("c").alias("c"), F.count("*").alias("k")).first()
+        if size.c is None:
+            break
+        tagged = _rows_in_brackets(base, open_, by, len(ranks), bool(by) and size.k <= groups.FEW_GROUPS)
+        cut = _bin_in(x, F.col("lo"), F.col("hi"), bins).cast("double")
+        counted = tagged.groupBy(*by, "n", "below", F.when(F.col("c") > most, cut).otherwise(x).alias("part")).agg(*sums)
         order = W.partitionBy(*by, "below").orderBy("part")
-        first = F.col("below") + F.sum("c").over(order) - F.col("c")
-        hit = F.filter(wanted, lambda r: (r >= skipped) & (r < skipped + F.col("c")))
-        brackets = counted.withColumn("skipped", first).select(
-            *by, "n", "lo", "hi", skipped.alias("below"), hit.alias("ranks")
-        ).where(F.size("ranks") > 0)
-    return brackets.select(*by, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("x"))
-
+        counted = counted.withColumn("skipped", F.col("below") + F.sum("c").over(order) - F.col("c"))
+        brackets = counted.where(F.size(inside(skipped)) > 0).select(*by, "n", skipped.alias("below"), "c", "lo", "hi")
+        if size.c <= most:
+            found.append(brackets)
+            break
+    values = [f.select(*by, "n", F.explode(inside(F.col("below"))).alias("rank"), F.col("lo").alias("x")) for f in found]
+    return functools.reduce(DataFrame.unionByName, values)
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    rows_per_group: int | None = None,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics.
 
-    Returns ``by``, ``prob``, ``value``. With ``rows_per_group`` the caller states
-    a bound that does not grow with the data (draws kept by a sampler), and the
-    built-in aggregate is used; a group above the bound fails the query.
-    """
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation between order statistics: ``by``, ``prob``, ``value``."""
     by = list(by)
-    if rows_per_group is not None:
-        got = df.groupBy(*by).agg(
-            F.count(value).alias("n"),
-            F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
-        )
-        q = F.when(F.col("n") <= rows_per_group, F.col("q")).otherwise(
-            F.raise_error(F.lit(f"a group has more than {rows_per_group} rows"))
-        )
-        probs_col = F.array(*[F.lit(float(p)) for p in probs])
-        return got.select(*by, F.explode(F.arrays_zip(probs_col.alias("prob"), q.alias("value"))).alias("e")).select(
-            *by, F.col("e.prob").alias("prob"), F.col("e.value").alias("value")
-        )
 
     def at(p: float) -> Column:
         return (F.col("n") - 1) * F.lit(float(p))
@@ -210,8 +211,9 @@ def quantiles(
 
 
 def summary6(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Minimum, quartiles, mean, maximum, number of values and of nulls."""
+    """Minimum, quartiles, mean, maximum, number of values and of nulls; NaN counts as null."""
     by = list(by)
+    df = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias(value))
     base = df.groupBy(*by).agg(
         F.min(value).cast("double").alias("min"),
         F.max(value).cast("double").alias("max"),
@@ -353,7 +355,7 @@ def _bandwidth(n: Column, sd: Column, iqr: Column, adjust: float) -> Column:
 
 def density_layout(
     df: DataFrame, value: str, by: Sequence[str] = (), points: int = 512,
-    adjust: float = 1.0, cut: float = 3.0, rows_per_group: int | None = None,
+    adjust: float = 1.0, cut: float = 3.0,
 ) -> DataFrame:
     """Bandwidth, evaluation grid and binning grid of a density, per group."""
     by = list(by)
@@ -365,7 +367,7 @@ def density_layout(
         F.max("x").alias("hi"),
     )
     quart = (
-        quantiles(base, "x", (0.25, 0.75), by, rows_per_group)
+        quantiles(base, "x", (0.25, 0.75), by)
         .groupBy(*by)
         .agg((F.max("value") - F.min("value")).alias("iqr"))
     )
@@ -407,17 +409,17 @@ def smooth(mass: DataFrame, by: Sequence[str], points: int = 512) -> DataFrame:
 
 def density(
     df: DataFrame, value: str, by: Sequence[str] = (), points: int = 512,
-    adjust: float = 1.0, cut: float = 3.0, rows_per_group: int | None = None,
+    adjust: float = 1.0, cut: float = 3.0,
 ) -> DataFrame:
-    """Gaussian kernel density on a regular grid: ``by``, ``j``, ``x``, ``density``."""
+    """Gaussian kernel density on a regular grid: ``by``, ``j``, ``x``, ``density``.
+
+    The layout, one row per group, is written to the shared folder before values are binned.
+    """
     by = list(by)
-    layout = density_layout(df, value, by, points, adjust, cut, rows_per_group)
+    layout = save(density_layout(df, value, by, points, adjust, cut), shared_path(df.sparkSession, "layout"))
     base = df.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     if by:
-        if rows_per_group is None:
-            placed = attach_group_values(base, layout, by, few_groups(base, by), size="n")
-        else:
-            placed = attach_group_values(base, layout, by, few=False)
+        placed = attach_group_values(base, layout, by, layout.count() <= groups.FEW_GROUPS, size="n")
         mass = bin_mass(placed, "v", [*by, *LAYOUT], F.col("start"), F.col("step"))
     else:
         spec = layout.select(F.struct(*LAYOUT)).scalar()

@@ -32,21 +32,17 @@ def select_variables(draws: DataFrame, pattern: str) -> DataFrame:
 
 
 def _wide_quantiles(draws: DataFrame, names: dict[str, float]) -> DataFrame:
-    q = quantiles(draws, "value", list(names.values()), ["variable"], MAX_DRAWS)
+    q = quantiles(draws, "value", list(names.values()), ["variable"])
     return q.groupBy("variable").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in names.items()]
     )
 
 
 def summarise(draws: DataFrame) -> DataFrame:
-    """Mean, sd and central 95 % interval per variable, in one aggregate."""
-    got = draws.groupBy("variable").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
-        F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"),
-    )
-    return got.select("variable", "mean", "sd", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    """Mean, sd and central 95 % interval per variable."""
+    moments = draws.groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    ends = _wide_quantiles(draws, {"lower": 0.025, "upper": 0.975})
+    return moments.join(ends, "variable", "left").select("variable", "mean", "sd", "lower", "upper")
 
 
 def intervals(draws: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -239,7 +235,7 @@ def trace(draws: DataFrame, every: int = 1) -> DataFrame:
 
 def marginal_density(draws: DataFrame, points: int = 512) -> DataFrame:
     """Density curve of each variable over all chains."""
-    return density(draws, "value", ["variable"], points, rows_per_group=MAX_DRAWS)
+    return density(draws, "value", ["variable"], points)
 
 
 def pick_draws(draws: DataFrame, n: int, seed: int = rnd.DEFAULT_SEED) -> DataFrame:

@@ -85,15 +85,15 @@ def prior_response(
     ``parameters`` has draw_id, intercept, sd_group, sigma and the columns that
     ``slopes`` maps from covariates. One row per data row and draw: ``row_id``,
     ``draw_id``, ``mu``, ``y_rep``. The effect of a group depends on draw and group
-    only, so no table of group effects is made; ``group`` must be an integer key.
+    only, so no table of group effects is made; ``group`` and ``row_id`` are integers or strings.
     """
     names = ["intercept", "sd_group", "sigma", *slopes.values()]
     packed = parameters.select("draw_id", F.array(*names).alias("w"))
     cells = cross_draws(rows.select(row_id, group, *slopes), packed, row_id, draws, len(names))
     w = F.col("w")
-    mu = w[0] + w[1] * rnd.std_normal("draw_id", group, seed=seed, stream="group")
+    mu = w[0] + w[1] * rnd.std_normal("draw_id", rnd.as_key(rows, group), seed=seed, stream="group")
     for i, covariate in enumerate(slopes):
         mu = mu + w[3 + i] * F.col(covariate)
-    noise = w[2] * rnd.std_normal("draw_id", row_id, seed=seed, stream="noise")
-    cells = cells.select(row_id, "draw_id", F.inline(F.array(F.struct(mu.alias("mu"), noise.alias("e")))))
+    noise = w[2] * rnd.std_normal("draw_id", rnd.as_key(rows, row_id), seed=seed, stream="noise")
+    cells = cells.select(row_id, "draw_id", rnd.once(mu).alias("mu"), rnd.once(noise).alias("e"))
     return cells.select(row_id, "draw_id", "mu", (F.col("mu") + F.col("e")).alias("y_rep"))

@@ -32,7 +32,7 @@ def parameter_draws(spark, folder):
         "chain",
         "iteration",
         F.concat(F.lit("r_supplier["), F.col("s_suppkey").cast("string"), F.lit("]")).alias("variable"),
-        (F.col("s_acctbal") / 1000 + 0.1 * F.col("chain") + now + 0.6 * last).alias("value"),
+        rnd.once(F.col("s_acctbal") / 1000 + 0.1 * F.col("chain") + now + 0.6 * last).alias("value"),
     )
 
 

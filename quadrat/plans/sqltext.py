@@ -9,14 +9,18 @@ def _lanes(keys: tuple[str, ...], seed: int, stream: str) -> tuple[str, str]:
     def step(state: str, lane: int, i: int) -> str:
         return f"((xor({state}, {MASKS[lane][i]}::BIGINT) * {MULTIPLIERS[lane][i]}) % {MODULI[lane]})"
 
-    states = [f"{stream_seed(seed, stream, lane)}::BIGINT" for lane in (0, 1)]
-    for key in keys:
-        own = []
-        for lane, m in enumerate(MODULI):
-            state = f"({states[lane]} + ((({key})::BIGINT % {m}) + {m}) % {m})"
-            own.append(step(step(state, lane, 0), lane, 1))
-        states = [f"(({own[0]} + {own[1]}) % {MODULI[0]})", f"((2 * {own[0]} + {own[1]}) % {MODULI[1]})"]
-    return tuple(step(step(state, lane, 2), lane, 3) for lane, state in enumerate(states))
+    states = []
+    for lane, m in enumerate(MODULI):
+        state = f"{stream_seed(seed, stream, lane)}::BIGINT"
+        for key in keys:
+            state = step(step(f"({state} + ((({key})::BIGINT % {m}) + {m}) % {m})", lane, 0), lane, 1)
+        states.append(state)
+    mixed = f"(({states[0]} + {states[1]}) % {MODULI[0]})", f"((2 * {states[0]} + {states[1]}) % {MODULI[1]})"
+    return tuple(step(step(state, lane, 2), lane, 3) for lane, state in enumerate(mixed))
+
+
+def text_key(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
 
 
 def uniform(*keys: str, seed: int = DEFAULT_SEED, stream: str = "u") -> str:

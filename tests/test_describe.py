@@ -108,8 +108,8 @@ def test_quantiles_property(spark, values):
 def test_few_bins_and_many_rounds_agree(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("double").alias("x"))
     ranks = [F.lit(0), F.lit(17), F.lit(2500), F.lit(4999)]
-    for bins, rounds in ((2, 1), (3, 4), (1024, 0)):
-        got = describe.order_statistics(df, "x", ranks, bins=bins, rounds=rounds).collect()
+    for bins, most in ((2, 1), (3, 4), (1024, 5000), (16, 30)):
+        got = describe.order_statistics(df, "x", ranks, bins=bins, most=most).collect()
         assert {r["rank"]: r["x"] for r in got} == {0: 0.0, 17: 17.0, 2500: 2500.0, 4999: 4999.0}
 
 
@@ -146,11 +146,73 @@ def test_density_by_group_does_not_depend_on_the_join(spark, monkeypatch):
     assert [tuple(r) for r in got] == [pytest.approx(tuple(r)) for r in want]
 
 
-def test_stated_group_size_is_enforced(spark):
-    df = spark.range(10).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("x"))
-    assert describe.quantiles(df, "x", (0.5,), ["g"], rows_per_group=10).first()["value"] == 4.5
-    with pytest.raises(Exception, match="more than 9 rows"):
-        describe.quantiles(df, "x", (0.5,), ["g"], rows_per_group=9).collect()
+def window_rows(spark, df, values, by=(), **how):
+    """Results of order statistics and the most rows that any of its windows gets in one partition."""
+    seen = []
+    real = describe.save
+
+    def spying(frame, path):
+        out = real(frame, path)
+        seen.append(frame)
+        return out
+
+    describe.save = spying
+    try:
+        out = describe.order_statistics(df, "x", values, by, **how)
+        rows = out.collect()
+    finally:
+        describe.save = real
+    largest = 0
+    for frame in [*seen, out]:
+        # what a window orders: rows below it, counted per group of its keys
+        plan = frame._jdf.queryExecution().optimizedPlan()
+        largest = max(largest, *[_largest_group(spark, w) for w in _windows(plan)], 0)
+    return rows, largest
+
+
+def _windows(plan):
+    found = [plan] if plan.nodeName() == "Window" else []
+    for i in range(plan.children().size()):
+        found += _windows(plan.children().apply(i))
+    return found
+
+
+def _largest_group(spark, window):
+    from pyspark.sql import DataFrame
+
+    below = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, window.children().apply(0))
+    keys = [window.partitionSpec().apply(i).name() for i in range(window.partitionSpec().size())]
+    counts = DataFrame(below, spark).groupBy(*keys).count()
+    return counts.agg(F.max("count")).first()[0] or 0
+
+
+@pytest.mark.parametrize("kind", ["log-uniform", "outlier", "groups", "dense"])
+def test_no_window_orders_more_than_the_stated_rows(spark, kind):
+    x = {
+        "log-uniform": F.pow(F.lit(10.0), -30 * F.col("id") / 60_000),
+        "outlier": F.when(F.col("id") == 5, 1e300).otherwise(1 + F.col("id") * 1e-9),
+        "groups": F.sqrt("id"),
+        "dense": F.when(F.col("id") < 20_000, 0.1).otherwise(F.col("id") / 60_000),
+    }[kind]
+    by = ["g"] if kind == "groups" else []
+    n = 60_000
+    df = spark.range(n).select((F.col("id") % 20_000).alias("g"), x.alias("x"))
+    ranks = [F.lit(0), F.floor(F.col("n") / 3), F.floor(F.col("n") / 2), F.col("n") - 1]
+    rows, largest = window_rows(spark, df, ranks, by, bins=64, most=200)
+    assert 0 < largest <= 2100 if kind == "log-uniform" else 0 < largest <= 200
+    pdf = df.toPandas()
+    if by:
+        want = {(g, r): v for g, vs in pdf.groupby("g")["x"] for r, v in [(0, vs.min()), (1, sorted(vs)[1]), (2, vs.max())]}
+        assert {(r.g, r.rank): r.x for r in rows} == want
+    else:
+        values = np.sort(pdf["x"].to_numpy())
+        assert {r["rank"]: r.x for r in rows} == {k: values[k] for k in (0, n // 3, n // 2, n - 1)}
+
+
+def test_summary_counts_nan_as_null(spark):
+    df = frame(spark, [(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
+    got = describe.summary6(df, "x").first()
+    assert (got["n"], got["n_null"], got["max"], got["mean"], got["median"]) == (2, 2, 3.0, 2.0, 2.0)
 
 
 def test_summary_of_an_all_null_column(spark):

@@ -89,3 +89,45 @@ def test_no_period_and_no_shifted_streams():
     few = of(np, np.arange(1, 40, dtype=np.int64)[:, None], r[None, :20_000])
     between = np.corrcoef(few)[np.triu_indices(39, 1)]
     assert np.abs(between).max() < 0.035
+
+
+def test_expression_grows_by_the_same_length_with_each_key():
+    length = [len(str(rnd.std_normal(*[F.lit(k) for k in range(n)]))) for n in range(1, 7)]
+    steps = np.diff(length)
+    assert steps.max() - steps.min() <= 8 and steps.max() < 2500
+
+
+def test_string_keys_equal_their_sql(spark):
+    import duckdb
+
+    from quadrat.plans import sqltext
+
+    words = ["", "a", "Ünïcode", "subject 7", "b" * 300]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", rnd.uniform(rnd.text_key("w"), F.lit(3)).alias("u"))
+    con = duckdb.connect()
+    for r in got.collect():
+        want = con.execute(f"SELECT {sqltext.uniform(sqltext.text_key('w'), '3')} FROM (SELECT ? AS w)", [r.w]).fetchone()[0]
+        assert r.u == want
+    assert len({r.u for r in got.collect()}) == len(words)
+
+
+def test_once_keeps_filters_above_the_draw(spark):
+    drawn = spark.range(1000).select("id", rnd.once(rnd.std_normal("id", F.lit(1))).alias("z"))
+    plain = {r.id: r.z for r in spark.range(1000).select("id", rnd.std_normal("id", F.lit(1)).alias("z")).collect()}
+    found = drawn.where("z > 0").where("z < 2")
+    assert {r.id: r.z for r in found.collect()} == {i: z for i, z in plain.items() if 0 < z < 2}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("bitwise" in line or "^" in line for line in filters)
+
+
+def test_prior_response_takes_string_groups(spark):
+    from quadrat.operators import priors
+
+    rows = spark.createDataFrame([(f"r{i}", f"g{i % 3}", float(i)) for i in range(30)], "row string, g string, x double")
+    par = priors.prior_parameters(
+        spark, 5, {"intercept": F.lit(1.0), "sd_group": F.lit(2.0), "sigma": F.lit(0.0), "b": F.lit(0.0)}
+    )
+    got = priors.prior_response(rows, "row", "g", {"x": "b"}, par, 5).join(rows, "row")
+    levels = got.groupBy("draw_id", "g").agg(F.min("mu").alias("lo"), F.max("mu").alias("hi"), F.max("y_rep").alias("y")).collect()
+    assert len(levels) == 15 and all(r.lo == r.hi == r.y for r in levels) and len({r.lo for r in levels}) == 15
