@@ -13,12 +13,7 @@ from pyspark.sql import functions as F
 from quadrat.functions import random as rnd
 from quadrat.operators.describe import density, quantiles
 from quadrat.operators.groups import attach_group_values
-from quadrat.session import shared_path
-from quadrat.sources.tables import save
-
-# Largest number of draws of one variable that is summarised as one group.
-MAX_DRAWS = 1_000_000
-
+from quadrat.operators.ranks import average_ranks, normal_score
 
 def keep_draws(draws: DataFrame, warmup: int, thin: int = 1) -> DataFrame:
     """Discard the warm-up and keep every ``thin``-th draw after it (iterations from 1)."""
@@ -70,25 +65,57 @@ def _placed(draws: DataFrame) -> DataFrame:
     return rows.select(*chains, place.alias("i"), "len", "mu", "value")
 
 
-def rhat(draws: DataFrame) -> DataFrame:
-    """Split R-hat: every chain cut in halves, between against within variance.
-
-    The middle draw of an odd chain belongs to neither half.
-    """
+def _halves(draws: DataFrame) -> DataFrame:
+    """Draws with the half of their chain, 0 or 1; the middle draw of an odd chain is in neither."""
     half = F.floor(F.col("len") / 2)
     side = F.when(F.col("i") < half, 0).when(F.col("i") >= F.col("len") - half, 1)
-    halves = (
-        _placed(draws)
-        .withColumn("side", side)
-        .where(F.col("side").isNotNull())
-        .groupBy("variable", "chain", "side")
-        .agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
-    )
+    return _placed(draws).withColumn("side", side).where(F.col("side").isNotNull())
+
+
+def _between_within(halves: DataFrame, name: str) -> DataFrame:
+    """R-hat from ``n``, mean ``m`` and variance ``v`` of half chains."""
     per = halves.groupBy("variable").agg(
         F.avg("n").alias("n"), F.var_samp("m").alias("between"), F.avg("v").alias("within")
     )
     pooled = (F.col("n") - 1) / F.col("n") * F.col("within") + F.col("between")
-    return per.select("variable", F.sqrt(pooled / F.nullif("within", F.lit(0.0))).alias("rhat"))
+    return per.select("variable", F.sqrt(pooled / F.nullif("within", F.lit(0.0))).alias(name))
+
+
+def rhat(draws: DataFrame) -> DataFrame:
+    """Split R-hat: every chain cut in halves, between against within variance.
+
+    The middle draw of an odd chain belongs to neither half.
+    """
+    halves = _halves(draws).groupBy("variable", "chain", "side")
+    halves = halves.agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
+    return _between_within(halves, "rhat")
+
+
+def _rhat_of_scores(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Split R-hat of the normal scores of the ranks of ``value`` over all chains of a variable."""
+    ranked = average_ranks(rows, value, ["variable"], ["chain", "side"])
+    scored = ranked.withColumn("z", normal_score(F.col("rank"), F.col("n")))
+    c, z = F.col("c"), F.col("z")
+    size, total = F.sum("c"), F.sum(c * z)
+    halves = scored.groupBy("variable", "chain", "side").agg(
+        size.alias("n"), (total / size).alias("m"), ((F.sum(c * z * z) - total * total / size) / F.nullif(size - 1, F.lit(0))).alias("v")
+    )
+    return _between_within(halves, name)
+
+
+def rank_rhat(draws: DataFrame, digits: int = 9) -> DataFrame:
+    """Rank-normalised split R-hat: ``bulk``, ``folded`` and the larger of both, ``rhat``.
+
+    Draws are replaced by the normal scores of their average ranks over all chains; ``folded`` does the same for their
+    distances from the median, which tells chains of unequal spread apart. Distances are rounded to ``digits``
+    places, because the two middle draws are equally far from the median but for rounding.
+    """
+    rows = _halves(draws).select("variable", "chain", "side", "value")
+    middle = quantiles(draws, "value", [0.5], ["variable"]).select("variable", F.col("value").alias("middle"))
+    apart = attach_group_values(rows, middle, ["variable"], few=False)
+    apart = apart.withColumn("apart", F.round(F.abs(F.col("value") - F.col("middle")), digits))
+    bulk, folded = _rhat_of_scores(rows, "value", "bulk"), _rhat_of_scores(apart, "apart", "folded")
+    return bulk.join(folded, "variable").select("variable", "bulk", "folded", F.greatest("bulk", "folded").alias("rhat"))
 
 
 def _lag_products(draws: DataFrame, max_lag: int, block: int) -> DataFrame:
@@ -131,97 +158,83 @@ def autocorrelation(draws: DataFrame, max_lag: int = 20, block: int = 65536) ->
     )
 
 
-def effective_size(draws: DataFrame) -> DataFrame:
-    """Effective sample size over all chains of a variable, from all lags.
+def _lag_sums(block: int, lags: int):
+    """Function of one block of a chain: sums of products of its draws with those that follow, at all lags below ``lags``."""
 
-    Autocovariances come from a Fourier transform per chain. They are summed in
-    pairs of lags up to the first negative pair, each pair no larger than the one
-    before it. One task handles one variable at a time: chains x kept iterations
-    numbers, at most ``MAX_DRAWS``; for more, use ``effective_size_long``. All
-    chains must have the same length.
-    """
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("i", kind="stable")
+        d = (pdf["value"] - pdf["mu"]).to_numpy(float)
+        own = d[pdf["i"].to_numpy() // block == key[2]]
+        width = 1 << int(len(d) + len(own)).bit_length()
+        cross = np.fft.irfft(np.fft.rfft(d, width) * np.fft.rfft(own, width).conj(), width)[:lags]
+        sums = np.zeros(lags)
+        sums[: len(cross)] = cross
+        sums[len(d) :] = 0.0
+        first = pdf.iloc[0]
+        return pd.DataFrame({"variable": [key[0]], "chain": [key[1]], "len": [first["len"]], "mu": [first["mu"]], "c": [sums]})
 
-    def per_variable(key, pdf):
+    return run
+
+
+def _size_of():
+    """Function of the lag sums of one variable's chains: its effective size, and whether the lags settle it."""
+
+    def run(key, pdf):
         import numpy as np
         import pandas as pd
 
-        if len(pdf) > MAX_DRAWS:
-            raise ValueError(f"{key[0]} has more than {MAX_DRAWS} draws; use effective_size_long")
-        pdf = pdf.sort_values(["chain", "iteration"], kind="stable")
-        x = np.stack([g.to_numpy(dtype=float) for _, g in pdf.groupby("chain")["value"]])
-        m, n = x.shape
-        d = x - x.mean(axis=1, keepdims=True)
-        padded = np.fft.rfft(d, 2 * n, axis=1)
-        acov = np.fft.irfft(padded * padded.conj(), 2 * n, axis=1)[:, :n] / n
-        within = acov[:, 0].mean() * n / (n - 1)
-        total = within * (n - 1) / n + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
-        if not total > 0:
-            return pd.DataFrame({"variable": [key[0]], "ess": [None]}).astype({"ess": "float64"})
-        rho = 1 - (within - acov.mean(axis=0)) / total
-        rho[0] = 1.0
-        pairs = rho[: n - n % 2].reshape(-1, 2).sum(axis=1)
-        negative = np.flatnonzero(pairs < 0)
-        pairs = np.minimum.accumulate(pairs[: negative[0]] if len(negative) else pairs)
-        tau = max(-1 + 2 * pairs.sum(), 1 / np.log10(m * n))
-        return pd.DataFrame({"variable": [key[0]], "ess": [m * n / tau]})
-
-    return draws.groupBy("variable").applyInPandas(per_variable, "variable string, ess double")
-
-
-def effective_size_long(draws: DataFrame, first_lags: int = 64) -> DataFrame:
-    """``effective_size`` for chains of any length, from bounded windows.
-
-    Lags are computed in growing numbers, and again only for variables whose pair
-    sums have not turned negative yet, so no variable is cut short. Each round is
-    written to the shared folder.
+        n, m = int(pdf["len"].max()), len(pdf)
+        c = np.stack(pdf["c"].to_numpy())[:, :n] / n
+        acov, means = c.mean(axis=0), pdf["mu"].to_numpy(float)
+        lags = len(acov)
+        total = acov[0] + (means.var(ddof=1) if m > 1 else 0.0)
+        if not total > 0 or n < 2:
+            out, done = None, True
+        else:
+            rho = 1 - (acov[0] * n / (n - 1) - acov) / total
+            rho[0] = 1.0
+            pairs = rho[: lags - lags % 2].reshape(-1, 2).sum(axis=1)
+            negative = np.flatnonzero(pairs < 0)
+            done = bool(len(negative)) or lags >= n
+            pairs = np.minimum.accumulate(pairs[: negative[0]] if len(negative) else pairs)
+            out = m * n / max(-1 + 2 * pairs.sum(), 1 / np.log10(m * n))
+        return pd.DataFrame({"variable": [key[0]], "ess": [out], "complete": [done]}).astype({"ess": "float64"})
+
+    return run
+
+
+def effective_size(draws: DataFrame, block: int = 65536) -> DataFrame:
+    """Effective sample size over all chains of a variable.
+
+    Autocovariances are summed in pairs of lags up to the first negative pair, each pair no larger than the one
+    before it. Sums of lagged products come from Fourier transforms of blocks of a chain, each with
+    the draws that follow it as far as the lags reach: a draw is copied once at most, whatever the number of lags. Chains
+    of up to ``block`` draws are one block and have all lags. Longer ones start with half a block of lags; while the pairs
+    of some variable have not turned negative, blocks and lags grow fourfold. All chains of a variable must
+    have the same length; a variable without spread gets null.
     """
-    out, todo, lags = None, draws, first_lags
+    longest = draws.groupBy("variable", "chain").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    lags = longest if longest <= block else block // 2
     while True:
-        done = save(_size_from_lags(todo, lags), shared_path(draws.sparkSession, "ess"))
-        ready = done.where(F.col("complete")).select("variable", "ess")
-        out = ready if out is None else out.unionByName(ready)
-        open_ = done.where(~F.col("complete")).select("variable")
-        if not open_.take(1):
-            return out
-        todo, lags = todo.join(open_, "variable", "left_semi"), lags * 4
-
-
-def _size_from_lags(draws: DataFrame, lags: int) -> DataFrame:
-    """``variable``, ``ess`` and whether the lags below ``lags`` (even) settle it."""
-    n, m = F.col("n"), F.col("m")
-    sums = _lag_products(draws, lags - 1, max(65536, 4 * lags))
-    per = sums.groupBy("variable", "lag").agg(
-        F.avg(F.col("c") / F.col("len")).alias("acov"),
-        F.max("len").alias("n"),
-        F.count("*").alias("m"),
-        F.coalesce(F.var_samp("mu"), F.lit(0.0)).alias("between"),
-    )
-    base = per.where(F.col("lag") == 0).select(
-        "variable", n, m,
-        (F.col("acov") * n / (n - 1)).alias("within"), (F.col("acov") + F.col("between")).alias("total"),
-    )
-    rho = 1 - (F.col("within") - F.col("acov")) / F.nullif("total", F.lit(0.0))
-    pairs = (
-        per.drop("n", "m").join(base, "variable")
-        .select("variable", "n", "m", F.floor(F.col("lag") / 2).alias("k"),
-                F.when(F.col("lag") == 0, 1.0).otherwise(rho).alias("rho"), "total")
-        .groupBy("variable", "k")
-        .agg(F.sum("rho").alias("pair"), F.count("*").alias("terms"), *[F.max(c).alias(c) for c in ("n", "m", "total")])
-        .where(F.col("terms") == 2)
-    )
-    least = F.min("pair").over(W.partitionBy("variable").orderBy("k"))
-    got = pairs.withColumn("least", least).groupBy("variable").agg(
-        F.sum(F.when(F.col("least") >= 0, F.col("least"))).alias("s"),
-        F.min("pair").alias("lowest"),
-        *[F.max(c).alias(c) for c in ("n", "m", "total")],
-    )
-    size = n * m
-    tau = F.greatest(-1 + 2 * F.col("s"), 1 / F.log10(size))
-    return got.select(
-        "variable",
-        F.when(F.col("total") > 0, size / tau).alias("ess"),
-        ((F.col("lowest") < 0) | (n <= lags) | ~(F.col("total") > 0)).alias("complete"),
-    )
+        own = F.floor(F.col("i") / block)
+        near = (F.col("i") % block < lags) & (own > 0) if lags < longest else F.lit(False)
+        rows = _placed(draws).withColumn("b", F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own))))
+        sums = rows.groupBy("variable", "chain", "b").applyInPandas(
+            _lag_sums(block, lags),
+            "variable string, chain int, len long, mu double, c array<double>",
+        )
+        if longest > block:
+            one = sums.select("variable", "chain", "len", "mu", F.posexplode("c").alias("lag", "s"))
+            one = one.groupBy("variable", "chain", "lag").agg(F.sum("s").alias("s"), F.max("len").alias("len"), F.max("mu").alias("mu"))
+            packed = F.transform(F.array_sort(F.collect_list(F.struct("lag", "s"))), lambda e: e["s"])
+            sums = one.groupBy("variable", "chain").agg(F.max("len").alias("len"), F.max("mu").alias("mu"), packed.alias("c"))
+        sized = sums.groupBy("variable").applyInPandas(_size_of(), "variable string, ess double, complete boolean")
+        if lags >= longest or sized.where(~F.col("complete")).isEmpty():
+            return sized.select("variable", F.nanvl("ess", F.lit(None)).alias("ess"))
+        block, lags = block * 4, min(lags * 4, longest)
 
 
 def trace(draws: DataFrame, every: int = 1) -> DataFrame:

@@ -223,47 +223,6 @@ def prior_sensitivity(
 # ------------------------------------------------------------ group effects
 
 
-def random_intercept(df: DataFrame, group: str, y: str) -> DataFrame:
-    """Group means pulled towards the grand mean by one-way variance components.
-
-    Returns ``group``, ``n``, ``mean``, ``shrink``, ``effect`` (the pulled deviation).
-    Rows are reduced to one per group before anything is shuffled, so a group with
-    a third of all rows costs no more than any other.
-    """
-    rows = df.where(F.col(y).isNotNull() & F.col(group).isNotNull())
-    groups = rows.groupBy(F.col(group).alias("group")).agg(
-        F.count("*").alias("n"),
-        F.avg(y).alias("mean"),
-        (F.var_pop(y) * F.count("*")).alias("within"),
-    )
-    totals = groups.agg(
-        F.struct(
-            F.count("*").alias("g"),
-            F.sum("n").alias("n"),
-            F.sum(F.col("n") * F.col("n")).alias("n2"),
-            (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"),
-            F.sum("within").alias("within"),
-        )
-    ).scalar()
-    placed = groups.withColumn("t", totals)
-    between = placed.agg(F.sum(F.col("n") * F.pow(F.col("mean") - F.col("t.grand"), 2))).scalar()
-    t = placed.withColumn("between", between)
-    sigma2 = ratio(F.col("t.within"), (F.col("t.n") - F.col("t.g")).cast("double"))
-    spread = F.col("t.n") - F.col("t.n2") / F.col("t.n")
-    mean_square = ratio(F.col("between"), (F.col("t.g") - 1).cast("double"))
-    tau2 = F.greatest(ratio((mean_square - F.col("sigma2")) * (F.col("t.g") - 1), spread), F.lit(0.0))
-    t = t.withColumn("sigma2", sigma2).withColumn("tau2", tau2)
-    pull = ratio(F.col("n") * F.col("tau2"), F.col("n") * F.col("tau2") + F.col("sigma2"))
-    t = t.withColumn("shrink", F.coalesce(pull, F.lit(0.0)))
-    return t.select(
-        F.col("group").alias(group),
-        "n",
-        "mean",
-        "shrink",
-        (F.col("shrink") * (F.col("mean") - F.col("t.grand"))).alias("effect"),
-    )
-
-
 def random_slope(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Slope of y on x per group, pulled towards the pooled within-group slope.
 

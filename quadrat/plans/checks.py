@@ -83,6 +83,25 @@ def rhat_split(spark, folder):
     return round_all(dr.rhat(kept(spark, folder)))
 
 
+def _score_sql(value: str) -> str:
+    rank = f"(rank() OVER (PARTITION BY variable ORDER BY {value}) + (count(*) OVER (PARTITION BY variable, {value}) - 1) / 2.0::DOUBLE)"
+    return f"({rank} - 0.375::DOUBLE) / (count(*) OVER (PARTITION BY variable) + 0.25::DOUBLE)"
+
+
+@query(
+    f"""WITH {_draws_sql()}, a AS (SELECT variable, chain, iteration > {WARMUP + (ITERATIONS - WARMUP) // 2} AS late, value,
+  round(abs(value - median(value) OVER (PARTITION BY variable)), 9) AS apart FROM d),
+q AS (SELECT *, {_score_sql('value')} AS p1, {_score_sql('apart')} AS p2 FROM a),
+z AS (SELECT *, {S.inverse_normal('p1')} AS z1, {S.inverse_normal('p2')} AS z2 FROM q),
+h AS (SELECT variable, chain, late, count(*) n, avg(z1) m1, var_samp(z1) v1, avg(z2) m2, var_samp(z2) v2 FROM z GROUP BY ALL),
+p AS (SELECT variable, avg(n) n, var_samp(m1) b1, avg(v1) w1, var_samp(m2) b2, avg(v2) w2 FROM h GROUP BY variable),
+r AS (SELECT variable, sqrt(((n - 1) / n * w1 + b1) / w1) AS bulk, sqrt(((n - 1) / n * w2 + b2) / w2) AS folded FROM p)
+SELECT variable, round(bulk, 6) AS bulk, round(folded, 6) AS folded, round(greatest(bulk, folded), 6) AS rhat FROM r"""
+)
+def rhat_rank(spark, folder):
+    return round_all(dr.rank_rhat(kept(spark, folder)))
+
+
 MAX_LAG = 20
 
 
@@ -115,7 +134,8 @@ def ess(spark, folder):
 
 @query(ESS_SQL)
 def ess_long(spark, folder):
-    return round_all(dr.effective_size_long(kept(spark, folder)), 4)
+    """The same from blocks of 64 draws, as a chain longer than a block takes them."""
+    return round_all(dr.effective_size(kept(spark, folder), block=64), 4)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import random as rnd
 from quadrat.operators import design as de
-from quadrat.operators import models, prep, priors
+from quadrat.operators import effects, models, prep, priors
 from quadrat.operators import predictive as pp
 from quadrat.plans import sqltext as S
 from quadrat.plans.explore import scans
@@ -204,7 +204,7 @@ SELECT role, g.n::BIGINT AS n, round(mean, 6) AS mean, round(g.n * tau2 / (g.n *
 )
 def rand_intercept(spark, folder):
     talk = tables.given(spark, folder, "conversations").select("role", F.length("text").alias("len"))
-    return round_all(models.random_intercept(talk, "role", "len"))
+    return round_all(effects.random_intercept(talk, "role", "len"))
 
 
 @query(
@@ -224,6 +224,93 @@ def rand_slope(spark, folder):
     return round_all(models.random_slope(rows, "l_suppkey", "x", "y"))
 
 
+CROSSED = ("o_custkey", "month", "o_orderpriority")
+CROSSED_SWEEPS = 3
+
+
+def _crossed_sql() -> str:
+    """Backfitting written out: per sweep and key the sums per level, their components, the effects."""
+    keys, k = CROSSED, len(CROSSED)
+    ctes = [
+        "b AS MATERIALIZED (SELECT o_custkey AS k0, strftime(o_orderdate, '%Y-%m') AS k1, o_orderpriority AS k2, o_totalprice / 1000 AS y FROM orders)",
+        "c AS MATERIALIZED (SELECT k0, k1, k2, count(*) n, avg(y) mean, var_pop(y) * count(*) AS ss FROM b GROUP BY ALL)",
+        "l AS (SELECT sum(n * mean) / sum(n) AS level FROM c)",
+    ]
+    latest: dict[int, str] = {}
+    for sweep in range(CROSSED_SWEEPS):
+        for i in range(k):
+            t = f"{sweep}_{i}"
+            others = {j: name for j, name in latest.items() if j != i}
+            left = "c.mean - level" + "".join(f" - {name}.effect" for name in others.values())
+            joins = "".join(f" JOIN {name} ON {name}.k = c.k{j}" for j, name in others.items())
+            ctes += [
+                f"r{t} AS (SELECT c.k{i} AS k, c.n, c.ss, {left} AS r FROM c, l{joins})",
+                f"g{t} AS MATERIALIZED (SELECT k, sum(n) AS n, sum(n * r) / sum(n) AS mean, "
+                f"greatest(sum(ss) + sum(n * r * r) - pow(sum(n * r), 2) / sum(n), 0) AS ss FROM r{t} GROUP BY k)",
+                f"t{t} AS (SELECT count(*) g, sum(n) n, sum(n * n) n2, sum(n * mean) / sum(n) AS grand, sum(ss) AS ss FROM g{t})",
+                f"v{t} AS (SELECT *, ss / (n - g) AS s2, (SELECT sum(n * pow(mean - (SELECT grand FROM t{t}), 2)) FROM g{t}) AS apart FROM t{t})",
+                f"w{t} AS (SELECT *, greatest((apart / (g - 1) - s2) * (g - 1) / (n - n2 / n), 0) AS tau2 FROM v{t})",
+                f"e{t} AS MATERIALIZED (SELECT g.k, g.n, g.mean, coalesce(g.n * tau2 / nullif(g.n * tau2 + s2, 0), 0) AS shrink, "
+                f"coalesce(g.n * tau2 / nullif(g.n * tau2 + s2, 0), 0) * (g.mean - grand) AS effect FROM g{t} g, w{t})",
+            ]
+            latest[i] = f"e{t}"
+    rows = [
+        f"SELECT '{keys[i]}' AS key, k::VARCHAR AS level, n::BIGINT AS n, round(mean, 6) + 0.0 AS mean, round(shrink, 6) + 0.0 AS shrink, "
+        f"round(effect, 6) + 0.0 AS effect FROM {name}"
+        for i, name in sorted(latest.items())
+    ]
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(rows)
+
+
+@query(_crossed_sql())
+def crossed_intercepts(spark, folder):
+    """Customers, months and priorities as crossed random intercepts of the order's price."""
+    orders = tables.given(spark, folder, "orders").select(
+        "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderpriority", (F.col("o_totalprice") / 1000).alias("y")
+    )
+    return round_all(effects.crossed_intercepts(orders, CROSSED, "y", CROSSED_SWEEPS, tolerance=0.0).effects)
+
+
+# two coefficients per group: 2 x 2 inverses written out; the eigenvalues below zero of the covariance go
+_COEFFICIENTS_SQL = """WITH r AS MATERIALIZED (SELECT l_suppkey AS g, l_quantity / 10 AS x, l_extendedprice / 10000 AS y FROM lineitem),
+c AS (SELECT avg(x) AS mx, avg(y) AS my FROM r),
+m AS MATERIALIZED (SELECT g, count(*)::DOUBLE AS n, sum(x - mx) AS sx, sum((x - mx) * (x - mx)) AS sxx, sum(y - my) AS sy,
+  sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy FROM r, c GROUP BY g),
+p AS (SELECT (sum(sxx) * sum(sy) - sum(sx) * sum(sxy)) / (sum(n) * sum(sxx) - sum(sx) * sum(sx)) AS s0,
+  (sum(n) * sum(sxy) - sum(sx) * sum(sy)) / (sum(n) * sum(sxx) - sum(sx) * sum(sx)) AS s1 FROM m),
+o AS MATERIALIZED (SELECT *, n * sxx - sx * sx AS det, 1 - abs(sx) / sqrt(n * nullif(sxx, 0)) > 1e-9 AND n > 2 AS usable FROM m),
+b AS MATERIALIZED (SELECT *, CASE WHEN usable THEN (sxx * sy - sx * sxy) / det END AS b0,
+  CASE WHEN usable THEN (n * sxy - sx * sy) / det END AS b1 FROM o),
+u AS (SELECT count(*) AS g, sum(greatest(syy - b0 * sy - b1 * sxy, 0)) / sum(n - 2) AS s2, sum(b0 - s0) AS d0, sum(b1 - s1) AS d1,
+  sum((b0 - s0) * (b0 - s0)) AS q00, sum((b0 - s0) * (b1 - s1)) AS q01, sum((b1 - s1) * (b1 - s1)) AS q11,
+  sum(sxx / det) AS i00, sum(-sx / det) AS i01, sum(n / det) AS i11 FROM b, p WHERE usable),
+v AS (SELECT *, (q00 - d0 * d0 / g) / (g - 1) - s2 * i00 / g AS a, (q01 - d0 * d1 / g) / (g - 1) - s2 * i01 / g AS h,
+  (q11 - d1 * d1 / g) / (g - 1) - s2 * i11 / g AS d FROM u),
+e AS (SELECT *, (a + d) / 2 + sqrt(pow((a - d) / 2, 2) + h * h) AS top, (a + d) / 2 - sqrt(pow((a - d) / 2, 2) + h * h) AS low FROM v),
+t AS (SELECT s2, CASE WHEN low >= 0 THEN a WHEN top <= 0 THEN 0 ELSE top * (a - low) / (top - low) END AS t00,
+  CASE WHEN low >= 0 THEN h WHEN top <= 0 THEN 0 ELSE top * h / (top - low) END AS t01,
+  CASE WHEN low >= 0 THEN d WHEN top <= 0 THEN 0 ELSE top * (d - low) / (top - low) END AS t11 FROM e),
+k AS MATERIALIZED (SELECT b.*, t.*, s2 + n * t00 + sx * t01 AS k00, n * t01 + sx * t11 AS k01, sx * t00 + sxx * t01 AS k10,
+  s2 + sx * t01 + sxx * t11 AS k11 FROM b, t),
+j AS MATERIALIZED (SELECT *, k00 * k11 - k01 * k10 AS kd FROM k),
+w AS (SELECT sum((k11 * n - k01 * sx) / kd) AS m00, sum((k11 * sx - k01 * sxx) / kd) AS m01, sum((k00 * sx - k10 * n) / kd) AS m10,
+  sum((k00 * sxx - k10 * sx) / kd) AS m11, sum((k11 * sy - k01 * sxy) / kd) AS z0, sum((k00 * sxy - k10 * sy) / kd) AS z1 FROM j),
+f AS (SELECT (m11 * z0 - m01 * z1) / (m00 * m11 - m01 * m10) AS f0, (m00 * z1 - m10 * z0) / (m00 * m11 - m01 * m10) AS f1 FROM w),
+x AS (SELECT j.*, f0, f1, sy - n * f0 - sx * f1 AS r0, sxy - sx * f0 - sxx * f1 AS r1 FROM j, f),
+y AS (SELECT *, (k11 * r0 - k01 * r1) / kd AS h0, (k00 * r1 - k10 * r0) / kd AS h1 FROM x)
+SELECT g AS l_suppkey, n::BIGINT AS n, round(f0 + t00 * h0 + t01 * h1 + my, 6) + 0.0 AS intercept, round(f1 + t01 * h0 + t11 * h1, 6) + 0.0 AS x,
+  round(b0 + my, 6) + 0.0 AS intercept_own, round(b1, 6) + 0.0 AS x_own FROM y, c"""
+
+
+@query(_COEFFICIENTS_SQL)
+def rand_coefficients(spark, folder):
+    """Level and slope of the price per supplier, pulled together."""
+    rows = tables.given(spark, folder, "lineitem").select(
+        "l_suppkey", (F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") / 10000).alias("y")
+    )
+    return round_all(effects.random_coefficients(rows, "l_suppkey", ["x"], "y").effects)
+
+
 # ------------------------------------------------------------ multinomial
 
 SCAN_CLASSES = ("click", "error", "purchase", "signup", "view")

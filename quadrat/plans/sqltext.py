@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quadrat.functions.expr import NORMAL_CENTRE, NORMAL_MIDDLE, NORMAL_TAIL
 from quadrat.functions.random import DEFAULT_SEED, MASKS, MODULI, MULTIPLIERS, stream_seed
 
 
@@ -44,6 +45,24 @@ def half_student_t3(scale: float, *keys: str, seed: int, stream: str) -> str:
     return f"abs({scale}::DOUBLE * {z[0]} / sqrt((pow({z[1]}, 2) + pow({z[2]}, 2) + pow({z[3]}, 2)) / 3))"
 
 
+def inverse_normal(p: str) -> str:
+    def rational(pair, r: str) -> str:
+        parts = []
+        for terms in pair:
+            total = f"{terms[-1]!r}::DOUBLE"
+            for c in reversed(terms[:-1]):
+                total = f"({total} * {r} + {c!r}::DOUBLE)"
+            parts.append(total)
+        return f"{parts[0]} / {parts[1]}"
+
+    q, tail = f"({p} - 0.5::DOUBLE)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    return (
+        f"CASE WHEN abs({q}) <= 0.425 THEN {q} * ({rational(NORMAL_CENTRE, f'(0.180625::DOUBLE - {q} * {q})')}) "
+        f"WHEN {tail} <= 5 THEN sign({q}) * ({rational(NORMAL_MIDDLE, f'({tail} - 1.6::DOUBLE)')}) "
+        f"ELSE sign({q}) * ({rational(NORMAL_TAIL, f'({tail} - 5)')}) END"
+    )
+
+
 def sweep(start: str, m: int, p: int, tag: str) -> tuple[list[str], str]:
     """CTEs that sweep the first p columns of the symmetric m x m matrix in ``start``.
 

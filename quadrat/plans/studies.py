@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import random as rnd
 from quadrat.operators import design as de
-from quadrat.operators import factors, models, predictive, prep, priors
+from quadrat.operators import effects, factors, models, predictive, prep, priors
 
 # Slope (and class intercept) standard deviations of the three prior sets.
 SLOPE_SD = {"weak": 1.0, "uniform": math.inf, "strong": 0.5}
@@ -80,7 +80,7 @@ def interval_group_effects(prepared: DataFrame, study: str, sexes: Sequence[str]
     names = de.column_names(terms)
     rows = de.design(prepared, terms, "ibi", keep=["mother_name"])
     rest = models.residuals(rows, names, models.least_squares(rows, names))
-    return models.random_intercept(rest, "mother_name", "residual")
+    return effects.random_intercept(rest, "mother_name", "residual")
 
 
 def interval_prior_lines(prepared: DataFrame, covariate: str, prior: str = "weak", lines: int = 100) -> DataFrame:

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from quadrat.operators import design as de
+from quadrat.operators import effects, design as de
 from quadrat.operators import models
 
 
@@ -112,7 +112,7 @@ def test_random_intercept_shrinks_towards_the_grand_mean(spark):
     rng = np.random.default_rng(2)
     groups = {g: rng.normal(m, 1, size) for g, m, size in (("a", 0, 300), ("b", 3, 20), ("c", -2, 5), ("d", 1, 1))}
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, y double")
-    got = {r["g"]: r for r in models.random_intercept(df.repartition(5), "g", "y").collect()}
+    got = {r["g"]: r for r in effects.random_intercept(df.repartition(5), "g", "y").collect()}
     n = np.array([len(v) for v in groups.values()])
     mean = np.array([v.mean() for v in groups.values()])
     grand = (n * mean).sum() / n.sum()
@@ -126,7 +126,7 @@ def test_random_intercept_shrinks_towards_the_grand_mean(spark):
 
 def test_equal_groups_are_pulled_together(spark):
     df = spark.createDataFrame([(g, v) for g in "ab" for v in (1.0, 2.0, 3.0)], "g string, y double")
-    assert all(r["effect"] == 0 for r in models.random_intercept(df, "g", "y").collect())
+    assert all(r["effect"] == 0 for r in effects.random_intercept(df, "g", "y").collect())
 
 
 def test_random_slope(spark):

@@ -219,16 +219,75 @@ def test_effective_size(spark, series):
     assert 60 < got["slow"] < 160 and got["white"] > 600 and got["apart"] < 30
 
 
-@pytest.mark.parametrize("first_lags", [4, 512])
-def test_effective_size_of_long_chains_agrees(spark, series, first_lags):
+@pytest.mark.parametrize("block", [4, 64, 128])
+def test_effective_size_of_long_chains_agrees(spark, series, block):
     df = chain_draws(spark, series)
     want = {r["variable"]: r["ess"] for r in dr.effective_size(df).collect()}
-    got = {r["variable"]: r["ess"] for r in dr.effective_size_long(df, first_lags).collect()}
+    got = {r["variable"]: r["ess"] for r in dr.effective_size(df, block).collect()}
     assert got.keys() == want.keys() and got["flat"] is None
     for v in ("slow", "white", "apart"):
         assert got[v] == pytest.approx(want[v], rel=1e-9)
 
 
+def rank_rhat_by_hand(chains):
+    """Bulk and folded R-hat of normal scores of average ranks, over split chains."""
+    from statistics import NormalDist
+
+    import pandas as pd
+
+    def split(x):
+        half = len(x) // 2
+        return [x[:half], x[len(x) - half :]]
+
+    def rhat(parts):
+        pooled = pd.Series(np.concatenate(parts))
+        ranks = pooled.rank(method="average").to_numpy()
+        z = np.array([NormalDist().inv_cdf((r - 0.375) / (len(pooled) + 0.25)) for r in ranks])
+        cut = np.split(z, np.cumsum([len(p) for p in parts])[:-1])
+        n, w = len(cut[0]), np.mean([c.var(ddof=1) for c in cut])
+        return np.sqrt(((n - 1) / n * w + np.var([c.mean() for c in cut], ddof=1)) / w)
+
+    middle = np.median(np.concatenate(chains))
+    return rhat([p for c in chains for p in split(c)]), rhat([p for c in chains for p in split(np.round(np.abs(c - middle), 9))])
+
+
+def test_rank_rhat(spark, series):
+    wide = {("wide", c): series["white", c] * c * c for c in (1, 2, 3)}
+    steps = {("steps", c): np.floor(series["slow", c]) for c in (1, 2, 3)}  # many ties
+    data = {**series, **wide, **steps}
+    got = {r.variable: r for r in dr.rank_rhat(chain_draws(spark, data)).collect()}
+    assert got["flat"].rhat is None
+    for v in ("slow", "white", "apart", "wide", "steps"):
+        bulk, folded = rank_rhat_by_hand([data[v, c] for c in (1, 2, 3)])
+        assert (got[v].bulk, got[v].folded, got[v].rhat) == pytest.approx((bulk, folded, max(bulk, folded)), rel=1e-9)
+    assert got["wide"].bulk < 1.05 < got["wide"].folded
+
+
+def test_inverse_normal(spark):
+    from statistics import NormalDist
+
+    from quadrat.functions.expr import inverse_normal
+
+    p = [1e-300, 1e-20, 1e-5, 0.01, 0.07, 0.08, 0.3, 0.5, 0.5000001, 0.9, 0.925, 0.93, 0.999999, 1 - 1e-15]
+    got = spark.createDataFrame([(x,) for x in p], "p double").select(inverse_normal(F.col("p")).alias("z")).collect()
+    assert [r.z for r in got] == pytest.approx([NormalDist().inv_cdf(x) for x in p], rel=1e-14, abs=1e-300)
+
+
+def test_average_ranks_over_many_ranges(spark):
+    from quadrat.operators.ranks import average_ranks
+
+    rng = np.random.default_rng(4)
+    values = {"a": rng.integers(0, 50, 4000) / 7, "b": rng.normal(size=3000), None: np.array([1.0, 1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("b", float("nan"))]
+    got = average_ranks(spark.createDataFrame(rows, "g string, x double").repartition(7), "x", ["g"]).collect()
+    import pandas as pd
+
+    for g, vs in values.items():
+        want = dict(zip(vs, pd.Series(vs).rank(method="average"), strict=True))
+        assert {r.x: r["rank"] for r in got if r.g == g} == want
+        assert {r.n for r in got if r.g == g} == {len(vs)}
+
+
 def test_summary_and_intervals(spark, series):
     df = chain_draws(spark, series)
     allx = np.concatenate([series["slow", c] for c in (1, 2, 3)])
