@@ -145,8 +145,9 @@ def order_statistics(
     distinct values are counted. That is repeated until all brackets are single values. Counts are added
     up in tasks before they move, so a value or a group with a third of all rows is a few rows per task,
     and no window orders more than ``max(bins, most)`` rows, or the 2,100 magnitudes. Brackets are written to the shared
-    folder after each scan; the last scan is part of the result. A group of a hundred values takes two scans, one of
-    a trillion evenly spread ones four. Nulls and NaN are skipped. Returns ``by``, ``n``, ``rank``, ``x``.
+    folder after each scan; the last scan is part of the result. If no group has more than ``most`` rows, one scan
+    counts them and another orders each group; a trillion evenly spread values take four scans. Nulls and NaN are
+    skipped. Returns ``by``, ``n``, ``rank``, ``x``.
     """
     by = list(by)
     x, skipped = F.col("x"), F.col("skipped")
@@ -160,6 +161,10 @@ def order_statistics(
     base = base.where(x <= F.lit(math.inf))
     sums = [F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")]
     group = W.partitionBy(*by)
+    if by and (base.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= most:
+        placed = base.select(*by, "x", F.count("*").over(group).alias("n"), (F.row_number().over(group.orderBy("x")) - 1).alias("rank"))
+        placed = placed.withColumn("rank", F.col("rank").cast("long"))
+        return placed.where(F.array_contains(wanted, F.col("rank"))).select(*by, "n", "rank", "x")
     placed = base.groupBy(*by, _magnitude(x).alias("part")).agg(*sums)
     placed = placed.withColumn("n", F.sum("c").over(group))
     placed = placed.withColumn("skipped", F.sum("c").over(group.orderBy("part")) - F.col("c"))

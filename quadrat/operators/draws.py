@@ -159,49 +159,62 @@ def autocorrelation(draws: DataFrame, max_lag: int = 20, block: int = 65536) ->
 
 
 def _lag_sums(block: int, lags: int):
-    """Function of one block of a chain: sums of products of its draws with those that follow, at all lags below ``lags``."""
+    """Function of batches of blocks: sums of products of a block's draws with those that follow, at all lags below ``lags``."""
 
-    def run(key, pdf):
+    def sums_of(d, own):
         import numpy as np
-        import pandas as pd
 
-        pdf = pdf.sort_values("i", kind="stable")
-        d = (pdf["value"] - pdf["mu"]).to_numpy(float)
-        own = d[pdf["i"].to_numpy() // block == key[2]]
-        width = 1 << int(len(d) + len(own)).bit_length()
-        cross = np.fft.irfft(np.fft.rfft(d, width) * np.fft.rfft(own, width).conj(), width)[:lags]
-        sums = np.zeros(lags)
-        sums[: len(cross)] = cross
-        sums[len(d) :] = 0.0
-        first = pdf.iloc[0]
-        return pd.DataFrame({"variable": [key[0]], "chain": [key[1]], "len": [first["len"]], "mu": [first["mu"]], "c": [sums]})
+        width = 1 << int(len(d) + own).bit_length()
+        turned = np.fft.rfft(d, width) * np.fft.rfft(d[:own], width).conj()
+        cross = np.fft.irfft(turned, width)[:lags]
+        out = np.zeros(lags)
+        out[: len(cross)] = cross
+        out[len(d) :] = 0.0
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            sums, means = [], []
+            for b, first, values in zip(pdf["b"], pdf["first"], pdf["x"], strict=True):
+                means.append(values.mean())
+                # a block of a longer chain comes centred; a whole chain is centred here
+                d = values - means[-1] if b < 0 else values
+                sums.append(sums_of(d, len(d) if b < 0 else min(len(d), (b + 1) * block - first)))
+            out = pdf[["variable", "chain", "len", "mu"]].copy()
+            out["mu"] = out["mu"].where(pdf["b"] >= 0, means)
+            out["c"] = sums
+            yield out
 
     return run
 
 
-def _size_of():
-    """Function of the lag sums of one variable's chains: its effective size, and whether the lags settle it."""
+def _sizes():
+    """Function of batches of variables with the lag sums of their chains: effective sizes, and whether the lags settle them."""
 
-    def run(key, pdf):
+    def size(n, means, c):
         import numpy as np
-        import pandas as pd
 
-        n, m = int(pdf["len"].max()), len(pdf)
-        c = np.stack(pdf["c"].to_numpy())[:, :n] / n
-        acov, means = c.mean(axis=0), pdf["mu"].to_numpy(float)
+        m = len(means)
+        acov = np.stack(c)[:, :n].mean(axis=0) / n
         lags = len(acov)
-        total = acov[0] + (means.var(ddof=1) if m > 1 else 0.0)
+        total = acov[0] + (np.var(means, ddof=1) if m > 1 else 0.0)
         if not total > 0 or n < 2:
-            out, done = None, True
-        else:
-            rho = 1 - (acov[0] * n / (n - 1) - acov) / total
-            rho[0] = 1.0
-            pairs = rho[: lags - lags % 2].reshape(-1, 2).sum(axis=1)
-            negative = np.flatnonzero(pairs < 0)
-            done = bool(len(negative)) or lags >= n
-            pairs = np.minimum.accumulate(pairs[: negative[0]] if len(negative) else pairs)
-            out = m * n / max(-1 + 2 * pairs.sum(), 1 / np.log10(m * n))
-        return pd.DataFrame({"variable": [key[0]], "ess": [out], "complete": [done]}).astype({"ess": "float64"})
+            return None, True
+        rho = 1 - (acov[0] * n / (n - 1) - acov) / total
+        rho[0] = 1.0
+        pairs = rho[: lags - lags % 2].reshape(-1, 2).sum(axis=1)
+        negative = np.flatnonzero(pairs < 0)
+        done = bool(len(negative)) or lags >= n
+        pairs = np.minimum.accumulate(pairs[: negative[0]] if len(negative) else pairs)
+        return m * n / max(-1 + 2 * pairs.sum(), 1 / np.log10(m * n)), done
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            found = [size(int(n), means, c) for n, means, c in zip(pdf["n"], pdf["mu"], pdf["c"], strict=True)]
+            out = pd.DataFrame({"variable": pdf["variable"], "ess": [f[0] for f in found], "complete": [f[1] for f in found]})
+            yield out.astype({"ess": "float64", "complete": "bool"})
 
     return run
 
@@ -218,20 +231,29 @@ def effective_size(draws: DataFrame, block: int = 65536) -> DataFrame:
     """
     longest = draws.groupBy("variable", "chain").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     lags = longest if longest <= block else block // 2
+    chains = ["variable", "chain"]
     while True:
-        own = F.floor(F.col("i") / block)
-        near = (F.col("i") % block < lags) & (own > 0) if lags < longest else F.lit(False)
-        rows = _placed(draws).withColumn("b", F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own))))
-        sums = rows.groupBy("variable", "chain", "b").applyInPandas(
-            _lag_sums(block, lags),
-            "variable string, chain int, len long, mu double, c array<double>",
-        )
+        if longest <= block:
+            ordered = F.array_sort(F.collect_list(F.struct("iteration", "value")))
+            rows = draws.groupBy(*chains).agg(ordered.alias("g")).select(
+                *chains, F.size("g").cast("long").alias("len"), F.lit(0.0).alias("mu"), F.lit(-1).cast("long").alias("b"),
+                F.lit(0).cast("long").alias("first"), F.transform("g", lambda e: e["value"]).alias("x"),
+            )
+        else:
+            own = F.floor(F.col("i") / block)
+            near = (F.col("i") % block < lags) & (own > 0) if lags < longest else F.lit(False)
+            rows = _placed(draws).withColumn("b", F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own))))
+            ordered = F.array_sort(F.collect_list(F.struct("i", (F.col("value") - F.col("mu")).alias("d"))))
+            rows = rows.groupBy(*chains, "b").agg(F.max("len").alias("len"), F.max("mu").alias("mu"), ordered.alias("g"))
+            rows = rows.select(*chains, "len", "mu", "b", F.col("g")[0]["i"].alias("first"), F.transform("g", lambda e: e["d"]).alias("x"))
+        sums = rows.mapInPandas(_lag_sums(block, lags), "variable string, chain int, len long, mu double, c array<double>")
         if longest > block:
-            one = sums.select("variable", "chain", "len", "mu", F.posexplode("c").alias("lag", "s"))
-            one = one.groupBy("variable", "chain", "lag").agg(F.sum("s").alias("s"), F.max("len").alias("len"), F.max("mu").alias("mu"))
+            one = sums.select(*chains, "len", "mu", F.posexplode("c").alias("lag", "s"))
+            one = one.groupBy(*chains, "lag").agg(F.sum("s").alias("s"), F.max("len").alias("len"), F.max("mu").alias("mu"))
             packed = F.transform(F.array_sort(F.collect_list(F.struct("lag", "s"))), lambda e: e["s"])
-            sums = one.groupBy("variable", "chain").agg(F.max("len").alias("len"), F.max("mu").alias("mu"), packed.alias("c"))
-        sized = sums.groupBy("variable").applyInPandas(_size_of(), "variable string, ess double, complete boolean")
+            sums = one.groupBy(*chains).agg(F.max("len").alias("len"), F.max("mu").alias("mu"), packed.alias("c"))
+        per = sums.groupBy("variable").agg(F.max("len").alias("n"), F.collect_list("mu").alias("mu"), F.collect_list("c").alias("c"))
+        sized = per.mapInPandas(_sizes(), "variable string, ess double, complete boolean")
         if lags >= longest or sized.where(~F.col("complete")).isEmpty():
             return sized.select("variable", F.nanvl("ess", F.lit(None)).alias("ess"))
         block, lags = block * 4, min(lags * 4, longest)

@@ -54,18 +54,25 @@ class Components:
         return F.coalesce(kept / F.nullif(kept + F.lit(self.sigma2), F.lit(0.0)), F.lit(0.0))
 
 
-def components(groups: DataFrame) -> Components:
-    """Moment estimates from a written table with ``n``, ``mean`` and ``within`` (squares around the mean) per group."""
+def components(groups: DataFrame, centred: bool = False) -> Components:
+    """Moment estimates from a written table with ``n``, ``mean`` and ``within`` (squares around the mean) per group.
+
+    Means that are ``centred`` near zero keep their digits in a sum of squares, which saves a second look at the groups.
+    """
     t = groups.agg(
         F.count("*").alias("g"),
         F.sum("n").alias("n"),
         F.sum(F.col("n").cast("double") * F.col("n")).alias("n2"),
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"),
         F.sum("within").alias("within"),
+        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("square"),
     ).first()
     if not t.g:
         return Components(0, None, None, None)
-    between = groups.agg(F.sum(F.col("n") * F.pow(F.col("mean") - F.lit(t.grand), 2))).first()[0]
+    if centred:
+        between = max(t.square - t.n * t.grand * t.grand, 0.0)
+    else:
+        between = groups.agg(F.sum(F.col("n") * F.pow(F.col("mean") - F.lit(t.grand), 2))).first()[0]
     sigma2 = t.within / (t.n - t.g) if t.n > t.g else None
     spread = t.n - t.n2 / t.n
     tau2 = None
@@ -113,7 +120,7 @@ def crossed_intercepts(
     Observations are reduced once to one row per combination of levels (count, mean, squares around it). A sweep takes
     the keys in turn: the effects of the other keys are subtracted from the means of the combinations, the rest is
     added up per level, and ``components`` of these sums pulls the level's mean towards the grand mean. Sweeps
-    end when no key's sum of squared effects changes by more than ``tolerance`` of itself, or after ``sweeps``.
+    end when no key's sum of squared effects changes by more than ``tolerance`` of itself (0: never), or after ``sweeps``.
     The effects are one row per level; they are broadcast to the combinations when few, else joined, the
     levels with most combinations apart.
 
@@ -154,12 +161,15 @@ def crossed_intercepts(
                 ),
                 "effects",
             )
-            found[i] = components(one)
+            found[i] = components(one, centred=True)
             pulled = one.withColumn("shrink", found[i].shrink())
             effects[i] = pulled.withColumn("effect", F.col("shrink") * (F.col("mean") - F.lit(found[i].grand)))
-            size = effects[i].agg(F.sum(F.col("n") * F.col("effect") * F.col("effect"))).first()[0] or 0.0
-            steady &= sizes[i] is not None and abs(size - sizes[i]) <= tolerance * max(size, sizes[i])
-            sizes[i] = size
+            if tolerance > 0:
+                size = effects[i].agg(F.sum(F.col("n") * F.col("effect") * F.col("effect"))).first()[0] or 0.0
+                steady &= sizes[i] is not None and abs(size - sizes[i]) <= tolerance * max(size, sizes[i])
+                sizes[i] = size
+            else:
+                steady = False
         if steady:
             break
     last = found[-1]

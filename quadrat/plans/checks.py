@@ -18,14 +18,15 @@ from quadrat.sources import tables
 CHAINS, ITERATIONS, WARMUP = 3, 400, 200
 
 
-def parameter_draws(spark, folder):
-    """Draws of one intercept per supplier, autocorrelated, with chains that differ a little."""
+def kept(spark, folder, thin=1):
+    """Draws of one intercept per supplier, autocorrelated, with chains that differ a little; warm-up and thinning go first."""
     levels = tables.given(spark, folder, "supplier").select("s_suppkey", "s_acctbal")
     cells = (
         pp.parallel_rows(levels, "s_suppkey")
         .withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(CHAINS))))
         .withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(ITERATIONS))))
     )
+    cells = dr.keep_draws(cells, WARMUP, thin)
     now = rnd.std_normal("s_suppkey", "chain", "iteration", stream="draw")
     last = rnd.std_normal("s_suppkey", "chain", F.col("iteration") - 1, stream="draw")
     return cells.select(
@@ -36,10 +37,6 @@ def parameter_draws(spark, folder):
     )
 
 
-def kept(spark, folder, thin=1):
-    return dr.keep_draws(parameter_draws(spark, folder), WARMUP, thin)
-
-
 def _draws_sql(thin: int = 1) -> str:
     return f"""d AS (SELECT chain::INT AS chain, iteration::INT AS iteration, 'r_supplier[' || s_suppkey || ']' AS variable,
   s_acctbal / 1000 + 0.1::DOUBLE * chain + {S.std_normal('s_suppkey', 'chain', 'iteration', stream='draw')}
