@@ -48,32 +48,36 @@ def head(df: DataFrame, order: Sequence[str], n: int = 6) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def contingency(
-    df: DataFrame, a: str, b: str, max_levels: int = 100_000, name: str = "n"
-) -> DataFrame:
-    """Rows per pair of levels, with zero for pairs that never occur; nulls are dropped.
+#: Levels of one column that travel as one array value.
+LEVELS_AT_ONCE = 10_000
+
 
-    Counts are pre-aggregated, so a hot pair costs one row per task. The levels
-    of ``b`` travel as one array; above ``max_levels`` the query fails, and the
-    table without zeros is ``df.groupBy(a, b).count()``.
+def contingency(df: DataFrame, a: str, b: str, zeros: bool = True, name: str = "n", at_once: int = LEVELS_AT_ONCE) -> DataFrame:
+    """Rows per pair of levels; nulls are dropped. Any number of levels.
+
+    Counts are pre-aggregated, so a hot pair costs one row per task. With ``zeros`` (as many rows as pairs) pairs that never
+    occur count 0: every level of ``a`` meets the levels of ``b`` in blocks of about ``at_once``, joined on the
+    block and a share of the levels of ``a``, so neither side is gathered. Without, only pairs that occur are returned.
     """
     counts = (
         df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
         .groupBy(a, b)
         .agg(F.count("*").alias(name))
     )
-    b_levels = df.where(F.col(b).isNotNull()).select(b).distinct().limit(max_levels + 1)
-    all_b = b_levels.agg(F.collect_list(b).alias("v")).select(
-        F.when(F.size("v") <= max_levels, F.col("v")).otherwise(
-            F.raise_error(F.lit(f"more than {max_levels} levels in {b}"))
-        )
-    )
-    frame = (
-        df.where(F.col(a).isNotNull())
-        .select(a)
-        .distinct()
-        .select(a, F.explode(all_b.scalar()).alias(b))
-    )
+    if not zeros:
+        return counts
+    b_levels = df.where(F.col(b).isNotNull()).select(b).distinct()
+    a_levels = df.where(F.col(a).isNotNull()).select(a).distinct()
+    blocks = -(-b_levels.count() // at_once)
+    if blocks <= 1:
+        frame = a_levels.select(a, F.explode(b_levels.agg(F.collect_list(b)).scalar()).alias(b))
+    else:
+        shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sides = b_levels.groupBy(F.pmod(F.xxhash64(b), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(b).alias("_v"))
+        sides = sides.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        each = a_levels.withColumn("_s", F.pmod(F.xxhash64(a), F.lit(shares)).cast("int"))
+        each = each.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        frame = each.join(sides.hint("merge"), ["_b", "_s"]).select(a, F.explode("_v").alias(b))
     return frame.join(counts, [a, b], "left").select(
         a, b, F.coalesce(name, F.lit(0).cast("long")).alias(name)
     )

@@ -9,42 +9,46 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrat.functions.expr import level_code
+from quadrat.operators import groups
+from quadrat.session import shared_path
+from quadrat.sources.tables import save
 
 
-def sorted_levels(df: DataFrame, col: str, max_levels: int = 1000) -> Column:
-    """All non-null levels in order, as one array value; fails above ``max_levels``."""
-    some = df.where(F.col(col).isNotNull()).select(col).distinct().limit(max_levels + 1)
-    packed = some.agg(F.array_sort(F.collect_list(col)).alias("v"))
-    return packed.select(
-        F.when(F.size("v") <= max_levels, F.col("v")).otherwise(
-            F.raise_error(F.lit(f"more than {max_levels} levels in {col}; use dense_codes"))
-        )
-    ).scalar()
+#: Codes in one array value that rows are looked up in; more levels come to the rows by a join.
+ARRAY_LEVELS = 1000
 
 
-def factor_code(df: DataFrame, col: str, out: str, max_levels: int = 1000) -> DataFrame:
-    """Code each label by its place in the sorted levels, from 1; null stays null.
+def factor_code(df: DataFrame, col: str, out: str, array_levels: int = ARRAY_LEVELS) -> DataFrame:
+    """Code each label by its place in the sorted levels, from 1; null stays null. Any number of levels.
 
-    The level list is one small array, so rows are coded in place, unshuffled.
+    Few levels are one small array, so rows are coded in place, unshuffled. More are ranked by ``dense_codes`` and
+    joined: broadcast up to the bound of group values, else hashed, with the levels that have most rows apart.
     """
-    return df.withColumn(out, F.array_position(sorted_levels(df, col, max_levels), F.col(col)).cast("int"))
-
-
-def dense_codes(df: DataFrame, col: str, splits: int = 128) -> DataFrame:
+    codes = save(dense_codes(df, col), shared_path(df.sparkSession, "codes"))
+    n = codes.count()
+    if n <= array_levels:
+        levels = codes.agg(F.array_sort(F.collect_list("level"))).scalar()
+        return df.withColumn(out, F.array_position(levels, F.col(col)).cast("int"))
+    known, missing = df.where(F.col(col).isNotNull()), df.where(F.col(col).isNull())
+    sizes = known.groupBy(F.col(col).alias("level")).agg(F.count("*").alias("_n"))
+    values = codes.join(sizes, "level").select(F.col("level").alias(col), F.col("code").cast("int").alias(out), "_n")
+    if n > groups.FEW_GROUPS:
+        values = save(values, shared_path(df.sparkSession, "codes"))
+    coded = groups.attach_group_values(known, values, [col], n <= groups.FEW_GROUPS, size="_n")
+    return coded.drop("_n").unionByName(missing.withColumn(out, F.lit(None).cast("int")))
+
+
+def dense_codes(df: DataFrame, col: str) -> DataFrame:
     """Table of (level, code) for any number of levels.
 
-    Levels are cut into ranges at a hash-ordered sample of themselves, ranked
-    inside each range and shifted by the size of the ranges before it, so no task
-    sees all levels.
+    Distinct levels are dealt by sampled ranges, as many as the session's shuffle partitions, and written; each
+    is ranked inside its range and shifted by the size of the ranges before it, so no task sees all levels.
     """
-    all_levels = df.where(F.col(col).isNotNull()).select(F.col(col).alias("level")).distinct()
-    sample = all_levels.orderBy(F.xxhash64("level"), "level").limit(splits - 1)
-    cuts = sample.agg(F.array_sort(F.collect_list("level"))).scalar()
-    placed = all_levels.withColumn("cuts", cuts).select(
-        "level", F.size(F.filter("cuts", lambda c: c <= F.col("level"))).alias("part")
-    )
+    levels = df.where(F.col(col).isNotNull()).select(F.col(col).alias("level")).distinct()
+    placed = levels.repartitionByRange("level").withColumn("part", F.spark_partition_id())
+    placed = save(placed, shared_path(df.sparkSession, "levels"))
+    # one row per range
     sizes = placed.groupBy("part").agg(F.count("*").alias("c"))
-    # at most ``splits`` rows
     sizes = sizes.withColumn("before", F.sum("c").over(W.orderBy("part")) - F.col("c"))
     ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("level")))
     return ranked.join(sizes, "part").select("level", (F.col("before") + F.col("r")).alias("code"))

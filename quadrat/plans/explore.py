@@ -62,30 +62,34 @@ SCANS = """(SELECT event_id, user_id, event_type, value,
 # ------------------------------------------------------------ sources
 
 
-@query(
-    f"""WITH d AS (SELECT * FROM {FLAGGED})
-SELECT 1 AS position, 'doc_id' AS "column", 'bigint' AS type, count(*) AS n,
-  count(*) - count(doc_id) AS n_null, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT)::BIGINT AS n_distinct,
-  min(doc_id)::DOUBLE AS min_num, max(doc_id)::DOUBLE AS max_num, NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text FROM d
-UNION ALL SELECT 2, 'lang', 'string', count(*), count(*) - count(lang),
-  count(DISTINCT lang) + max((lang IS NULL)::INT)::BIGINT, NULL, NULL, min(lang), max(lang) FROM d
-UNION ALL SELECT 3, 'source', 'string', count(*), count(*) - count(source),
-  count(DISTINCT source) + max((source IS NULL)::INT)::BIGINT, NULL, NULL, min(source), max(source) FROM d
-UNION ALL SELECT 4, 'n_chars', 'bigint', count(*), count(*) - count(n_chars),
-  count(DISTINCT n_chars) + max((n_chars IS NULL)::INT)::BIGINT, min(n_chars), max(n_chars), NULL, NULL FROM d
-UNION ALL SELECT 5, 'quality', 'int', count(*), count(*) - count(quality),
-  count(DISTINCT quality) + max((quality IS NULL)::INT)::BIGINT, min(quality), max(quality), NULL, NULL FROM d
-UNION ALL SELECT 6, 'toxic', 'int', count(*), count(*) - count(toxic),
-  count(DISTINCT toxic) + max((toxic IS NULL)::INT)::BIGINT, min(toxic), max(toxic), NULL, NULL FROM d"""
-)
+_PROFILED = (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"), ("quality", "int"), ("toxic", "int"))
+
+
+def _profile_sql() -> str:
+    rows = []
+    for i, (c, kind) in enumerate(_PROFILED, 1):
+        ends = f"min({c}), max({c})" if kind == "string" else f"min({c})::DOUBLE, max({c})::DOUBLE"
+        ends = f"NULL::DOUBLE, NULL::DOUBLE, {ends}" if kind == "string" else f"{ends}, NULL::VARCHAR, NULL::VARCHAR"
+        rows.append(
+            f"SELECT {i}, '{c}', '{kind}', count(*), count(*) - count({c}), count(DISTINCT {c}) + max(({c} IS NULL)::INT)::BIGINT, {ends} FROM d"
+        )
+    names = "position, \"column\", type, n, n_null, n_distinct, min_num, max_num, min_text, max_text"
+    return (
+        "WITH d AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)), "
+        f"p({names}) AS ({' UNION ALL '.join(rows)}) SELECT * FROM p"
+    )
+
+
+@query(_profile_sql())
 def profile(spark, folder):
-    return tables.profile(flagged_documents(spark, folder))
+    """All columns of the documents with their flags, texts included."""
+    docs = tables.given(spark, folder, "documents")
+    return tables.profile(prep.attach_attribute(docs, tables.given(spark, folder, "labels"), "doc_id"))
 
 
-@query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def save_reload(spark, folder):
-    rows = tables.given(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    return tables.save(rows, shared_path(spark, "customer"))
+    return tables.save(tables.given(spark, folder, "customer"), shared_path(spark, "customer"))
 
 
 @query(

@@ -66,8 +66,10 @@ def test_contingency_has_zeros_and_no_nulls(spark):
     df = frame(spark, [("a", 1), ("a", 1), ("b", 2), ("c", None), (None, 1)], "s string, f int")
     got = {(r["s"], r["f"]): r["n"] for r in describe.contingency(df, "s", "f").collect()}
     assert got == {("a", 1): 2, ("a", 2): 0, ("b", 1): 0, ("b", 2): 1, ("c", 1): 0, ("c", 2): 0}
-    with pytest.raises(Exception, match="more than 1 levels"):
-        describe.contingency(df, "s", "f", max_levels=1).collect()
+    blocks = {(r["s"], r["f"]): r["n"] for r in describe.contingency(df, "s", "f", at_once=1).collect()}
+    assert blocks == got
+    sparse = {(r["s"], r["f"]): r["n"] for r in describe.contingency(df, "s", "f", zeros=False).collect()}
+    assert sparse == {("a", 1): 2, ("b", 2): 1}
 
 
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
@@ -215,6 +217,17 @@ def test_summary_counts_nan_as_null(spark):
     assert (got["n"], got["n_null"], got["max"], got["mean"], got["median"]) == (2, 2, 3.0, 2.0, 2.0)
 
 
+def test_profile_counts_all_kinds_of_columns(spark):
+    rows = [(1, "x", [1, 2], None), (2, None, [1, 2], 0.0), (2, "x" * 5000, None, -0.0), (None, "é", [2], float("nan"))]
+    df = frame(spark, rows, "i int, s string, a array<int>, `d.e` double")
+    got = {r.column: (r.n, r.n_null, r.n_distinct, r.min_num, r.max_num, r.min_text, r.max_text) for r in tables.profile(df).collect()}
+    assert got["i"] == (4, 1, 3, 1.0, 2.0, None, None)
+    assert got["s"] == (4, 1, 4, None, None, "x", "é")
+    assert got["a"][:3] == (4, 1, 3) and got["d.e"][:3] == (4, 1, 3)
+    empty = tables.profile(df.limit(0)).collect()
+    assert [(r.n, r.n_distinct) for r in empty] == [(0, 0)] * 4
+
+
 def test_summary_of_an_all_null_column(spark):
     df = frame(spark, [(None,), (None,)], "x double")
     got = describe.summary6(df, "x").first()

@@ -19,16 +19,33 @@ def test_codes(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(["c", "a", "b", "a", None])], "id int, s string")
     got = [r["y"] for r in factors.factor_code(df, "s", "y").orderBy("id").collect()]
     assert got == [3, 1, 2, 1, None]
-    with pytest.raises(Exception, match="more than 2 levels"):
-        factors.factor_code(df, "s", "y", max_levels=2).collect()
+    got = factors.factor_code(df, "s", "y", array_levels=2).orderBy("id").collect()
+    assert [r["y"] for r in got] == [3, 1, 2, 1, None]
     placed = df.select("id", X.level_code("s", ("b", "a")).alias("p")).orderBy("id").collect()
     assert [r["p"] for r in placed] == [None, 2, 1, 2, None]
 
 
-@pytest.mark.parametrize("splits", [2, 7, 128])
-def test_dense_codes_rank_all_levels(spark, splits):
+@pytest.mark.parametrize("few", [10_000, 10])
+def test_codes_of_many_levels(spark, monkeypatch, few):
+    monkeypatch.setattr("quadrat.operators.groups.FEW_GROUPS", few)
+    hot = F.when(F.col("id") % 3 == 0, F.lit("k5")).when(F.col("id") % 100 != 1, F.concat(F.lit("k"), F.col("id") % 2000))
+    df = spark.range(20_000).select("id", hot.alias("s"))
+    levels = sorted({r.s for r in df.where("s is not null").collect()})
+    got = factors.factor_code(df, "s", "y").collect()
+    assert len(got) == 20_000 and all(r.y == (None if r.s is None else levels.index(r.s) + 1) for r in got[::97])
+
+
+def test_a_million_levels(spark):
+    codes = factors.dense_codes(spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).alias("v")), "v")
+    got = codes.agg(F.count("*").alias("n"), F.max("code").alias("top"), F.countDistinct("code").alias("d")).first()
+    assert (got.n, got.top, got.d) == (1_000_000, 1_000_000, 1_000_000)
+    steps = codes.orderBy("code").limit(1000).collect()
+    assert [r.level for r in steps] == sorted(r.level for r in steps)
+
+
+def test_dense_codes_rank_all_levels(spark):
     df = spark.range(3000).select(F.concat(F.lit("k"), F.col("id") % 997).alias("s")).repartition(6)
-    got = factors.dense_codes(df, "s", splits).orderBy("code").collect()
+    got = factors.dense_codes(df, "s").orderBy("code").collect()
     assert [r["level"] for r in got] == sorted(f"k{i}" for i in range(997))
     assert [r["code"] for r in got] == list(range(1, 998))
 
