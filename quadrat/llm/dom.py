@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+import xxhash
+
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -25,8 +25,8 @@ INLINE = frozenset(_words(
 ))
 #: Elements that are never part of the main text.
 NEVER = frozenset(_words(
-    "aside audio button canvas dialog fieldset footer form head iframe input map menu nav noembed noframes noscript object "
-    "option script select style svg template textarea title video xmp"
+    "aside audio canvas dialog footer head iframe input map menu nav noembed noframes object option script select style svg "
+    "template textarea title video xmp"
 ))
 #: Words in class, id or role that name what is not main text.
 HINTS = frozenset(_words(
@@ -36,6 +36,19 @@ HINTS = frozenset(_words(
     "recommendations recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription toolbar topbar widget"
 ))
+#: Not part of the main text unless inside an article.
+CONTROLS = frozenset(_words("button noscript"))
+#: Hold controls, but on some sites the whole page.
+FORMS = frozenset(_words("form fieldset"))
+#: Inside an article a name is a verdict only if it is made of hints and of these words, and not of the ambiguous ones alone.
+STRUCTURE = frozenset(_words(
+    "area bar block box button buttons container content desktop form icon icons inner item items left link links list mobile outer "
+    "panel right section slot title top bottom unit wrap wrapper"
+))
+AMBIGUOUS = frozenset(_words("discussion respond search"))
+HEADINGS = frozenset(_words("h1 h2 h3 h4 h5 h6"))
+#: Elements deeper than this are not opened; their text belongs to the element at that depth.
+DEPTH = 256
 #: The next word of a class is no hint after one of these.
 _DENIED = frozenset(_words("no non not without has with"))
 #: Plain text elements; without class or id they belong to the text that holds them.
@@ -55,30 +68,85 @@ _RESTARTS = {
 
 @dataclass
 class Element:
-    """An open element; ``label`` is its tag with class and id words, digits left out."""
+    """An open element; ``label`` is its tag with class and id words, digits left out.
+
+    ``chain`` holds the nodes from the root to this element, a node being a hash of the node above and the label.
+    """
 
     tag: str
     label: str
     dropped: bool
     region: int
     plain: bool
-    path: tuple[str, ...] = ()
+    chain: tuple[int, ...] = ()
     children: list[str] = field(default_factory=list)
+    forms: tuple[int, ...] = ()
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    chain: tuple[int, ...]
     region: int  # number of the article or main element that holds it, 0 for none
     plain: bool  # nothing but plain text elements since the region began
+    forms: tuple[int, ...] = ()
 
 
 @dataclass
 class Page:
     blocks: list[Block]
-    styles: dict[tuple[str, ...], set[tuple[str, ...]]]
+    styles: dict[tuple[int, ...], set[tuple[str, ...]]]
     mains: set[int]
+    hinted: set[int] = field(default_factory=set)  # nodes inside an article whose names hold a hint
+    doubtful: set[int] = field(default_factory=set)  # articles inside something that a hint names
+    holding: set[int] = field(default_factory=set)  # forms with an article or main element
+    inner: set[int] = field(default_factory=set)  # forms inside an article
+
+
+def next_tag(source: str, at: int, dead: set[int]) -> tuple[int, int, str, str, str] | None:
+    """Begin and end of the next markup, and its slash, name and attributes (empty for comments and the like).
+
+    Every character is looked at a bounded number of times: ``dead`` remembers the quotes from which no end of a tag was
+    found, and without any ``>`` ahead only comments are looked for.
+    """
+    while (i := source.find("<", at)) >= 0:
+        m = _OPEN.match(source, i)
+        if not m:
+            at = i + 1
+        elif m[1] or m[2] or m[3]:
+            mark = "-->" if m[1] else "]]>" if m[2] else ">"
+            j = source.find(mark, m.end())
+            return i, j + len(mark) if j >= 0 else len(source), "", "", ""
+        else:
+            end = _tag_end(source, m.end(), dead)
+            if end:
+                return i, end, m[4], m[5], source[m.end() : end - 1]
+            j = source.find("<!--", i)
+            if j < 0:
+                return None
+            at = j
+    return None
+
+
+def _tag_end(source: str, at: int, dead: set[int]) -> int:
+    """Behind the ``>`` that ends a tag, not counting those in quotes if quotes are closed; 0 if there is none."""
+    opened, pos = [], at
+    while m := _STOP.search(source, pos):
+        if m[0] == ">":
+            return m.end()
+        if m.start() in dead:
+            break
+        opened.append(m.start())
+        j = source.find(m[0], m.end())
+        if j < 0:
+            break
+        pos = j + 1
+    dead.update(opened)
+    return source.find(">", at) + 1
+
+
+def _below(chain: tuple[int, ...], label: str) -> tuple[int, ...]:
+    return (*chain, xxhash.xxh3_64_intdigest(f"{chain[-1] if chain else 0}/{label}") - (1 << 63))
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -97,6 +165,15 @@ def _hinted(names: list[list[str]], skip: frozenset[str] = frozenset()) -> bool:
     )
 
 
+def _verdict(names: list[list[str]]) -> bool:
+    """Whether a name inside an article says what it is: hints and words of structure only."""
+    for words in names:
+        hints = [w for k, w in enumerate(words) if w in HINTS and not (k and words[k - 1] in _DENIED)]
+        if hints and all(w in HINTS or w in STRUCTURE for w in words) and not all(w in AMBIGUOUS for w in hints):
+            return True
+    return False
+
+
 def _hidden(attributes: dict[str, str]) -> bool:
     style = attributes.get("style", "").replace(" ", "").lower()
     return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style
@@ -111,7 +188,9 @@ def read(source: str) -> Page:
     stack: list[Element] = [Element("", "", False, 0, False)]
     page = Page([], {}, set())
     parts: list[str] = []
-    regions = 0
+    regions = forms = 0
+    dead: set[int] = set()
+    unopened: Counter = Counter()
 
     def flush() -> None:
         if parts:
@@ -119,7 +198,7 @@ def read(source: str) -> Page:
             parts.clear()
             if text and not stack[-1].dropped:
                 top = next(e for e in reversed(stack) if e.tag not in INLINE)
-                page.blocks.append(Block(text, top.path, top.region, top.plain))
+                page.blocks.append(Block(text, top.chain, top.region, top.plain, top.forms))
 
     def close(k: int) -> None:
         """Close all elements from position ``k`` of the stack."""
@@ -127,7 +206,7 @@ def read(source: str) -> Page:
             flush()
         for e in reversed(stack[k:]):
             if e.tag not in INLINE and not e.dropped:
-                page.styles.setdefault(e.path, set()).add(tuple(e.children))
+                page.styles.setdefault(e.chain, set()).add(tuple(e.children))
         del stack[k:]
 
     def text(piece: str) -> None:
@@ -135,14 +214,17 @@ def read(source: str) -> Page:
             parts.append(html.unescape(piece))
 
     at = 0
-    while found := _TOKEN.search(source, at):
-        text(source[at : found.start()])
-        at = found.end()
-        slash, tag, rest = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+    while found := next_tag(source, at, dead):
+        start, end, slash, tag, rest = found
+        text(source[at:start])
+        at = end
         if not tag:
             continue
         tag = tag.lower()
         if slash:
+            if unopened[tag]:
+                unopened[tag] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     close(k)
@@ -162,32 +244,56 @@ def read(source: str) -> Page:
         attributes = _attributes(rest) if rest else {}
         names = _named(attributes) if rest else []
         inside = top.region > 0
-        dropped = top.dropped or tag in NEVER or _hidden(attributes)
-        if not dropped and tag not in ("html", "body", "article", "main"):
-            dropped = (tag == "header" and not inside) or _hinted(names) or (not inside and any("header" in n for n in names))
-        elif tag == "article" and not dropped:
-            dropped = any(w in ("comment", "comments", "reply", "replies") for n in names for w in n)
+        hard = tag in NEVER or _hidden(attributes) or (tag in CONTROLS and not inside)
+        named = False
+        if tag == "article":
+            hard = hard or any(w in ("comment", "comments", "reply", "replies") for n in names for w in n)
+        elif tag not in ("html", "body", "main") and tag not in HEADINGS | FORMS:
+            if inside:
+                named = _verdict(names)
+            else:
+                named = tag == "header" or _hinted(names) or any("header" in n for n in names)
+        elif tag in HEADINGS and not inside:
+            named = _hinted(names)
+        dropped = top.dropped or hard or named
         main = tag == "main" or ["main"] in names and attributes.get("role", "").lower() == "main"
-        begins = not dropped and (tag == "article" or main) and not (inside and top.region not in page.mains)
+        # an article stands even inside something that a mere name has dropped
+        lost = dropped and not hard and tag == "article" and not any(e.tag in NEVER for e in stack[1:] if e.dropped)
+        begins = (not dropped or lost) and (tag == "article" or main) and not (inside and top.region not in page.mains)
         if begins:
             regions += 1
             if main and tag != "article":
                 page.mains.add(regions)
+            if lost:
+                page.doubtful.add(regions)
+                dropped = False
+            page.holding.update(top.forms)
+        raw = tag in RAW and not rest.endswith("/")
+        if len(stack) > DEPTH and not (dropped and not top.dropped) and not raw and not begins:
+            unopened[tag] += 1
+            continue
         label = tag + "".join(sorted({f".{w}" for n in names for w in n}))
         plain = not begins and tag in PLAIN and not names and (inside and (top.plain or top.tag in ("article", "main") or top.tag in INLINE))
-        e = Element(tag, label, dropped, regions if begins else top.region, plain)
+        e = Element(tag, label, dropped, regions if begins else top.region, plain, forms=top.forms)
+        if tag in FORMS and not dropped:
+            forms += 1
+            e.forms = (*top.forms, forms)
+            if inside and top.region not in page.mains:
+                page.inner.add(forms)
         if tag in INLINE:
-            e.path, e.plain, e.children = top.path, top.plain, top.children
+            e.chain, e.plain, e.children = top.chain, top.plain, top.children
         else:
-            e.path = (*top.path, label)
+            e.chain = _below(top.chain, label) if len(top.chain) < DEPTH else top.chain
             if not top.children or top.children[-1] != label:
                 top.children.append(label)
             if begins:
                 e.plain = True
+            elif inside and tag not in HEADINGS and _hinted(names):
+                page.hinted.add(e.chain[-1])
         stack.append(e)
-        if tag in RAW and not rest.endswith("/"):
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|\\Z)", re.I).search(source, at)
-            at = end.start() if end else len(source)
+        if raw:
+            close_ = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|\\Z)", re.I).search(source, at)
+            at = close_.start() if close_ else len(source)
     text(source[at:])
     close(1)
     flush()
@@ -196,11 +302,12 @@ def read(source: str) -> Page:
 
 def _close_implied(stack: list[Element], tag: str, close) -> None:
     """A block closes an open paragraph; items, cells and terms close their like."""
+    # only inline elements can be open above a paragraph
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == "p":
             close(k)
             break
-        if stack[k].tag in _HOLDERS:
+        if stack[k].tag in _HOLDERS or stack[k].tag not in INLINE:
             break
     closes = _CLOSES.get(tag)
     if closes:
@@ -213,16 +320,19 @@ def _close_implied(stack: list[Element], tag: str, close) -> None:
 
 
 def main_blocks(page: Page) -> list[Block]:
-    """The blocks of the article: the longest article element, else the main element, else all."""
-    def of(regions) -> list[Block]:
-        sizes: dict[int, int] = {}
-        for b in page.blocks:
-            if b.region and (regions is None or b.region in regions):
-                sizes[b.region] = sizes.get(b.region, 0) + len(b.text)
-        if not sizes:
-            return []
-        best = max(sizes, key=lambda r: (sizes[r], -r))
-        return [b for b in page.blocks if b.region == best]
-
-    articles = {b.region for b in page.blocks if b.region} - page.mains
-    return of(articles) or of(page.mains) or page.blocks
+    """The blocks of all articles, else of the main elements, else all; without forms.
+
+    A form that holds an article, or outside of articles at least half of the text that is left, is a container like
+    others. Articles inside something that a name has dropped count only where there is nothing else.
+    """
+    total = sum(len(b.text) for b in page.blocks)
+    sizes: Counter = Counter()
+    for b in page.blocks:
+        for f in b.forms:
+            sizes[f] += len(b.text)
+    real = {f for f, n in sizes.items() if f not in page.holding and (f in page.inner or 2 * n < total)}
+    blocks = [b for b in page.blocks if not real.intersection(b.forms)]
+    articles = [b for b in blocks if b.region and b.region not in page.mains]
+    sure = [b for b in articles if b.region not in page.doubtful]
+    mains = [b for b in blocks if b.region in page.mains]
+    return sure or mains or articles or blocks

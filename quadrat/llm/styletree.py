@@ -7,11 +7,14 @@ sequences of children it has on different pages, its contents the text blocks it
 * its content is as important as one less the mean entropy of its blocks over the pages: a block that
   stands on every page counts 0, one that stands on a single page counts 1.
 
-A node's importance weighs both (``GAMMA``). A branch in which no node with text reaches ``NOISE`` is cut from every
-page of the host, unless that would cut more than half of a page's text. Pages with the same text are one
+A node's importance weighs both (``GAMMA``), halved if its name hints at something else than text (``HINTED``). A
+branch in which no node with text reaches ``NOISE`` is cut from every page of the host. Plain paragraphs, headings,
+lists and tables of an article are cut one by one: if a block's own importance, one less the
+logarithm to base ``m`` of the number of pages that show it, is ``REPEATED`` at most, so that it stands on nearly all
+pages of the host. Pages with the same text are one
 page of the tree, and a host needs ``PAGES`` pages to be judged. What markup names as menu, header,
-footer, sidebar, notice, advert, form, script or comment goes beforehand, and where an article is marked, only
-it is looked at; its plain paragraphs, headings, lists and tables are never cut.
+footer, sidebar, notice, advert, form, script or comment goes beforehand, and where articles are marked, only
+they are looked at. Inside an article a name is such a verdict only if it says nothing else.
 
 The tree is a table of counts made by partial sums; a host with a third of all pages is no hot
 spot, since a task sends one row per node and block. The list of cut nodes goes to every task while
@@ -36,6 +39,8 @@ from quadrat.llm.dom import Block, Page, main_blocks, read
 
 #: Weight of content in a node's importance, importance below which a node is noise, pages to judge a host.
 GAMMA, NOISE, PAGES = 0.9, 0.25, 3
+#: What a hint leaves of a node's importance, and the importance up to which a plain block is a repeated one.
+HINTED, REPEATED = 0.5, 0.1
 #: Cut nodes that may go to every task (about 40 bytes each).
 NODES = 200_000
 
@@ -51,8 +56,9 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _node(path: tuple[str, ...]) -> int:
-    return _hash("/".join(path))
+def repeated_key(block: Block) -> int:
+    """Stands for a plain block of a node among the nodes to cut."""
+    return _hash(f"{block.chain[-1] if block.chain else 0}:{block.text}")
 
 
 def _parsed(source: str | None) -> tuple[Page, list[Block]]:
@@ -61,41 +67,46 @@ def _parsed(source: str | None) -> tuple[Page, list[Block]]:
 
 
 def page_nodes(source: str | None):
-    """What a page adds to its host's tree: digest, then nodes with the nodes above them, styles and contents.
+    """What a page adds to its host's tree: digest, then nodes with the nodes above them, styles, contents, and more.
 
-    Contents are whole blocks, compared in lower case and with all digits alike.
+    The last two are the keys of its plain blocks, and the nodes with hints. Contents are whole blocks, compared in
+    lower case and with all digits alike; plain blocks are compared as they are.
     """
     page, blocks = _parsed(source)
-    paths = {p[:k] for b in blocks for p in [b.path] for k in range(1, len(p) + 1)}
-    above = [[_node(p[:k]) for k in range(1, len(p) + 1)] for p in sorted(paths)]
-    styles = [(_node(p), _hash("|".join(s))) for p in sorted(paths) for s in sorted(page.styles.get(p, ()))]
-    contents = sorted({(_node(b.path), _hash(re.sub(r"\d", "0", b.text.lower()))) for b in blocks})
-    return _hash("\n".join(b.text for b in blocks)), above, styles, contents
+    chains = {b.chain[:k] for b in blocks for k in range(1, len(b.chain) + 1)}
+    above = [list(c) for c in sorted(chains)]
+    styles = [(c[-1], _hash("|".join(s))) for c in sorted(chains) for s in sorted(page.styles.get(c, ()))]
+    contents = sorted({(b.chain[-1] if b.chain else 0, _hash(re.sub(r"\d", "0", b.text.lower()))) for b in blocks})
+    plain = sorted({repeated_key(b) for b in blocks if b.plain})
+    hinted = sorted(page.hinted & {n for c in chains for n in c})
+    return _hash("\n".join(b.text for b in blocks)), above, styles, contents, plain, hinted
 
 
 def trees(pages: DataFrame, url: str, source: str) -> DataFrame:
-    """One row per page: ``host, digest, above, style_of, style, content_of, content``."""
+    """One row per page: ``host, digest, above, style_of, style, content_of, content, plain, hinted``."""
     kind = pa.schema([
         ("host", pa.string()), ("digest", pa.int64()), ("above", pa.list_(pa.list_(pa.int64()))),
-        *[(n, pa.list_(pa.int64())) for n in ("style_of", "style", "content_of", "content")],
+        *[(n, pa.list_(pa.int64())) for n in ("style_of", "style", "content_of", "content", "plain", "hinted")],
     ])
 
     def run(batches):
         for batch in batches:
             rows = []
             for u, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                digest, above, styles, contents = page_nodes(s)
-                rows.append((host_of(u), digest, above, [a for a, _ in styles], [b for _, b in styles], [a for a, _ in contents], [b for _, b in contents]))
+                digest, above, styles, contents, plain, hinted = page_nodes(s)
+                sides = [[x[k] for x in part] for part in (styles, contents) for k in (0, 1)]
+                rows.append((host_of(u), digest, above, *sides, plain, hinted))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
     return pages.select(url, source).mapInArrow(
-        run, "host string, digest long, above array<array<long>>, style_of array<long>, style array<long>, content_of array<long>, content array<long>"
+        run, "host string, digest long, above array<array<long>>, "
+        + ", ".join(f"{c} array<long>" for c in ("style_of", "style", "content_of", "content", "plain", "hinted"))
     )
 
 
 def noise(tree: DataFrame, least_pages: int = PAGES, below: float = NOISE, gamma: float = GAMMA) -> DataFrame:
-    """``host, node``: roots of branches (and all nodes in them) without an important node."""
+    """``host, node``: nodes of branches without an important node, and keys of repeated plain blocks."""
     distinct = tree.where("host <> '' and size(content) > 0").dropDuplicates(["host", "digest"])
     distinct = stored(distinct, "site-pages")
     hosts = distinct.groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= least_pages)
@@ -105,29 +116,37 @@ def noise(tree: DataFrame, least_pages: int = PAGES, below: float = NOISE, gamma
         pairs = distinct.select("host", F.explode(F.arrays_zip(F.col(of).alias("node"), F.col(what).alias("what"))).alias("x"))
         return pairs.groupBy("host", "x.node", "x.what").agg(F.count("*").alias("k"))
 
+    apart = 1 - F.log("k") / F.log("m")
     content = seen("content_of", "content").join(hosts, "host")
-    content = content.groupBy("host", "node").agg((1 - F.avg(F.log("k") / F.log("m"))).alias("content"))
+    content = content.groupBy("host", "node").agg(F.avg(apart).alias("content"))
     style = seen("style_of", "style").join(hosts, "host")
     k = F.col("k").cast("double")
     style = style.groupBy("host", "node").agg(
         ((F.log(F.sum(k)) - F.sum(k * F.log(k)) / F.sum(k)) / F.log(F.max("m"))).alias("style")
     )
-    own = content.join(style, ["host", "node"], "left")
-    own = own.select("host", "node", (gamma * F.col("content") + (1 - gamma) * F.coalesce("style", F.lit(0.0))).alias("weight"))
+    hinted = distinct.select("host", F.explode("hinted").alias("node")).distinct().withColumn("hint", F.lit(HINTED))
+    own = content.join(style, ["host", "node"], "left").join(hinted, ["host", "node"], "left")
+    weight = gamma * F.col("content") + (1 - gamma) * F.coalesce("style", F.lit(0.0))
+    own = own.select("host", "node", (weight * F.coalesce("hint", F.lit(1.0))).alias("weight"))
     chains = distinct.select("host", F.explode("above").alias("above")).distinct()
     chains = chains.select("host", F.element_at("above", -1).alias("node"), "above")
     branch = own.join(chains, ["host", "node"]).select("host", "weight", F.explode("above").alias("node"))
-    return branch.groupBy("host", "node").agg(F.max("weight").alias("weight")).where(F.col("weight") < below).select("host", "node")
+    low = branch.groupBy("host", "node").agg(F.max("weight").alias("weight")).where(F.col("weight") < below).select("host", "node")
+    plain = distinct.select("host", F.explode("plain").alias("node")).groupBy("host", "node").agg(F.count("*").alias("k"))
+    repeated = plain.join(hosts, "host").where(apart <= REPEATED).select("host", "node")
+    return low.unionByName(repeated)
 
 
 def main_text(source: str | None, cut) -> str:
-    """The page's text without the branches whose node is in ``cut``."""
+    """The page's text without the branches and blocks in ``cut``."""
     _, blocks = _parsed(source)
-    if cut:
-        kept = [b for b in blocks if b.plain or not any(_node(b.path[:k]) in cut for k in range(1, len(b.path) + 1))]
-        if 2 * sum(len(b.text) for b in kept) >= sum(len(b.text) for b in blocks):
-            blocks = kept
-    return "\n".join(b.text for b in blocks)
+
+    def stays(b: Block) -> bool:
+        if b.plain:
+            return repeated_key(b) not in cut
+        return not any(n in cut for n in b.chain)
+
+    return "\n".join(b.text for b in blocks if not cut or stays(b))
 
 
 def extracted(df: DataFrame, url: str = "url", source: str = "html", nodes: int = NODES, text: str = "text",
@@ -157,7 +176,11 @@ def extracted(df: DataFrame, url: str = "url", source: str = "html", nodes: int
     rows = rows.withColumn(key, F.xxhash64(u, s))
 
     def nodes_of(urls, sources):
-        return [[host_of(w) for w in urls.to_pylist()], [[a[-1] for a in page_nodes(x)[1]] for x in sources.to_pylist()]]
+        nodes = []
+        for x in sources.to_pylist():
+            _, above, _, _, plain, _ = page_nodes(x)
+            nodes.append([a[-1] for a in above] + plain)
+        return [[host_of(w) for w in urls.to_pylist()], nodes]
 
     asked = appended(rows.select(u, s, key), nodes_of, "host string, nodes array<bigint>", [u, s], [u, s])
     cuts = asked.select(key, "host", F.explode("nodes").alias("node")).join(found, ["host", "node"])

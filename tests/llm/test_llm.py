@@ -434,6 +434,113 @@ def test_site_style_tree(spark):
         assert (got[90].text, got[91].text, got[92].text) == ("", "", "a < b")
 
 
+def text_of(source):
+    return styletree.main_text(source, None)
+
+
+@pytest.mark.parametrize(("inside", "stays"), [
+    ('<section id="discussion"><p>d</p></section>', "d"), ('<section class="related-work">r</section>', "r"),
+    ('<div class="share-price">12</div>', "12"), ('<h2 id="search">S</h2>', "S"), ("<noscript>n</noscript>", "n"),
+    ('<table class="comment-counts"><tr><td>3</td></tr></table>', "3"), ("<button>b</button>", "b"), ('<div class="ad">a</div>', ""),
+    ('<div class="ads-box">a</div>', ""), ('<section class="comments"><p>c</p></section>', ""), ("<aside>x</aside>", ""),
+    ('<div class="cookie-notice">n</div>', ""), ("<form><p>f</p></form>", ""), ("<footer>f</footer>", ""),
+])
+def test_names_inside_an_article(inside, stays):
+    assert text_of(f"<nav>m</nav><article><p>story</p>{inside}</article>") == "\n".join(["story", stays][: 1 + bool(stays)])
+
+
+def test_forms_and_several_articles():
+    assert text_of('<body><form action=x><article><p>a story</p><input value=1></article></form>') == "a story"
+    assert text_of("<form><p>the whole page</p></form><p>x</p>") == "the whole page\nx"
+    assert text_of("<form><p>search</p></form><p>the story, longer than any form</p>") == "the story, longer than any form"
+    assert text_of("<article><p>one</p></article><p>x</p><article><p>two</p></article>") == "one\ntwo"
+    assert text_of('<div class="share-page"><article>one</article></div>') == "one"
+    assert text_of('<div class="related"><article>tease</article></div><article>real</article>') == "real"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    sources = [
+        "<div " * 10**5, "<b" * 10**5, '<a "> "' * 5 * 10**4, "<a '\">" * 5 * 10**4, "<div>" * 10**5, "<b>" * 10**5 + "<h1></h1>" * 10**4,
+        "<div>" * 10**4 + "</x>" * 5 * 10**4, "<i><div>" + "<b>" * 10**4 + "</i>" * 10**4, "<" * 10**5, "<p>t" * 5 * 10**4,
+    ]
+    start = time.process_time()
+    assert text_of(sources[0]) == " ".join(sources[0].split())
+    assert time.process_time() - start < 1
+    for source in sources:
+        text_of(source)
+        styletree.page_nodes(source)
+    assert time.process_time() - start < 60
+
+
+def noise_by_hand(pages):
+    """Cut nodes and repeated blocks of one host, from the definition, page by page."""
+    found = {}
+    for source in pages:
+        digest, above, styles, contents, plain, hinted = styletree.page_nodes(source)
+        if contents:
+            found[digest] = (above, styles, contents, plain, hinted)
+    m = len(found)
+    blocks, shapes, chains, keys, hints = {}, {}, {}, Counter(), set()
+    for d, (above, styles, contents, plain, hinted) in found.items():
+        hints.update(hinted)
+        for c in above:
+            chains[c[-1]] = c
+        keys.update(plain)
+        for node, content in contents:
+            blocks.setdefault(node, {}).setdefault(content, set()).add(d)
+        for node, style in styles:
+            shapes.setdefault(node, {}).setdefault(style, set()).add(d)
+
+    def of(node):
+        content = np.mean([1 - math.log(len(p)) / math.log(m) for p in blocks[node].values()])
+        counts = np.array([len(p) for p in shapes.get(node, {}).values()] or [1], float)
+        shares = counts / counts.sum()
+        style = float(-(shares * np.log(shares)).sum() / math.log(m))
+        return (styletree.GAMMA * content + (1 - styletree.GAMMA) * style) * (styletree.HINTED if node in hints else 1)
+
+    best = {}
+    for node in blocks:
+        for up in chains[node]:
+            best[up] = max(best.get(up, 0.0), of(node))
+    out = {node for node, w in best.items() if w < styletree.NOISE}
+    out |= {key for key, k in keys.items() if 1 - math.log(k) / math.log(m) <= styletree.REPEATED}
+    return out
+
+
+STORY = """<body><div class="top"><p>hello</p></div><article><h1>T{n}</h1><p>story {w}</p><p>Sign up for our letter</p>
+<div class="share-price">price {w}</div><div class="note-search">find</div><h2>Conclusion</h2><p>end {w}{w}</p></article></body>"""
+SHORT = '<body><div class="links"><a>Home</a> <a>News</a> and a very long row of links that outweighs all</div><div class="s"><p>{w}</p></div></body>'
+
+
+@pytest.mark.parametrize("page", [STORY, SHORT])
+def test_importance_by_hand(spark, page):
+    words = ["ash", "birch", "cedar", "elm", "fir", "oak", "pine", "yew"]
+    pages = [page.format(n=i, w=w) if i % 4 else page.format(n=i, w=w).replace("<h2>Conclusion</h2>", "") for i, w in enumerate(words)]
+    pages += pages[:2]  # equal pages are one
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)] + [(50, "http://other.example/", pages[0]), (51, None, pages[0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    cut = noise_by_hand(pages)
+    found = {(r.host, r.node) for r in styletree.noise(styletree.trees(df, "url", "html")).collect()}
+    assert found == {("h.example", n) for n in cut} and found
+    for size in (10**6, 0):
+        got = {r.page_id: r.text for r in styletree.extracted(df, nodes=size).collect()}
+        assert got == {i: styletree.main_text(p, cut if u and "h.ex" in u else None) for i, u, p in rows}
+    if page is STORY:  # the repeated plain paragraph goes, a heading of most pages and the rest stay
+        assert got[1] == "T1\nstory birch\nprice birch\nConclusion\nend birchbirch"
+        assert "Sign up" in got[50] and "Sign up" in got[51]
+    else:  # a menu without a name goes, though it is most of the page
+        assert got[1] == "birch"
+
+
+def test_site_style_tree_empty(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string, Text string")
+    assert styletree.extracted(df.drop("Text")).count() == 0
+    with pytest.raises(ValueError, match="exist already"):
+        styletree.extracted(df)
+
+
 def test_pipeline_stages(spark, tables_dir):
     """Every stage keeps the columns of documents; what it drops is what its operator says."""
     docs = spark.read.parquet(f"{tables_dir}/documents.parquet")
