@@ -220,6 +220,85 @@ def prior_sensitivity(
     )
 
 
+def gaussian_mode(
+    design_rows: DataFrame,
+    terms: Sequence[str],
+    intercept: tuple[float, float],
+    slope_sd: float,
+    sigma_rate: float,
+    response: str = "y",
+) -> DataFrame:
+    """Posterior mode of a Gaussian regression with a lognormal intercept and an exponential residual spread.
+
+    The intercept (the level at the covariates' means) is lognormal with the two given parameters, slopes are
+    normal(0, ``slope_sd``), the residual standard deviation is exponential with rate ``sigma_rate``. The prior of the
+    intercept and the spread are not conjugate, so the mode is found by damped Newton steps; these need the moments
+    of one aggregate only, never the rows again. Steps run on the logarithms of intercept and spread, where the
+    posterior density of the original parameters is maximised. Returns ``term`` (intercept, terms, sigma),
+    ``estimate``, ``std_error`` (from the curvature, on the original scale) and ``gradient`` (0 at the mode, per
+    standard error); a term that the ones before it determine gets nulls.
+    """
+    terms = list(terms)
+    centre, width = intercept
+
+    def solve(np, n, mean, cross, usable):
+        x, y, k = usable, len(terms), len(usable)
+        sxx, sxy, syy, level = cross[np.ix_(x, x)], cross[x, y], cross[y, y], mean[y]
+
+        def parts(point):
+            """Logarithm of the density, its gradient and curvature at (log intercept, slopes, log spread)."""
+            alpha, b, tau = point[0], point[1 : 1 + k], point[-1]
+            a, s, w = np.exp(alpha), np.exp(tau), np.exp(-2 * tau)
+            miss, rest = level - a, sxy - sxx @ b
+            square = syy - 2 * b @ sxy + b @ sxx @ b + n * miss * miss
+            value = -n * tau - square * w / 2 - alpha - (alpha - centre) ** 2 / (2 * width**2)
+            value += -(b @ b) / (2 * slope_sd**2) - sigma_rate * s
+            g = np.empty(k + 2)
+            g[0] = n * miss * a * w - 1 - (alpha - centre) / width**2
+            g[1:-1] = rest * w - b / slope_sd**2
+            g[-1] = -n + square * w - sigma_rate * s
+            h = np.zeros((k + 2, k + 2))
+            h[0, 0] = n * a * w * (miss - a) - 1 / width**2
+            h[1:-1, 1:-1] = -sxx * w - np.eye(k) / slope_sd**2
+            h[-1, -1] = -2 * square * w - sigma_rate * s
+            h[0, -1] = h[-1, 0] = -2 * n * miss * a * w
+            h[1:-1, -1] = h[-1, 1:-1] = -2 * rest * w
+            return value, g, h
+
+        ols = np.linalg.solve(sxx, sxy) if k else np.zeros(0)
+        left = max(syy - ols @ sxy, 1e-12 * max(syy, 1.0)) / max(n, 1)
+        point = np.concatenate([[np.log(max(level, np.exp(centre - 3 * width)))], ols, [0.5 * np.log(left)]])
+        value, g, h = parts(point)
+        for _ in range(200):
+            # a curvature that is not negative is turned until it is
+            vals, vecs = np.linalg.eigh(h)
+            step = vecs @ ((vecs.T @ g) / np.maximum(np.abs(vals), 1e-12))
+            if g @ step <= 1e-18:  # squared distance to the mode in standard errors
+                break
+            size = 1.0
+            while size > 1e-12:
+                new = parts(point + size * step)
+                if new[0] >= value + 1e-4 * size * (g @ step):
+                    break
+                # where the density has no more digits, its gradient decides
+                if abs(new[0] - value) <= 1e-9 * (1 + abs(value)) and abs(new[1] @ step) < abs(g @ step):
+                    break
+                size /= 2
+            else:
+                break
+            point = point + size * step
+            value, g, h = new
+        scale = np.concatenate([[np.exp(point[0])], np.ones(k), [np.exp(point[-1])]])
+        error = np.sqrt(np.maximum(np.diag(np.linalg.inv(-h)), 0.0))
+        names = ["intercept", *terms, "sigma"]
+        at = [0, *[1 + x.index(j) if j in x else -1 for j in range(len(terms))], k + 1]
+        full = {"estimate": np.concatenate([[scale[0]], point[1:-1], [scale[-1]]]), "std_error": error * scale, "gradient": g * error}
+        return {"term": names} | {c: [v[i] if i >= 0 else np.nan for i in at] for c, v in full.items()}
+
+    found = _on_moments(design_rows, terms, response, solve, "term string, estimate double, std_error double, gradient double")
+    return found.select("term", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("estimate", "std_error", "gradient")])
+
+
 # ------------------------------------------------------------ group effects
 
 

@@ -224,6 +224,29 @@ def rand_slope(spark, folder):
     return round_all(models.random_slope(rows, "l_suppkey", "x", "y"))
 
 
+# lognormal(0.3, 0.4) intercept, normal(0, 0.5) slope, exponential(2) spread: the mode by repeated single Newton steps
+_MODE_SQL = """WITH RECURSIVE r AS (SELECT p_retailprice / 1000 AS y, p_partkey / 1000 AS x FROM part),
+m AS (SELECT count(*)::DOUBLE AS n, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM r),
+i(k, alpha, b, tau) AS (SELECT 0, ln(my), sxy / sxx, 0.5 * ln((syy - sxy * sxy / sxx) / n) FROM m
+  UNION ALL SELECT k + 1,
+    alpha - (n * (my - exp(alpha)) * exp(alpha - 2 * tau) - 1 - (alpha - 0.3) / 0.16)
+      / (n * exp(alpha - 2 * tau) * (my - 2 * exp(alpha)) - 1 / 0.16),
+    sxy / (sxx + exp(2 * tau) / 0.25),
+    tau - (-n + (syy - 2 * b * sxy + b * b * sxx + n * pow(my - exp(alpha), 2)) * exp(-2 * tau) - 2 * exp(tau))
+      / (-2 * (syy - 2 * b * sxy + b * b * sxx + n * pow(my - exp(alpha), 2)) * exp(-2 * tau) - 2 * exp(tau))
+  FROM i, m WHERE k < 100),
+e AS (SELECT * FROM i WHERE k = 100)
+SELECT 'intercept' AS term, round(exp(alpha), 6) AS estimate FROM e UNION ALL SELECT 'x', round(b, 6) + 0.0 FROM e
+UNION ALL SELECT 'sigma', round(exp(tau), 6) FROM e"""
+
+
+@query(_MODE_SQL)
+def gaussian_mode(spark, folder):
+    """Retail prices on part numbers with a lognormal intercept and an exponential spread."""
+    rows = tables.given(spark, folder, "part").select((F.col("p_retailprice") / 1000).alias("y"), (F.col("p_partkey") / 1000).alias("x"))
+    return round_all(models.gaussian_mode(rows, ["x"], (0.3, 0.4), 0.5, 2.0).select("term", "estimate"))
+
+
 CROSSED = ("o_custkey", "month", "o_orderpriority")
 CROSSED_SWEEPS = 3
 

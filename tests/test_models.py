@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quadrat.operators import effects, design as de
@@ -187,3 +188,37 @@ def test_residuals_sum_to_zero(spark, table):
     fit = models.least_squares(d, names)
     got = models.residuals(d, names, fit).agg({"residual": "sum"}).first()[0]
     assert abs(got) < 1e-6
+
+
+@pytest.mark.parametrize(("shift", "rate"), [(0.0, 1.0), (-3.0, 50.0)])
+def test_gaussian_mode(spark, shift, rate):
+    """The mode is a stationary point of the density written out, and no point around it is better."""
+    rng = np.random.default_rng(8)
+    n = 300
+    x = rng.normal(size=(n, 2)) + 5
+    y = 4 + shift + x @ [0.7, -0.3] - 5 * 0.4 + rng.normal(0, 0.8, n)
+    pdf = pd.DataFrame({"x1": x[:, 0], "x2": x[:, 1], "x3": x[:, 0] * 2, "y": y})
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = {r.term: r for r in models.gaussian_mode(df, ["x1", "x2", "x3"], (1.5, 0.4), 0.5, rate).collect()}
+    assert got["x3"].estimate is None and list(got) == ["intercept", "x1", "x2", "x3", "sigma"]
+    centred = x - x.mean(axis=0)
+
+    def density(a, b1, b2, s):
+        rest = y - a - centred @ [b1, b2]
+        value = -n * np.log(s) - (rest @ rest) / (2 * s * s) - np.log(a) - (np.log(a) - 1.5) ** 2 / (2 * 0.4**2)
+        return value - (b1 * b1 + b2 * b2) / (2 * 0.5**2) - rate * s
+
+    mode = np.array([got[t].estimate for t in ("intercept", "x1", "x2", "sigma")])
+    assert (mode[[0, 3]] > 0).all() and all(abs(got[t].gradient) < 1e-6 for t in ("intercept", "x1", "x2", "sigma"))
+    best = density(*mode)
+    for k in range(4):
+        for step in (-1e-3, 1e-3):
+            near = mode.copy()
+            near[k] += step
+            assert density(*near) < best
+    errors = [got[t].std_error for t in ("intercept", "x1", "x2", "sigma")]
+    for k, e in enumerate(errors):  # curvature along an axis is that of the density, up to the other parameters
+        up, down = mode.copy(), mode.copy()
+        up[k] += 0.01 * e
+        down[k] -= 0.01 * e
+        assert -(density(*up) + density(*down) - 2 * best) / (0.01 * e) ** 2 * e * e > 0.98
