@@ -31,6 +31,7 @@ def births(spark, folder):
         (F.col("c_acctbal") / 100).alias("mother_age"),
         (F.col("c_nationkey") / 24.0).alias("rank"),
         (F.col("o_totalprice") / 100000).alias("ibi"),
+        F.coalesce(F.nullif(F.col("c_nationkey"), F.lit(0)) / 24.0, F.lit(0.5)).alias("rank2"),
     )
 
 
@@ -87,15 +88,54 @@ def births_group_effects(spark, folder):
     return round_all(studies.interval_group_effects(rows, "m1", SEXES))
 
 
-@query(
-    f"WITH {_births_fit()} SELECT 'intercept' AS term, round(m_y - ("
-    + " + ".join(f"b{i} * m_x{i}" for i in range(1, 7))
-    + "), 7) + 0.0 AS uniform FROM c"
-    + "".join(f" UNION ALL SELECT '{n}', round(b{i}, 7) + 0.0 FROM c" for i, n in enumerate(_BIRTH_TERMS, 1))
-)
+@query(_vif_sql(_BIRTHS.replace("c_nationkey / 24.0::DOUBLE", "coalesce(nullif(c_nationkey, 0) / 24.0::DOUBLE, 0.5)"), _BIRTH_TERMS[:4]))
+def births_vif_m2(spark, folder):
+    """The second study takes a rank that is filled where it is missing."""
+    rows = studies.prepare_intervals(births(spark, folder), "m2")
+    return round_all(studies.interval_vif(rows, "m2", SEXES))
+
+
+@query(_vif_sql(_BIRTHS + ", f AS (SELECT x1, x3 AS x2, x4 AS x3 FROM d)", ("zage", "off_sex_O", "off_sex_P"), "f"))
+def births_vif_m3(spark, folder):
+    rows = studies.prepare_intervals(births(spark, folder), "m3")
+    return round_all(studies.interval_vif(rows, "m3", SEXES))
+
+
+def _births_fits_sql() -> str:
+    """Least squares, then the same sweep with the residual variance over the prior's on the diagonal."""
+    xs = [f"x{i}" for i in range(1, 7)]
+    steps, last = S.sweep("a", 7, 6, "w_")
+    means = ", ".join(f"avg({x}) AS m_{x}" for x in [*xs, "y"])
+    ctes = [_BIRTHS, f"a AS ({S.moment_matrix([*xs, 'y'], 'd')})", f"t AS (SELECT count(*) AS n, {means} FROM d)", *steps]
+    ctes.append(f"v AS (SELECT greatest(a_7_7, 0) / (n - 7) AS s2 FROM {last}, t)")
+    ends = {}
+    for prior, sd in studies.SLOPE_SD.items():
+        if sd == float("inf"):
+            ends[prior] = last
+            continue
+        cells = ", ".join(
+            f"a_{i}_{j}" + (f" + s2 / {sd * sd}::DOUBLE" if i == j and i < 7 else "") + f" AS a_{i}_{j}"
+            for i in range(1, 8)
+            for j in range(1, 8)
+        )
+        more, ends[prior] = S.sweep(f"a_{prior}", 7, 6, f"{prior}_")
+        ctes += [f"a_{prior} AS (SELECT {cells} FROM a, v)", *more]
+    rows = []
+    for i, name in enumerate(("intercept", *_BIRTH_TERMS)):
+        cols = []
+        for prior, end in ends.items():
+            value = f"e_{prior}.a_{i}_7" if i else "m_y - (" + " + ".join(f"e_{prior}.a_{j}_7 * m_x{j}" for j in range(1, 7)) + ")"
+            cols.append(f"round({value}, 7) + 0.0 AS {prior}")
+        tables_ = ", ".join(f"{end} AS e_{prior}" for prior, end in ends.items())
+        rows.append(f"SELECT '{name}' AS term, {', '.join(cols)} FROM t, {tables_}")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(rows)
+
+
+@query(_births_fits_sql())
 def births_fits(spark, folder):
+    """Estimates under the weak, the uniform and the strong priors side by side."""
     rows = studies.prepare_intervals(births(spark, folder), "m1")
-    return round_all(studies.interval_fits(rows, "m1", SEXES).select("term", "uniform"), 7)
+    return round_all(studies.interval_fits(rows, "m1", SEXES), 7)
 
 
 # ------------------------------------------------------------ line items as scans
@@ -119,6 +159,10 @@ def item_scans(spark, folder):
         F.when(F.month("l_shipdate") <= 6, "F").otherwise("M").alias("youngest_off_sex"),
         F.when(F.quarter("l_shipdate").isin(1, 3), "F").otherwise("M").alias("eldest_off_sex"),
         F.when(F.year("l_shipdate") < 1998, "N").otherwise("S").alias("community"),
+        F.concat("l_returnflag", "l_linestatus").alias("scan"),
+        F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_quantity") > 25).cast("double")).alias("pregnant"),
+        (F.col("l_tax") > 0.04).cast("double").alias("oestrous"),
+        F.when(F.col("l_partkey") % 4 != 0, F.col("l_suppkey") % 7 + F.col("l_discount")).alias("ibi"),
     )
 
 
@@ -154,6 +198,41 @@ def scans_vif(spark, folder):
     return round_all(studies.scan_vif(rows, "m5", studies.scan_levels(rows, "m5")))
 
 
+# the studies without an eldest offspring: missing pregnancies count as none, the sixth scales the birth interval last
+_ITEM_STUDIES = """r AS (SELECT l_extendedprice / 1000 AS yo, l_partkey / 100.0::DOUBLE AS age, l_suppkey / 10.0::DOUBLE AS rank,
+  nullif(l_discount, 0.0) AS food, l_linenumber::DOUBLE AS t, nullif(l_tax, 0.0) AS party, day(l_shipdate)::DOUBLE AS kids,
+  (month(l_shipdate) > 6)::INT::DOUBLE AS ysex, (l_tax > 0.04)::INT::DOUBLE AS oest,
+  CASE WHEN l_linenumber % 3 <> 0 THEN (l_quantity > 25)::INT::DOUBLE ELSE 0 END AS preg,
+  CASE WHEN l_partkey % 4 <> 0 THEN l_suppkey % 7 + l_discount END AS ibi FROM lineitem),
+s AS (SELECT avg(yo) m1, stddev_samp(yo) s1, avg(age) m2, stddev_samp(age) s2, avg(rank) m3, stddev_samp(rank) s3,
+  avg(food) m5, stddev_samp(food) s5, avg(t) FILTER (food IS NOT NULL) m6, stddev_samp(t) FILTER (food IS NOT NULL) s6,
+  avg(party) FILTER (food IS NOT NULL) m7, stddev_samp(party) FILTER (food IS NOT NULL) s7,
+  avg(kids) FILTER (food IS NOT NULL AND party IS NOT NULL) m8, stddev_samp(kids) FILTER (food IS NOT NULL AND party IS NOT NULL) s8,
+  avg(ibi) FILTER (food IS NOT NULL AND party IS NOT NULL) m9, stddev_samp(ibi) FILTER (food IS NOT NULL AND party IS NOT NULL) s9 FROM r),
+q AS (SELECT (yo - m1) / s1 AS a1, (age - m2) / s2 AS a2, (rank - m3) / s3 AS a3, ysex AS a4, (food - m5) / s5 AS a5, (t - m6) / s6 AS a6,
+  (party - m7) / s7 AS a7, (kids - m8) / s8 AS a8, (ibi - m9) / s9 AS a9, oest, preg FROM r, s WHERE food IS NOT NULL AND party IS NOT NULL)"""
+_M4 = ("zoffage", "zage", "zrank", "youngest_off_sex_M", "zfai", "ztime", "zparty", "zkids", "oestrous", "pregnant")
+_M6 = (*_M4[:4], "zibi", *_M4[4:])
+_M4_ROWS = "SELECT a1 AS x1, a2 AS x2, a3 AS x3, a4 AS x4, a5 AS x5, a6 AS x6, a7 AS x7, a8 AS x8, oest AS x9, preg AS x10 FROM q"
+_M6_ROWS = """SELECT a1 AS x1, a2 AS x2, a3 AS x3, a4 AS x4, a9 AS x5, a5 AS x6, a6 AS x7, a7 AS x8, a8 AS x9, oest AS x10, preg AS x11
+  FROM q WHERE a9 IS NOT NULL"""
+
+
+def _study_vif(spark, folder, study):
+    rows = studies.prepare_scans(item_scans(spark, folder), study)
+    return round_all(studies.scan_vif(rows, study, studies.scan_levels(rows, study)))
+
+
+@query(_vif_sql(f"{_ITEM_STUDIES}, d AS ({_M4_ROWS})", _M4))
+def scans_vif_m4(spark, folder):
+    return _study_vif(spark, folder, "m4")
+
+
+@query(_vif_sql(f"{_ITEM_STUDIES}, d AS ({_M6_ROWS})", _M6))
+def scans_vif_m6(spark, folder):
+    return _study_vif(spark, folder, "m6")
+
+
 @query()
 def scans_fit(spark, folder):
     rows = studies.prepare_scans(item_scans(spark, folder), "m5")
