@@ -39,14 +39,20 @@ def parallel_rows(rows: DataFrame, row_id: str) -> DataFrame:
     return rows.repartition(tasks, row_id)
 
 
-def pack_draws(draws: DataFrame, groups: Sequence, terms: Sequence[str]) -> DataFrame:
+def pack_draws(
+    draws: DataFrame, groups: Sequence, terms: Sequence[str], optional: Sequence[tuple] = ()
+) -> DataFrame:
     """One row per draw with its coefficients as an array, in (group, term) order.
 
-    ``draws`` has columns draw_id, class, term, value; an absent coefficient is zero.
+    ``draws`` has columns draw_id, class, term, value. A draw without one of the coefficients fails the query (a misspelt
+    term, say), but for the ``optional`` pairs of group and term, which count as zero.
     """
     def cell(g, t) -> Column:
         hit = (F.col("class") == F.lit(g)) & (F.col("term") == F.lit(t))
-        return F.coalesce(F.max(F.when(hit, F.col("value"))), F.lit(0.0))
+        found = F.max(F.when(hit, F.col("value")))
+        if (g, t) in optional:
+            return F.coalesce(found, F.lit(0.0))
+        return F.coalesce(found, F.raise_error(F.lit(f"a draw has no coefficient of {t} for {g}")).cast("double"))
 
     return draws.groupBy("draw_id").agg(
         F.array(*[cell(g, t) for g in groups for t in terms]).alias("w")
@@ -293,7 +299,7 @@ def predict_gaussian(
     "intercept" for the residual sd.
     """
     terms = list(terms)
-    packed = pack_draws(draws, ("mu", "sigma"), terms)
+    packed = pack_draws(draws, ("mu", "sigma"), terms, [("sigma", t) for t in terms if t != "intercept"])
     cells = cross_draws(rows, packed, row_id, n_draws, 2 * len(terms))
     noise = rnd.std_normal("draw_id", row_id, seed=seed, stream="replicate")
     sigma = F.col("w")[len(terms) + terms.index("intercept")]

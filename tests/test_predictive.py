@@ -321,3 +321,13 @@ def test_prior_response_shares_group_effects(spark):
     assert (got.groupby(["draw_id", "g"])["mu"].nunique() == 1).all()
     assert got.groupby("draw_id")["mu"].nunique().min() == 4
     assert 0.3 < (got["y_rep"] - got["mu"]).std() < 0.7
+
+
+def test_a_misspelt_term_fails(spark):
+    rows = [(d, c, t, 1.0) for d in (1, 2) for c in (2, 3) for t in ("intercept", "x")]
+    df = spark.createDataFrame(rows, "draw_id long, class int, term string, value double")
+    assert [list(r.w) for r in pp.pack_draws(df, (2, 3), ("intercept", "x")).collect()] == [[1.0] * 4] * 2
+    with pytest.raises(Exception, match="no coefficient of z for 2"):
+        pp.pack_draws(df, (2, 3), ("intercept", "z")).collect()
+    packed = pp.pack_draws(df, (2, 3), ("intercept", "z"), [(2, "z"), (3, "z")])
+    assert [list(r.w) for r in packed.collect()] == [[1.0, 0.0, 1.0, 0.0]] * 2
