@@ -15,6 +15,9 @@ from quadrat.session import shared_path
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of one or two numbers that are broadcast at most (16 bytes each); they are counted before.
+BROADCAST_ROWS = 2_000_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -23,12 +26,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there.
 
-    The files survive lost executors. The folder belongs to the cluster (``spark.checkpoint.dir``),
-    whose owner clears it after the application.
+    The files survive lost executors. They go with ``freed`` once what was made of them is stored itself; the
+    rest of the folder belongs to the cluster (``spark.checkpoint.dir``), whose owner clears it.
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for df in tables:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(text: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import stored
+from quadrat.llm.common import freed, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,7 +40,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = stored(small, "components")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == size:
-            return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+            freed(pairs)
+            out = new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
+            out.stored_path = new.stored_path
+            return out
+        freed(pairs)
         pairs, size = new, now

@@ -101,6 +101,41 @@ def test_jaccard_families_of_near_copies(spark, turns):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
 
 
+def test_jaccard_keys_shared_by_links():
+    """Sets that link share as many keys as the rule says, whatever the order of shingles."""
+    rng, rule = np.random.default_rng(6), jaccard.Rule()
+    for _ in range(3000):
+        n = int(rng.integers(1, 400))
+        lost, added = (int(rng.integers(0, n // 8 + 2)) for _ in range(2))
+        order = rng.permutation(n + added)
+        a, b = order[:n], order[min(lost, n - 1) :]
+        a, b = np.sort(a), np.sort(b)
+        if not rule.links(len(np.intersect1d(a, b)), len(a), len(b)):
+            continue
+        shared = len(np.intersect1d(a[: rule.prefix(len(a))], b[: rule.prefix(len(b))]))
+        assert shared >= max(rule.shared(len(a)), rule.shared(len(b)))
+
+
+def test_jaccard_with_a_common_passage(spark):
+    """Texts of several families that quote parts of one passage, some of them cut short."""
+    rng, rows = random.Random(11), []
+    passage = [f"p{i}" for i in range(40)]
+    for family in range(12):
+        base = [f"f{family}w{rng.randrange(400)}" for _ in range(rng.choice([30, 70, 150]))]
+        for _ in range(rng.choice([1, 3, 25])):
+            own = list(base)
+            for _ in range(rng.randrange(5)):
+                own[rng.randrange(len(own))] = f"x{rng.random()}"
+            if rng.random() < 0.4:
+                own[len(own) // 2 : len(own) // 2] = passage[: rng.randrange(40)]
+            if rng.random() < 0.2:
+                own = own[: int(len(own) * 0.85)]
+            rows.append((len(rows), " ".join(own)))
+    want = jaccard_groups(rows)
+    assert 5 < len({c for _, c in want.values()}) < len(rows)
+    assert {r[0]: (r[1], r[2]) for r in jaccard.grouped(spark.createDataFrame(rows, DOC)).collect()} == want
+
+
 @pytest.mark.parametrize("tile,often", [(2048, 32), (3, 4)])
 def test_jaccard(spark, tile, often):
     rng = random.Random(4)
