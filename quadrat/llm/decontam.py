@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import SPACE, free_names
+from quadrat.llm.common import BROADCAST_ROWS, SPACE, free_names, stored
 
 #: Seeds sent to every task at a time; each carries up to ``2 * window`` words of 8 bytes.
 SEEDS = 200_000
@@ -156,10 +156,16 @@ def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                    item_text: str = "text", **options) -> DataFrame:
-    """The rows whose text no item contaminates. Texts are known by two hashes, so ids don't matter."""
+    """The rows whose text no item contaminates. Texts are known by two hashes, so ids don't matter.
+
+    The hashes of contaminated texts are written first and broadcast while there are at most ``BROADCAST_ROWS``, so that no
+    text is shuffled; beyond, both sides are.
+    """
     one, two = free_names(df.columns, "hash_one", "hash_two")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = df.withColumns({one: F.xxhash64(body), two: F.crc32(body.cast("binary"))})
     found = hits(keyed, benchmark, [one, two], text, item_id, item_text, **options)
-    gone = found.select(one, two).distinct()
+    gone = stored(found.select(one, two).distinct(), "contaminated")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     return keyed.join(gone, [one, two], "left_anti").drop(one, two)
