@@ -25,7 +25,7 @@ tiles of bounded size, and bitmaps are compared between components within a size
 arrays of the classes that have a partner by their bitmaps, compare them where no link connects them yet, and return a
 spanning forest of the links. So every pair that shares a shingle is in
 one component already or has been compared, no link is lost, and no step makes more pairs than the
-tiles have members. With ``turns``, each class first names one other per tile, the nearest, and components are joined
+tiles have members. Before that, in ``turns``, each class names one other per tile, the nearest at first, and components are joined
 up, so that fewer arrays go to the tiles.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with
@@ -57,13 +57,13 @@ MOST_FREQUENT = 1_000_000
 #: Classes per tile.
 TILE = 2048
 #: Turns in which a class names one other per tile, before the tiles settle what remains: they spare arrays, but cost bitmaps.
-TURNS = 0
+TURNS = 1
 #: One more key for so many shingles, by which a link needs more than one shared key.
 EXTRA = 16
 #: Another look for classes with too few shared keys, if the last one left no more than this share.
 SHRUNK, LOOKS = 0.8, 3
-#: Rows compared in one call, about.
-BATCH_ROWS = 20_000
+#: Rows compared in one call, and bytes of sorted arrays, about; a single tile may have more.
+BATCH_ROWS, BATCH_BYTES = 20_000, 16 << 20
 #: Bits of the filter that spares texts from being read into sets (sent to every task).
 FILTER_BITS = 1 << 22
 #: Texts turned into sets at a time.
@@ -325,9 +325,12 @@ def _tiles(meets: DataFrame, found: DataFrame, tile: int) -> DataFrame:
 def _in_tiles(rows: DataFrame, values: DataFrame, each, schema: str) -> DataFrame:
     """Rows that ``each`` makes of the members of a tile, which come sorted by size with their ``values``.
 
-    Small tiles share a call; a call has about ``BATCH_ROWS`` rows, or one tile.
+    Small tiles share a call; a call has about ``BATCH_ROWS`` rows and ``BATCH_BYTES`` of arrays, or one tile.
     """
     batches = -(-rows.count() // BATCH_ROWS) or 1
+    if "items" in values.columns:
+        size = rows.groupBy("cls").agg(F.count("*").alias("k")).join(values.select("cls", "n"), "cls").agg(F.sum(F.col("k") * F.col("n") * 8))
+        batches = max(batches, -(-(size.first()[0] or 0) // BATCH_BYTES))
     rows = rows.join(values, "cls").withColumn("batch", F.pmod(F.xxhash64("key", "i", "j"), F.lit(batches)))
     names = [c.split()[0] for c in schema.split(", ")]
 
