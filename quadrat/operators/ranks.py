@@ -12,6 +12,9 @@ from quadrat.functions.expr import inverse_normal
 from quadrat.session import shared_path
 from quadrat.sources.tables import save
 
+#: Rows that a task places at once, about.
+PLACED = 500_000
+
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """``by``, ``keep``, ``value``, ``c`` (equal rows), ``n`` (rows of the group) and ``rank`` from 1 in the group.
@@ -19,7 +22,7 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str], keep: Sequence[s
     Equal values share the mean of the places they take. Equal rows are counted in tasks before they move, then
     dealt by ranges of (group, value); ranks follow from a running count within a range plus the counts of the ranges
     before it; so neither a long group nor a frequent value is gathered. Nulls and NaN are left out. The dealt
-    values are written to the shared folder.
+    values are written to the shared folder, and their number says how many tasks place them.
     """
     by = list(by)
     x = F.col(value)
@@ -32,6 +35,8 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str], keep: Sequence[s
     parts = parts.select(
         *by, "p", (F.sum("t").over(group.orderBy("p")) - F.col("t")).alias("before"), F.sum("t").over(group).alias("n")
     )
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-dealt.count() // PLACED))
+    dealt = dealt.repartition(tasks, *by, "p")
     part = W.partitionBy(*by, "p")
     placed = dealt.withColumn("upto", F.sum("c").over(part.orderBy(value)))
     placed = placed.withColumn("ties", F.sum("c").over(W.partitionBy(*by, "p", value)))
