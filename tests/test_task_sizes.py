@@ -1,7 +1,8 @@
-"""Rows that one task holds do not grow with the input: ranks are placed by tasks of stated size."""
+"""Rows that one task holds do not grow with the input: ranks are placed by tasks of stated size, chains go to Python in slices."""
 
 from pyspark.sql import functions as F
 
+from quadrat.operators import draws as dr
 from quadrat.operators import ranks
 
 
@@ -14,3 +15,22 @@ def test_ranks_are_placed_in_bounded_tasks(spark, monkeypatch):
     tasks = -(-len(whole) // 200)
     assert "hashpartitioning(g#" in got._jdf.queryExecution().executedPlan().toString()
     assert f", {tasks}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+def test_chains_go_to_python_in_slices(spark, monkeypatch):
+    sizes = []
+
+    class Batch:
+        num_rows = 1000
+
+        def slice(self, at, n):
+            sizes.append(min(n, self.num_rows - at))
+            return self
+
+        def to_pandas(self):
+            return None
+
+    def none(batches):
+        return iter(())
+
+    assert list(dr._in_slices(none, "a", lambda pa: (pa.int64(),))(iter([Batch()]))) == []
+    assert sizes == [256, 256, 256, 232]
