@@ -16,6 +16,7 @@ def test_ranks_are_placed_in_bounded_tasks(spark, monkeypatch):
     assert "hashpartitioning(g#" in got._jdf.queryExecution().executedPlan().toString()
     assert f", {tasks}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
 
+
 def test_chains_go_to_python_in_slices(spark, monkeypatch):
     sizes = []
 
