@@ -117,6 +117,42 @@ def _counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum("rest").alias("rest"), F.sum("fold").alias("fold"))
 
 
+def _ranked(found: DataFrame, n: int) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """The words of ``word, all, rest``, and their counts by rank, with a place for the start of a text.
+
+    The driver holds numbers no wider than ``n`` tokens need, and each step's only until the next.
+    """
+    width, kind = ("int", np.uint32) if n < 2**31 else ("long", np.int64)
+    table = found.select("word", *[F.col(c).cast(width).alias(c) for c in ("all", "rest")]).toArrow()
+    size = table.num_rows
+    columns = {"word": np.empty(size, np.uint64), "all": np.empty(size, kind), "rest": np.empty(size, kind)}
+    for name, column in columns.items():
+        at = 0
+        for chunk in table[name].chunks:
+            column[at : at + len(chunk)] = chunk.to_numpy().view(np.uint64) if name == "word" else chunk.to_numpy()
+            at += len(chunk)
+        table = table.drop_columns(name)
+    del table
+    pa.default_memory_pool().release_unused()
+    hashes, all_, rest = columns.pop("word"), columns.pop("all"), columns.pop("rest")
+    order = np.argsort(hashes).astype(np.uint32)
+    hashes, all_, rest = hashes[order], all_[order], rest[order]
+    # by count, words of one count by hash
+    order = np.argsort(all_.max(initial=0) - all_, kind="stable").astype(np.uint32)
+    ranks = np.empty(size, np.uint32)
+    ranks[order] = np.arange(size, dtype=np.uint32)
+    all_, rest = (np.append(c[order], kind(0)) for c in (all_, rest))
+    return Vocabulary(hashes, ranks), all_, rest
+
+
+def _sent(found: DataFrame, sizes: Sizes):
+    """Broadcasts of the words of ``found`` and of their counts; the driver keeps neither."""
+    words, all_, rest = _ranked(found, sizes.n)
+    all_[-1], rest[-1] = sizes.texts, sizes.texts_rest
+    context = found.sparkSession.sparkContext
+    return context.broadcast(words), context.broadcast((all_, rest))
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Numbers byte by byte, all first bytes first: bytes of one rank are alike and compress."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
@@ -361,19 +397,7 @@ def scored(df: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: i
                 break
             left -= r["count"]
     holds = (F.col("all") >= least) | end
-    table = found.where(holds).toArrow()
-    words = table["word"].to_numpy().view(np.uint64)
-    all_, rest = table["all"].to_numpy(), table["rest"].to_numpy()
-    by_count = np.lexsort((words, -all_))
-    ranks = np.empty(len(words), np.uint32)
-    ranks[by_count] = np.arange(len(words), dtype=np.uint32)
-    order = np.argsort(words)
-    known = spark.sparkContext.broadcast(Vocabulary(words[order], ranks[order]))
-    # by rank; the last is the start of a text
-    counts = spark.sparkContext.broadcast((
-        np.append(all_[by_count], sizes.texts).astype(np.uint32 if sizes.n < 2**32 else np.int64),
-        np.append(rest[by_count], sizes.texts_rest).astype(np.uint32 if sizes.n < 2**32 else np.int64),
-    ))
+    known, counts = _sent(found.where(holds), sizes)
     packed = _packed(docs, buckets, lambda: known.value)
     path_table = stored(packed.groupBy("bucket").applyInPandas(lambda rows: _ratios(rows, sizes, counts.value), _RATIOS), "lm-ratios")
     cells = path_table.where("n is not null").select("power", "step", "n")

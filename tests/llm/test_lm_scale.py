@@ -1,11 +1,15 @@
 """op3: what a pair costs does not grow with the number of buckets; rare words by a join give the same scores."""
 
+import gc
 import random
+import tracemalloc
 
 import pytest
 
 pytest.importorskip("pyarrow")
 
+import pyarrow as pa  # noqa: E402
+
 from quadrat.llm import lm  # noqa: E402
 
 DOC = "doc_id long, text string"
@@ -51,3 +55,22 @@ def test_words_not_held(spark, monkeypatch):
         monkeypatch.setattr(lm, "PACK", pack)
         monkeypatch.setattr(lm, "SUMS", sums)
         assert got(size) == whole
+
+
+def test_driver_keeps_no_words(spark, monkeypatch):
+    words, kept, held = 100_000, lm.stored, {}
+    df = spark.createDataFrame([(k, " ".join(f"w{k}-{i}" for i in range(words // 100))) for k in range(100)], DOC)
+
+    def stored(t, name):
+        gc.collect()
+        held[name] = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+        return kept(t, name)
+
+    monkeypatch.setattr(lm, "stored", stored)
+    tracemalloc.start()
+    try:
+        assert lm.scored(df).count() == 100
+    finally:
+        tracemalloc.stop()
+    # 63 bytes a word were held while pairs were counted
+    assert held["lm-ratios"] - held["lm-words"] < 8 * words
