@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from quadrat.functions import random as rnd
 from quadrat.functions.expr import ratio
 
+# Bytes of rows that the multinomial fit keeps as one value, and rows that a task turns into products at once.
+PACKED_BYTES, FOLD_ROWS = 2048, 10_000
+
 
 def _name(c: str) -> Column:
     return F.col(f"`{c}`")
@@ -418,7 +421,8 @@ def multinomial_map(
     whose size is set by the model, reach the driver. As usual for these priors,
     the intercept prior holds at the mean of all predictors; the returned
     intercept is that at zero. The centred rows stay in memory or on disk between
-    steps; a lost part is computed again.
+    steps, several packed as one binary value, since a value costs Spark as much as a
+    row of a step does; a lost part is computed again.
     """
     import numpy as np
 
@@ -432,9 +436,28 @@ def multinomial_map(
         _name(code).cast("int").alias("code"),
         *[(_name(t) - F.lit(m)).alias(x) for t, m, x in zip(terms, means, names, strict=True)],
     )
-    rows = rows.persist()
+    together = max(1, PACKED_BYTES // (8 * p))
+
+    def pack(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            raw = pdf[["code", *names]].to_numpy(dtype="<f8").tobytes()
+            yield pd.DataFrame({"packed": [raw[a : a + 8 * p * together] for a in range(0, len(raw), 8 * p * together)]})
+
+    rows = rows.mapInPandas(pack, "packed binary").persist()
+    fold_rows = FOLD_ROWS
     precision = np.tile([1.0 / intercept_sd**2] + [1.0 / slope_sd**2] * len(terms), free)
 
+    def pieces(batches):
+        """Arrays of up to ``FOLD_ROWS`` rows: the class and the predictors."""
+        import numpy as np
+
+        for pdf in batches:
+            whole = np.frombuffer(b"".join(pdf["packed"]), "<f8").reshape(-1, p)
+            for a in range(0, len(whole), fold_rows):
+                yield whole[a : a + fold_rows].astype(float, copy=True)
+
     def sums_at(beta):
         weights = beta.reshape(free, p).copy()
 
@@ -443,15 +466,15 @@ def multinomial_map(
             import pandas as pd
 
             total = np.zeros(1 + size + size * size)
-            for pdf in batches:
-                n = len(pdf)
-                x = np.column_stack([np.ones(n), pdf[names].to_numpy(dtype=float)])
+            for x in pieces(batches):
+                n, code = len(x), x[:, 0].astype(int)
+                x[:, 0] = 1.0
                 eta = np.column_stack([np.zeros(n), x @ weights.T])
                 eta -= eta.max(axis=1, keepdims=True)
                 prob = np.exp(eta)
                 norm = prob.sum(axis=1, keepdims=True)
                 prob /= norm
-                hit = np.eye(k)[pdf["code"].to_numpy() - 1]
+                hit = np.eye(k)[code - 1]
                 total[0] += float((hit * eta).sum() - np.log(norm).sum())
                 total[1 : 1 + size] += ((hit - prob)[:, 1:].T @ x).ravel()
                 hess = np.zeros((free, p, free, p))
