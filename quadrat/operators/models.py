@@ -239,7 +239,8 @@ def gaussian_mode(
     of one aggregate only, never the rows again. Steps run on the logarithms of intercept and spread, where the
     posterior density of the original parameters is maximised. Returns ``term`` (intercept, terms, sigma),
     ``estimate``, ``std_error`` (from the curvature, on the original scale) and ``gradient`` (0 at the mode, per
-    standard error); a term that the ones before it determine gets nulls.
+    standard error); a term that the ones before it determine gets nulls. If the terms determine the response but for
+    rounding, the density grows without end as the spread shrinks; there is no mode, and all values are null.
     """
     terms = list(terms)
     centre, width = intercept
@@ -268,8 +269,13 @@ def gaussian_mode(
             h[1:-1, -1] = h[-1, 1:-1] = -2 * rest * w
             return value, g, h
 
+        names = ["intercept", *terms, "sigma"]
         ols = np.linalg.solve(sxx, sxy) if k else np.zeros(0)
-        left = max(syy - ols @ sxy, 1e-12 * max(syy, 1.0)) / max(n, 1)
+        rest = syy - ols @ sxy
+        if rest <= max(1e-13 * syy, n * (4 * np.finfo(float).eps * level) ** 2):
+            nothing = np.full(len(names), np.nan)
+            return {"term": names, "estimate": nothing, "std_error": nothing, "gradient": nothing}
+        left = max(rest, 1e-12 * max(syy, 1.0)) / max(n, 1)
         point = np.concatenate([[np.log(max(level, np.exp(centre - 3 * width)))], ols, [0.5 * np.log(left)]])
         value, g, h = parts(point)
         for _ in range(200):
@@ -293,7 +299,6 @@ def gaussian_mode(
             value, g, h = new
         scale = np.concatenate([[np.exp(point[0])], np.ones(k), [np.exp(point[-1])]])
         error = np.sqrt(np.maximum(np.diag(np.linalg.inv(-h)), 0.0))
-        names = ["intercept", *terms, "sigma"]
         at = [0, *[1 + x.index(j) if j in x else -1 for j in range(len(terms))], k + 1]
         full = {"estimate": np.concatenate([[scale[0]], point[1:-1], [scale[-1]]]), "std_error": error * scale, "gradient": g * error}
         return {"term": names} | {c: [v[i] if i >= 0 else np.nan for i in at] for c, v in full.items()}

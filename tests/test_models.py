@@ -190,6 +190,15 @@ def test_residuals_sum_to_zero(spark, table):
     assert abs(got) < 1e-6
 
 
+@pytest.mark.parametrize("slope", [10, 0])
+def test_gaussian_mode_without_spread(spark, slope):
+    """Where the terms determine the response, what is left of its squares is rounding of either sign: there is no mode."""
+    df = spark.range(200).selectExpr("id / 1000 x", f"(90000 + id * {slope}) / 100 / 1000 y")
+    got = models.gaussian_mode(df, ["x"], (0.3, 0.4), 0.5, 2.0).collect()
+    assert [tuple(r) for r in got] == [(t, None, None, None) for t in ("intercept", "x", "sigma")]
+
+
+
 @pytest.mark.parametrize(("shift", "rate"), [(0.0, 1.0), (-3.0, 50.0)])
 def test_gaussian_mode(spark, shift, rate):
     """The mode is a stationary point of the density written out, and no point around it is better."""
