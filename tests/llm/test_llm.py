@@ -8,6 +8,7 @@ import os
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -380,6 +381,53 @@ def test_passages_with_phrases_repeated_in_the_other_text():
         assert passages.shared(x, y, 50, 80) == want != []
 
 
+def test_compact_windows_of_a_long_text_in_few_steps():
+    # every place's window reaches to one end of the text: a walk from place to place takes minutes here
+    values = np.arange(1 << 16, dtype=np.uint64) << np.uint64(20)
+    begun = time.process_time()
+    for v in (values, values[::-1].copy()):
+        begin, at, end = passages.windows(v, np.array([0]), np.array([len(v)]), 2)
+        assert len(at) == len(v) - 1 and (end - begin + 1 == np.arange(2, len(v) + 1)[:: -1 if v[0] < v[1] else 1]).all()
+    assert time.process_time() - begun < 5
+
+
+def test_blocks_follow_the_best_one_before():
+    rng = np.random.default_rng(4)
+    for spread in (3, 40, 200):
+        begin = np.sort(rng.integers(0, 150, 200))
+        end, diagonal = begin + rng.integers(1, 12, 200), rng.integers(-spread, spread, 200)
+        got_before, got_score = passages._linked(begin.tolist(), end.tolist(), diagonal.tolist())
+        score = []
+        for k, (b, e, d) in enumerate(zip(begin.tolist(), end.tolist(), diagonal.tolist(), strict=True)):
+            best = (e - b, 0, -1)
+            for j in {int(diagonal[i]): i for i in range(k)}.values():  # the last block of each diagonal
+                stop, off = int(end[j]), int(diagonal[j]) - d
+                gain = e - max(b, stop, stop - off)
+                if abs(off) <= passages.APART and b - stop <= 11 and b - stop + off <= 11 and gain > 0:
+                    sums = score[j] + gain - 0.01 * abs(off)
+                    if sums > best[0] or (sums == best[0] and best[2] >= 0 and diagonal[j] < best[1]):
+                        best = (sums, int(diagonal[j]), j)
+            score.append(best[0])
+            assert (got_before[k], got_score[k]) == (best[2], best[0])
+
+
+def test_passages_compare_no_stretches_twice(spark, monkeypatch):
+    rng = random.Random(1)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    phrases, seen, plain = [fresh(9) for _ in range(12)], [], passages.stored
+    rows = [(i, " ".join(fresh(15) + sum(rng.sample(phrases, 8), []) + fresh(15))) for i in range(60)]
+
+    def stored(df, name):
+        out = plain(df, name)
+        if name == "passage-pairs":
+            seen.append({(r.p, r.q, r.pa, r.pb, tuple(sorted(r.bands))) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(passages, "stored", stored)
+    passages.found(spark.createDataFrame(rows, DOC), partners=1).collect()
+    assert len(seen) == 3 and all(seen) and sum(map(len, seen)) == len(set.union(*seen))
+
+
 def test_quality_rules(spark):
     rows = [(i, t) for i, t in enumerate(["", None, "a b c a b c", "x\nx\n\n \n x\ny x", "#a $b |c| d d d d", "one"] + invented(7, 60, 20, 90))]
     rows += [(1000 + i, "Junk### " * (60 + i)) for i in range(30)] + [(2000 + i, t) for i, t in enumerate(invented(8, 60, 5000, 200))]
