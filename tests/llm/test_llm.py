@@ -428,6 +428,46 @@ def test_passages_compare_no_stretches_twice(spark, monkeypatch):
     assert len(seen) == 3 and all(seen) and sum(map(len, seen)) == len(set.union(*seen))
 
 
+def test_passages_compare_alike_windows_of_a_text_once(spark, monkeypatch):
+    # two texts repeat one line: their windows have few kinds of surroundings, however often they repeat it
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, sizes, plain = fresh(9), [], passages._across
+
+    def across(rows, tile, partners):
+        sizes.append(rows.count())
+        return plain(rows, tile, partners)
+
+    monkeypatch.setattr(passages, "_across", across)
+    rows = [(i, " ".join(sum((line + fresh(14 + i) for _ in range(3)), []) + line * 60)) for i in range(6)]
+    got = passages.found(spark.createDataFrame(rows, DOC)).collect()
+    assert sizes and max(sizes) < 1000
+    assert {r.doc_id for r in got} == set(range(6)) and len({r.class_id for r in got}) == 1
+
+
+def test_windows_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
+    line = word(12)
+    rows = [(i, " ".join(word(30) + line * (1 + i % 5) + word(40))) for i in range(40)]
+    monkeypatch.setattr(passages, "BLOCKED", 500)
+    docs = spark.createDataFrame(rows + rows[:3], DOC).toDF("id", "text").repartition(3)
+    blocks = passages._windows(docs, 50, 3, 7).collect()
+    windows = set()
+    for r in blocks:
+        cols = [np.frombuffer(r[x], t).tolist() for x, t in passages._WINDOW.items()]
+        assert {k % 2**64 % 7 for k in cols[0]} == {r.part}
+        windows |= set(zip(*cols, strict=True))
+    want = []
+    for key, f, *mine, near in windows:
+        same = [(tuple(w[2:6]), w[6]) for w in windows if w[0] == key]
+        spots = sorted(s for s, _ in same)
+        if spots[0][0] < spots[-1][0]:
+            want.append((key, f, *mine, len(spots), spots[0], spots[-1], min(s for s, n in same if n == near)))
+    met = passages._meets(spark.createDataFrame(blocks, "part long, " + ", ".join(f"{x} binary" for x in passages._WINDOW))).collect()
+    assert want and sorted((*r[:7], *map(tuple, r[7:])) for r in met) == sorted(want)
+
+
 def test_quality_rules(spark):
     rows = [(i, t) for i, t in enumerate(["", None, "a b c a b c", "x\nx\n\n \n x\ny x", "#a $b |c| d d d d", "one"] + invented(7, 60, 20, 90))]
     rows += [(1000 + i, "Junk### " * (60 + i)) for i in range(30)] + [(2000 + i, t) for i, t in enumerate(invented(8, 60, 5000, 200))]
