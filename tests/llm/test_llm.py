@@ -429,7 +429,7 @@ def test_passages_compare_no_stretches_twice(spark, monkeypatch):
 
 
 def test_passages_compare_alike_windows_of_a_text_once(spark, monkeypatch):
-    # two texts repeat one line: their windows have few kinds of surroundings, however often they repeat it
+    # texts repeat one line: their windows have few kinds of surroundings, however often they repeat it
     rng = random.Random(3)
     fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     line, sizes, plain = fresh(9), [], passages._across
@@ -439,7 +439,8 @@ def test_passages_compare_alike_windows_of_a_text_once(spark, monkeypatch):
         return plain(rows, tile, partners)
 
     monkeypatch.setattr(passages, "_across", across)
-    rows = [(i, " ".join(sum((line + fresh(14 + i) for _ in range(3)), []) + line * 60)) for i in range(6)]
+    part = lambda i: sum((line + fresh(30 + i) for _ in range(3)), []) + line * 40
+    rows = [(i, " ".join(sum((part(i) for _ in range(6)), []))) for i in range(6)]
     got = passages.found(spark.createDataFrame(rows, DOC)).collect()
     assert sizes and max(sizes) < 1000
     assert {r.doc_id for r in got} == set(range(6)) and len({r.class_id for r in got}) == 1
