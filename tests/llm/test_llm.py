@@ -446,6 +446,29 @@ def test_passages_compare_alike_windows_of_a_text_once(spark, monkeypatch):
     assert {r.doc_id for r in got} == set(range(6)) and len({r.class_id for r in got}) == 1
 
 
+def test_passages_in_portions_are_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    phrases, names, plain = [fresh(9) for _ in range(12)], [], passages.stored
+    rows = [(i, " ".join(fresh(15) + sum(rng.sample(phrases, 8), []) + fresh(15))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + f" zz{i}") for i in range(3)] + [(200, None), (201, ""), (201, rows[0][1]), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, DOC)
+
+    def stored(df, name):
+        out = plain(df, name)
+        names.append(name)
+        return out
+
+    monkeypatch.setattr(passages, "stored", stored)
+    want = passages.found(docs, partners=1).collect()
+    assert names.count("passage-links") == 3 and names.count("passage-across") == 2
+    names.clear()
+    monkeypatch.setattr(passages, "ALWAYS", 1)
+    got = passages.found(docs, partners=1).collect()
+    assert names.count("passage-links") > 6 and names.count("passage-across") > 4
+    assert sorted(got) == sorted(want) != []
+
+
 def test_windows_meet_in_blocks(spark, monkeypatch):
     rng = random.Random(4)
     word = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
